@@ -30,4 +30,5 @@ def load_all() -> None:
     from shipcast.plans import (  # noqa: F401
         q_core,
         q_eda,
+        q_decision,
     )
