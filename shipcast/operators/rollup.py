@@ -26,12 +26,22 @@ def dominant_line_key(df: DataFrame):
     return F.struct(-F.col("sales"), "line_number", "product_id", "supplier_id", "quantity", "discount_rate")
 
 
+# Money columns carry at most 4 decimals; summing doubles in a different order
+# changes the last bit, so sums are rounded back to 4 dp (the exact decimal).
+# Ratios are not decimal data and keep 10 dp.
+SUM_DP = {"profit_ratio": 10}
+
+
+def exact_sum(c: str):
+    return dround(F.sum(c), SUM_DP.get(c, 4))
+
+
 def order_rollup(lines: DataFrame) -> DataFrame:
     tie = dominant_line_key(lines)
     present = set(lines.columns)
     aggs = (
-        [F.sum(c).alias(c) for c in SUM_COLS if c in present]
-        + [F.avg(c).alias(c) for c in MEAN_COLS if c in present]
+        [exact_sum(c).alias(c) for c in SUM_COLS if c in present]
+        + [F.try_divide(exact_sum(c), F.count(c)).alias(c) for c in MEAN_COLS if c in present]
         + [F.max(c).alias(c) for c in INVARIANT_COLS if c in present]
         + [
             F.count(F.lit(1)).alias("n_items"),

@@ -31,4 +31,5 @@ def load_all() -> None:
         q_core,
         q_eda,
         q_decision,
+        q_quality,
     )

@@ -40,9 +40,11 @@ JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
 ROLLUP = """
 ord0 AS (
   SELECT order_id,
-    sum(sales) AS sales, sum(order_item_total) AS order_item_total, sum(profit) AS profit,
-    sum(discount) AS discount, sum(quantity) AS quantity,
-    avg(discount_rate) AS discount_rate, avg(profit_ratio) AS profit_ratio, avg(product_price) AS product_price,
+    round(sum(sales), 4) AS sales, round(sum(order_item_total), 4) AS order_item_total, round(sum(profit), 4) AS profit,
+    round(sum(discount), 4) AS discount, round(sum(quantity), 4) AS quantity,
+    round(sum(discount_rate), 4) / count(discount_rate) AS discount_rate,
+    round(sum(profit_ratio), 10) / count(profit_ratio) AS profit_ratio,
+    round(sum(product_price), 4) / count(product_price) AS product_price,
     max(shipping_mode) AS shipping_mode, max(scheduled_days) AS scheduled_days, max(real_days) AS real_days,
     max(delivery_status) AS delivery_status, max(late_delivery_risk) AS late_delivery_risk,
     max(payment_type) AS payment_type, max(order_status) AS order_status, max(market) AS market,

@@ -145,3 +145,16 @@ def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shipcast.operators.features import engineer_features
 
     return materialized(spark, "line_features", sf_dir, lambda: engineer_features(lines(spark, sf_dir)))
+
+
+# Column kinds of ``canonical_lines`` in output order (used by SQL oracles).
+LINE_SCHEMA = [
+    ("order_id", "integer"), ("customer_id", "integer"), ("product_id", "integer"), ("supplier_id", "integer"),
+    ("line_number", "integer"), ("order_date", "timestamp"), ("shipping_mode", "string"), ("scheduled_days", "integer"),
+    ("real_days", "integer"), ("late_delivery_risk", "integer"), ("delivery_status", "string"), ("order_status", "string"),
+    ("payment_type", "string"), ("market", "string"), ("order_region", "string"), ("order_city", "string"),
+    ("customer_segment", "string"), ("department_name", "string"), ("category_name", "string"), ("product_name", "string"),
+    ("quantity", "float"), ("sales", "float"), ("discount_rate", "float"), ("discount", "float"),
+    ("order_item_total", "float"), ("product_price", "float"), ("profit", "float"), ("profit_ratio", "float"),
+    ("latitude", "float"), ("longitude", "float"), ("order_zipcode", "integer"),
+]
