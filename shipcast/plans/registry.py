@@ -32,4 +32,5 @@ def load_all() -> None:
         q_eda,
         q_decision,
         q_quality,
+        q_stats,
     )
