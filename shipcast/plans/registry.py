@@ -33,4 +33,5 @@ def load_all() -> None:
         q_decision,
         q_quality,
         q_stats,
+        q_metrics,
     )
