@@ -99,6 +99,7 @@ def exact_quantiles(
     group_cols: Sequence[str] = (),
     names: Sequence[str] | None = None,
     counts: DataFrame | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas ``quantile``, DuckDB
     ``quantile_cont``) per group, computed from distinct-value counts.
@@ -106,8 +107,18 @@ def exact_quantiles(
     Returns one row per group with one column per probability (``names`` or
     ``q<idx>``) plus ``n`` (non-null count).  Memory per task is bounded by the
     bucket size, not by the number of distinct values in a group.
+
+    ``bounded=True`` is for columns whose distinct values are few by nature
+    (day counts, flags, coordinates of a fixed set of places): Spark's exact
+    ``percentile`` keeps one map entry per distinct value, so it is safe there
+    and needs a single aggregation.
     """
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
+    if bounded:
+        v = F.col(value_col).cast("double")
+        aggs = [F.count(v).alias("n")] + [F.percentile(v, F.lit(float(p))).alias(n) for p, n in zip(probs, names)]
+        base = df.where(F.col(value_col).isNotNull())
+        return base.groupBy(*group_cols).agg(*aggs) if group_cols else base.agg(*aggs)
     vc = counts if counts is not None else value_counts(df, value_col, group_cols)
     ps = prefix_sums(vc, value_col, ["n"], group_cols)
     aggs = [F.max("tot_n").alias("n")]
@@ -132,10 +143,10 @@ def exact_quantiles(
     )
 
 
-def exact_median(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), name: str = "median") -> DataFrame:
-    return exact_quantiles(df, value_col, [0.5], group_cols, names=[name])
+def exact_median(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), name: str = "median", bounded: bool = False) -> DataFrame:
+    return exact_quantiles(df, value_col, [0.5], group_cols, names=[name], bounded=bounded)
 
 
-def scalar_quantile(df: DataFrame, value_col: str, prob: float) -> Column:
+def scalar_quantile(df: DataFrame, value_col: str, prob: float, bounded: bool = False) -> Column:
     """A lazily evaluated scalar-subquery column holding one exact quantile."""
-    return exact_quantiles(df, value_col, [prob], names=["q"]).select("q").scalar()
+    return exact_quantiles(df, value_col, [prob], names=["q"], bounded=bounded).select("q").scalar()

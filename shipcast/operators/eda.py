@@ -207,7 +207,7 @@ def date_coverage(orders: DataFrame) -> DataFrame:
 
 
 def mode_transit(orders: DataFrame, mode_col: str = "shipping_mode") -> DataFrame:
-    med = exact_quantiles(orders, "real_days", [0.5], [mode_col], names=["actual_median"])
+    med = exact_quantiles(orders, "real_days", [0.5], [mode_col], names=["actual_median"], bounded=True)
     base = orders.groupBy(mode_col).agg(
         F.count(F.lit(1)).alias("orders"),
         pct(F.avg(TARGET)).alias("late_rate"),
@@ -244,12 +244,10 @@ def correlation_matrix(orders: DataFrame, fields: Sequence[str] = CORRELATION_FI
     pairs = [(a, b) for i, a in enumerate(fields) for b in fields[i:]]
     aggs = [F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]
     wide = proj.agg(*aggs)
-    stack = ", ".join(f"'{a}', '{b}', `{a}|{b}`" for a, b in pairs)
-    upper = wide.selectExpr(f"stack({len(pairs)}, {stack}) AS (var_a, var_b, corr)")
-    lower = upper.where("var_a <> var_b").select(
-        F.col("var_b").alias("var_a"), F.col("var_a").alias("var_b"), "corr"
-    )
-    both = upper.unionByName(lower)
+    # both triangles from the single aggregate row (no union: one scan)
+    ordered = [(a, b, f"{a}|{b}" if i <= j else f"{b}|{a}") for i, a in enumerate(fields) for j, b in enumerate(fields)]
+    stack = ", ".join(f"'{a}', '{b}', `{c}`" for a, b, c in ordered)
+    both = wide.selectExpr(f"stack({len(ordered)}, {stack}) AS (var_a, var_b, corr)")
     c = F.col("corr")
     return both.select("var_a", "var_b", dround(F.when(~F.isnan(c), c), 4).alias("correlation"))
 

@@ -79,7 +79,12 @@ def engineer_features(df: DataFrame) -> DataFrame:
     if "order_item_total" in cols:
         extra.append(log1p_clipped(F.col("order_item_total")).alias("log_order_value"))
     if {"latitude", "longitude"} <= cols:
-        lat0 = scalar_quantile(df, "latitude", 0.5)
-        lon0 = scalar_quantile(df, "longitude", 0.5)
-        extra.append(haversine_km(F.col("latitude"), F.col("longitude"), lat0, lon0).alias("distance_km"))
-    return out.select("*", *extra)
+        # geocodes of a fixed set of places: bounded distinct values
+        out = out.withColumns(
+            {
+                "__lat0": scalar_quantile(df, "latitude", 0.5, bounded=True),
+                "__lon0": scalar_quantile(df, "longitude", 0.5, bounded=True),
+            }
+        )
+        extra.append(haversine_km(F.col("latitude"), F.col("longitude"), F.col("__lat0"), F.col("__lon0")).alias("distance_km"))
+    return out.select("*", *extra).drop("__lat0", "__lon0")

@@ -254,7 +254,8 @@ def calibration(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFr
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     y, f = F.col(actual), F.col(predicted)
-    mean_y = df.agg(F.avg(actual).alias("m")).select("m").scalar()
+    df = df.withColumn("__mean_y", df.agg(F.avg(actual).alias("m")).select("m").scalar())
+    mean_y = F.col("__mean_y")
     agg = df.agg(
         F.sum((y - f) * (y - f)).alias("ss_res"),
         F.sum((y - mean_y) * (y - mean_y)).alias("ss_tot"),

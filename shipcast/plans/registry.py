@@ -34,4 +34,7 @@ def load_all() -> None:
         q_quality,
         q_stats,
         q_metrics,
+        q_leakage,
+        q_reports,
+        q_ml,
     )
