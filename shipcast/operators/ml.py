@@ -46,6 +46,7 @@ class Prepared:
     features: list[str]
     numeric: list[str]
     categorical: list[str]
+    pooled: bool = False     # rare levels already pooled on the training rows
 
 
 def model_population(line_features: DataFrame) -> Prepared:
@@ -64,6 +65,24 @@ def model_population(line_features: DataFrame) -> Prepared:
     return Prepared(pop, feats, numeric, categorical)
 
 
+def pooled_population(prep: Prepared, materialize=None) -> Prepared:
+    """Pool rare levels once (counts from the training rows) and optionally
+    materialise the model table, so every fit scans it instead of replaying
+    the feature, bucketing and pooling lineage on each pass."""
+    train = prep.data.where(~F.col("is_test"))
+    data = pool_rare(prep.data, train, prep.categorical).select(
+        "order_id", "product_id", "supplier_id", "line_number", "sales", "quantity", "discount_rate", "profit",
+        TARGET, "is_test", "fold", *[c for c in prep.features if c not in ("sales", "quantity", "discount_rate")],
+    )
+    if materialize is not None:
+        data = materialize(data)
+    return Prepared(data, prep.features, prep.numeric, prep.categorical, pooled=True)
+
+
+def _pool(prep: Prepared, df: DataFrame, train: DataFrame, cat) -> DataFrame:
+    return df if prep.pooled else pool_rare(df, train, cat)
+
+
 def pool_rare(df: DataFrame, train: DataFrame, categorical: Sequence[str], min_count: int = RARE_MIN) -> DataFrame:
     """Levels with fewer than ``min_count`` training rows share one level."""
     out = df
@@ -125,7 +144,7 @@ def fit(prep: Prepared, name: str, features: Sequence[str] | None = None, train:
     num = [c for c in feats if c in prep.numeric]
     cat = [c for c in feats if c in prep.categorical]
     train = train if train is not None else prep.data.where(~F.col("is_test"))
-    train = pool_rare(train, train, cat).withColumn(TARGET, F.col(TARGET).cast("double"))
+    train = _pool(prep, train, train, cat).withColumn(TARGET, F.col(TARGET).cast("double"))
     n = train.count()
     est, scale = estimator(name, n)
     if name == "Gradient Boosting":
@@ -142,7 +161,7 @@ def evaluate(prep: Prepared, model: PipelineModel, features: Sequence[str] | Non
     feats = list(features or prep.features)
     cat = [c for c in feats if c in prep.categorical]
     train = prep.data.where(~F.col("is_test"))
-    test = pool_rare(prep.data.where(F.col("is_test")), train, cat)
+    test = _pool(prep, prep.data.where(F.col("is_test")), train, cat)
     return M.eval_metrics(score(model, test), "p", TARGET)
 
 
@@ -155,7 +174,7 @@ def cross_validate(prep: Prepared, name: str, features: Sequence[str] | None = N
     aucs = []
     for k in range(CV_FOLDS):
         tr = train_all.where(F.col("fold") != k)
-        va = pool_rare(train_all.where(F.col("fold") == k), tr, cat)
+        va = _pool(prep, train_all.where(F.col("fold") == k), tr, cat)
         m = fit(prep, name, feats, train=tr)
         a = M.roc_auc(M.score_counts(score(m, va), "p", TARGET)).first()["roc_auc"]
         aucs.append(float(a))
@@ -223,7 +242,7 @@ def permutation_importance(prep: Prepared, model: PipelineModel, repeats: int =
     (a window per group, never one global sort).  All (feature, repeat)
     variants are scored in one transform and one grouped AUC."""
     train = prep.data.where(~F.col("is_test"))
-    test = pool_rare(prep.data.where(F.col("is_test")), train, prep.categorical)
+    test = _pool(prep, prep.data.where(F.col("is_test")), train, prep.categorical)
     key = F.xxhash64("order_id", "product_id", "supplier_id", "line_number", "sales", "quantity", "discount_rate")
     test = test.withColumn("__rk", key)
     base_auc = M.roc_auc(M.score_counts(score(model, test), "p", TARGET)).select("roc_auc").scalar()
@@ -269,8 +288,8 @@ def train_profit(prep: Prepared) -> DataFrame:
     train = prep.data.where(~F.col("is_test")).withColumn("profit", F.coalesce("profit", F.lit(0.0)))
     test = prep.data.where(F.col("is_test")).withColumn("profit", F.coalesce("profit", F.lit(0.0)))
     cat = prep.categorical
-    train = pool_rare(train, train, cat)
-    test = pool_rare(test, prep.data.where(~F.col("is_test")), cat)
+    train = _pool(prep, train, train, cat)
+    test = _pool(prep, test, prep.data.where(~F.col("is_test")), cat)
     reg = GBTRegressor(labelCol="profit", featuresCol="features", maxIter=200, stepSize=0.1, maxDepth=5, minInstancesPerNode=40,
                        validationIndicatorCol="__is_val", seed=SEED)
     model = Pipeline(stages=[*preprocess_stages(prep.numeric, cat, False), reg]).fit(_with_validation(train))

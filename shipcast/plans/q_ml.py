@@ -28,7 +28,12 @@ def prepared(spark, sf_dir) -> ML.Prepared:
     key = (spark.sparkContext.applicationId, sf_dir)
     with _LOCK:
         if key not in _PREP:
-            _PREP[key] = ML.model_population(line_features(spark, sf_dir))
+            from shipcast.sources.materialize import materialized
+
+            base = ML.model_population(line_features(spark, sf_dir))
+            _PREP[key] = ML.pooled_population(
+                base, lambda df: materialized(spark, "model_pop", sf_dir, lambda: df)
+            )
         return _PREP[key]
 
 
@@ -61,7 +66,6 @@ def _eval(spark, sf_dir, name, variant="full"):
 def q_preprocess(spark, sf_dir):
     prep = prepared(spark, sf_dir)
     train = prep.data.where(~F.col("is_test"))
-    train = ML.pool_rare(train, train, prep.categorical)
     pm = Pipeline(stages=ML.preprocess_stages(prep.numeric, prep.categorical, scale=True)).fit(train)
     names = ML._slot_names(pm, train)
     src = ML._source_of(names, prep.features)
@@ -272,3 +276,53 @@ def q_model_metadata(spark, sf_dir):
     for o in out[1:]:
         res = res.unionByName(o)
     return res
+
+
+# ------------------------------------------------------------- what-if
+@query("whatif_fill")
+def q_whatif_fill(spark, sf_dir):
+    """Requests from every held-out line: mode, market, quantity and price as
+    text, plus an unknown key and an unparsable number (both ignored)."""
+    from shipcast.operators.whatif import whatif_fill
+
+    prep = prepared(spark, sf_dir)
+    test = prep.data.where(F.col("is_test")).select(
+        F.xxhash64("order_id", "product_id", "supplier_id", "line_number", "sales", "quantity", "discount_rate").alias("request_id"),
+        "shipping_mode", "market", "quantity", "product_price",
+    )
+    req = test.select(
+        "request_id",
+        F.inline(
+            F.array(
+                F.struct(F.lit("shipping_mode").alias("key"), F.col("shipping_mode").alias("value")),
+                F.struct(F.lit("market").alias("key"), F.col("market").alias("value")),
+                F.struct(F.lit("quantity").alias("key"), F.col("quantity").cast("string").alias("value")),
+                F.struct(F.lit("product_price").alias("key"), F.col("product_price").cast("string").alias("value")),
+                F.struct(F.lit("not_a_feature").alias("key"), F.lit("1").alias("value")),
+                F.struct(F.lit("discount_rate").alias("key"), F.lit("n/a").alias("value")),
+            )
+        ),
+    )
+    defaults = q_model_metadata(spark, sf_dir)
+    return whatif_fill(req, defaults, prep.numeric, prep.categorical)
+
+
+@query("whatif_delta")
+def q_whatif_delta(spark, sf_dir):
+    """Per order: effect of doubling the order value on the recommendation,
+    and the late-risk change of switching to Same Day (points)."""
+    from shipcast.operators import decision as D
+    from shipcast.plans.q_decision import CONSTRAINED, _rows
+
+    _, rows, prof = _rows(spark, sf_dir)
+    base = D.compare_modes(rows, prof, CONSTRAINED).where(F.col("cost_rank") == 1).select(
+        "order_id", F.col("recommended").alias("rec_base"), F.col("recommended_cost").alias("cost_base")
+    )
+    bumped = D.compare_modes(rows.withColumn("value", F.col("value") * 2), prof, CONSTRAINED).where(F.col("cost_rank") == 1).select(
+        "order_id", F.col("recommended").alias("rec_new"), F.col("recommended_cost").alias("cost_new")
+    )
+    risk = rows.select("order_id", dround(100 * (F.col("p_sdy") - D.current_p(rows)), 2).alias("delta_p_points_same_day"))
+    return base.join(bumped, "order_id").join(risk, "order_id").select(
+        "order_id", "rec_base", "rec_new", (F.col("rec_base") != F.col("rec_new")).alias("recommendation_changed"),
+        dround(F.col("cost_new") - F.col("cost_base"), 2).alias("delta_best_cost"), "delta_p_points_same_day",
+    )

@@ -23,7 +23,8 @@ U = "\nUNION ALL\n"
 _excl = set(Q.LEAKAGE) | set(Q.PII) | set(Q.IDENTIFIERS) | {Q.TARGET}
 
 
-def _roles_sql() -> str:
+def _roles_parts() -> tuple[str, str]:
+    """(flags CTE, roles body) of the column-roles oracle."""
     flags = ", ".join(f"(count({c}) = 0 OR min({c}) = max({c})) AS d_{c}" for c in COLS)
     parts = []
     for c in COLS:
@@ -46,7 +47,12 @@ def _roles_sql() -> str:
         if c not in _excl:
             r = "numeric" if c in NUMERIC else "categorical"
             parts.append(f"SELECT '{c}', '{r}' FROM fl WHERE NOT d_{c}")
-    return with_base(U.join(parts), f"fl AS (SELECT {flags} FROM lines)")
+    return f"fl AS (SELECT {flags} FROM lines)", U.join(parts)
+
+
+def _roles_sql() -> str:
+    cte, body = _roles_parts()
+    return with_base(body, cte)
 
 
 @query("column_roles", _roles_sql())
@@ -366,3 +372,64 @@ def q_bucket_apply(spark, sf_dir):
         .groupBy("column", "level")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+# ---------------------------------------------------------------- CSV source
+def _csv_path(spark, sf_dir):
+    from shipcast.sources.materialize import _key
+    from shipcast.session import checkpoint_dir
+    import os
+
+    return os.path.join(checkpoint_dir(spark), _key(spark, "lines_csv", sf_dir))
+
+
+@query(
+    "scan_csv",
+    with_base(
+        f"SELECT {', '.join(c for c in COLS if c != 'order_date')}, strftime(order_date, '%Y-%m-%d %H:%M:%S') AS order_date FROM lines"
+    ),
+)
+def q_scan_csv(spark, sf_dir):
+    """The order-line table written by Spark as an ISO-8859-1 CSV and read
+    back through the reference-format reader with an explicit schema."""
+    from shipcast.sources.csv_source import ENCODING, load_raw_dataset
+
+    l = lines(spark, sf_dir).select(*COLS)
+    path = _csv_path(spark, sf_dir)
+    l.write.mode("overwrite").option("header", True).option("encoding", ENCODING).csv(path)
+    back = load_raw_dataset(spark, ["/nonexistent/uploads/lines.csv", path], l.schema)
+    return back.select(*[c for c in COLS if c != "order_date"], F.date_format("order_date", "yyyy-MM-dd HH:mm:ss").alias("order_date"))
+
+
+_RCTE, _RBODY = _roles_parts()
+
+
+def _cnt(r: str) -> str:
+    return f"count(*) FILTER (WHERE role = '{r}')"
+
+
+_VAL_SQL = with_base(
+    U.join(
+        [f"SELECT '{k}' AS check_name, CASE WHEN {_cnt(k)} > 0 THEN 'ok' ELSE 'missing' END AS status, CAST({_cnt(k)} AS BIGINT) AS n FROM roles" for k in ("target", "decision", "economic")]
+        + [f"SELECT '{k}', 'info', CAST({_cnt(k)} AS BIGINT) FROM roles" for k in ("leakage", "pii", "identifier", "dead")]
+        + [f"SELECT 'ready', CASE WHEN {_cnt('target')} > 0 AND {_cnt('decision')} > 0 THEN 'ok' ELSE 'not_ready' END, CAST(NULL AS BIGINT) FROM roles"]
+    ),
+    _RCTE + f", roles AS ({_RBODY})",
+)
+
+
+@query("validate_upload", _VAL_SQL)
+def q_validate_upload(spark, sf_dir):
+    roles = Q.column_roles(lines(spark, sf_dir).select(*COLS))
+    n = {r: F.count(F.when(F.col("role") == r, 1)) for r in ("target", "decision", "economic", "leakage", "pii", "identifier", "dead")}
+    agg = roles.agg(*[v.alias(k) for k, v in n.items()])
+    rows = []
+    for k in ("target", "decision", "economic"):
+        rows.append(agg.select(F.lit(k).alias("check_name"), F.when(F.col(k) > 0, "ok").otherwise("missing").alias("status"), F.col(k).cast("bigint").alias("n")))
+    for k in ("leakage", "pii", "identifier", "dead"):
+        rows.append(agg.select(F.lit(k), F.lit("info"), F.col(k).cast("bigint")))
+    rows.append(agg.select(F.lit("ready"), F.when((F.col("target") > 0) & (F.col("decision") > 0), "ok").otherwise("not_ready"), F.lit(None).cast("bigint")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out

@@ -1,0 +1,3 @@
+"""No streaming operators: the analysed application is batch-only (no
+stream source, watermark, window or state anywhere in it; see SURVEY §2.10).
+Kept as the package slot where an incremental variant would live."""
