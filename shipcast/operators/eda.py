@@ -238,16 +238,28 @@ def transit_distribution(orders: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(orders: DataFrame, fields: Sequence[str] = CORRELATION_FIELDS) -> DataFrame:
-    """All Pearson pairs in one aggregation (pairwise-complete), long form."""
+    """All Pearson pairs (pairwise complete), long form.
+
+    Each row emits one (pair, x, y) record per unordered pair and a single
+    ``groupBy(pair)`` computes every coefficient: a narrow, code-generated
+    aggregate with p(p+1)/2 groups instead of one huge buffer row."""
     fields = [f for f in fields if f in orders.columns]
     proj = orders.select(*[F.col(f).cast("double").alias(f) for f in fields])
     pairs = [(a, b) for i, a in enumerate(fields) for b in fields[i:]]
-    aggs = [F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]
-    wide = proj.agg(*aggs)
-    # both triangles from the single aggregate row (no union: one scan)
-    ordered = [(a, b, f"{a}|{b}" if i <= j else f"{b}|{a}") for i, a in enumerate(fields) for j, b in enumerate(fields)]
-    stack = ", ".join(f"'{a}', '{b}', `{c}`" for a, b, c in ordered)
-    both = wide.selectExpr(f"stack({len(ordered)}, {stack}) AS (var_a, var_b, corr)")
+    exploded = proj.select(
+        F.inline(
+            F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
+        )
+    ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    upper = exploded.groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
+    both = upper.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("a").alias("var_a"), F.col("b").alias("var_b"), F.col("corr").alias("corr")),
+                F.when(F.col("a") != F.col("b"), F.struct(F.col("b").alias("var_a"), F.col("a").alias("var_b"), F.col("corr").alias("corr"))),
+            )
+        )
+    ).where(F.col("var_a").isNotNull())
     c = F.col("corr")
     return both.select("var_a", "var_b", dround(F.when(~F.isnan(c), c), 4).alias("correlation"))
 

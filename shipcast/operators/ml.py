@@ -122,13 +122,14 @@ def estimator(name: str, n_train: int):
         return LogisticRegression(labelCol=TARGET, featuresCol="features", regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                                   standardization=False, maxIter=2000), True
     if name == "Decision Tree":
-        return DecisionTreeClassifier(labelCol=TARGET, featuresCol="features", maxDepth=8, minInstancesPerNode=50, seed=SEED), False
+        return DecisionTreeClassifier(labelCol=TARGET, featuresCol="features", maxDepth=8, minInstancesPerNode=50, seed=SEED,
+                                      maxMemoryInMB=1024, cacheNodeIds=True), False
     if name == "Random Forest":
         return RandomForestClassifier(labelCol=TARGET, featuresCol="features", numTrees=200, maxDepth=16, minInstancesPerNode=20,
-                                      featureSubsetStrategy="sqrt", seed=SEED), False
+                                      featureSubsetStrategy="sqrt", seed=SEED, maxMemoryInMB=1024, cacheNodeIds=True), False
     if name == "Gradient Boosting":
         return GBTClassifier(labelCol=TARGET, featuresCol="features", maxIter=250, stepSize=0.1, maxDepth=5, minInstancesPerNode=40,
-                             validationIndicatorCol="__is_val", seed=SEED), False
+                             validationIndicatorCol="__is_val", seed=SEED, maxMemoryInMB=1024, cacheNodeIds=True), False
     raise KeyError(name)
 
 
