@@ -158,32 +158,44 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> Data
     return out.select(*keep, TARGET, vector_to_array("probability")[1].alias("p"))
 
 
-def evaluate(prep: Prepared, model: PipelineModel, features: Sequence[str] | None = None) -> DataFrame:
+def evaluate(prep: Prepared, model: PipelineModel, features: Sequence[str] | None = None, materialize=None) -> DataFrame:
+    """Held-out metrics; ``materialize`` (optional) stores the scored rows once
+    so the confusion pass, AUC and AP do not each re-run the model."""
     feats = list(features or prep.features)
     cat = [c for c in feats if c in prep.categorical]
     train = prep.data.where(~F.col("is_test"))
     test = _pool(prep, prep.data.where(F.col("is_test")), train, cat)
-    return M.eval_metrics(score(model, test), "p", TARGET)
+    scored = score(model, test)
+    if materialize is not None:
+        scored = materialize(scored)
+    return M.eval_metrics(scored, "p", TARGET)
 
 
-def cross_validate(prep: Prepared, name: str, features: Sequence[str] | None = None) -> DataFrame:
-    """Grouped folds (order hash): AUC mean and population std over folds."""
-    spark = prep.data.sparkSession
+def fold_auc(prep: Prepared, name: str, k: int, features: Sequence[str] | None = None) -> float:
     train_all = prep.data.where(~F.col("is_test"))
     feats = list(features or prep.features)
     cat = [c for c in feats if c in prep.categorical]
-    aucs = []
-    for k in range(CV_FOLDS):
-        tr = train_all.where(F.col("fold") != k)
-        va = _pool(prep, train_all.where(F.col("fold") == k), tr, cat)
-        m = fit(prep, name, feats, train=tr)
-        a = M.roc_auc(M.score_counts(score(m, va), "p", TARGET)).first()["roc_auc"]
-        aucs.append(float(a))
-    arr = np.array(aucs)
-    return spark.createDataFrame(
-        [(name, round(float(arr.mean()), 4), round(float(arr.std()), 4), CV_FOLDS)],
-        "model string, cv_auc_mean double, cv_auc_std double, folds int",
-    )
+    tr = train_all.where(F.col("fold") != k)
+    va = _pool(prep, train_all.where(F.col("fold") == k), tr, cat)
+    m = fit(prep, name, feats, train=tr)
+    return float(M.roc_auc(M.score_counts(score(m, va), "p", TARGET)).first()["roc_auc"])
+
+
+def cross_validate(prep: Prepared, names: Sequence[str], features: Sequence[str] | None = None, threads: int = 4) -> DataFrame:
+    """Grouped folds (order hash): AUC mean and population std over folds.
+    Fold fits are independent Spark jobs, submitted from a small thread pool
+    so the cluster stays busy between the short jobs of each fit."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    spark = prep.data.sparkSession
+    tasks = [(n, k) for n in names for k in range(CV_FOLDS)]
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        aucs = list(pool.map(lambda t: fold_auc(prep, t[0], t[1], features), tasks))
+    rows = []
+    for n in names:
+        arr = np.array([a for (m, _), a in zip(tasks, aucs) if m == n])
+        rows.append((n, round(float(arr.mean()), 4), round(float(arr.std()), 4), CV_FOLDS))
+    return spark.createDataFrame(rows, "model string, cv_auc_mean double, cv_auc_std double, folds int")
 
 
 def select_best(metrics: DataFrame) -> DataFrame:

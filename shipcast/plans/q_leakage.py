@@ -92,3 +92,8 @@ def q_availability_table(spark, sf_dir):
     pop = _pop(spark, sf_dir).select(*ALL_COLS)
     feats = LK.feature_table(pop).where(F.col("variant") == "full").select("feature")
     return LK.availability_table(pop, feats)
+
+
+@query("export_availability", _avail_sql())
+def q_export_availability(spark, sf_dir):
+    return q_availability_table(spark, sf_dir)

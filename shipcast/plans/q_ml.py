@@ -56,10 +56,28 @@ def _variant_features(prep, variant):
     return prep.features
 
 
+_EVALS: dict = {}
+
+
 def _eval(spark, sf_dir, name, variant="full"):
-    prep = prepared(spark, sf_dir)
-    feats = _variant_features(prep, variant)
-    return ML.evaluate(prep, model(spark, sf_dir, name, variant), feats).select(F.lit(name).alias("model"), F.lit(variant).alias("variant"), "*")
+    """Held-out metrics of one fitted model: a one-row result, kept per
+    session so the comparison, ablation and selection queries reuse it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, variant)
+    with _LOCK:
+        if key not in _EVALS:
+            prep = prepared(spark, sf_dir)
+            feats = _variant_features(prep, variant)
+            from shipcast.sources.materialize import materialized
+
+            tag = f"scored_{name.replace(' ', '_').lower()}_{variant}"
+            df = ML.evaluate(
+                prep, model(spark, sf_dir, name, variant), feats, materialize=lambda d: materialized(spark, tag, sf_dir, lambda: d)
+            ).select(
+                F.lit(name).alias("model"), F.lit(variant).alias("variant"), "*"
+            )
+            _EVALS[key] = (df.schema, df.collect())
+        schema, rows = _EVALS[key]
+    return spark.createDataFrame(rows, schema)
 
 
 @query("preprocess")
@@ -107,12 +125,7 @@ def q_export_model_comparison(spark, sf_dir):
 
 @query("cross_validate")
 def q_cross_validate(spark, sf_dir):
-    prep = prepared(spark, sf_dir)
-    out = None
-    for name in ML.MODEL_ORDER:
-        part = ML.cross_validate(prep, name)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return ML.cross_validate(prepared(spark, sf_dir), ML.MODEL_ORDER)
 
 
 @query("ablation")
@@ -148,7 +161,13 @@ def q_coef_importance(spark, sf_dir):
 
 @query("permutation_importance")
 def q_permutation_importance(spark, sf_dir):
-    return ML.permutation_importance(prepared(spark, sf_dir), model(spark, sf_dir, _best_name(spark, sf_dir)))
+    """Written once per session (it scores every feature x repeat variant)."""
+    from shipcast.sources.materialize import materialized
+
+    return materialized(
+        spark, "perm_importance", sf_dir,
+        lambda: ML.permutation_importance(prepared(spark, sf_dir), model(spark, sf_dir, _best_name(spark, sf_dir))),
+    )
 
 
 @query("driver_interpretation")
@@ -326,3 +345,51 @@ def q_whatif_delta(spark, sf_dir):
         "order_id", "rec_base", "rec_new", (F.col("rec_base") != F.col("rec_new")).alias("recommendation_changed"),
         dround(F.col("cost_new") - F.col("cost_base"), 2).alias("delta_best_cost"), "delta_p_points_same_day",
     )
+
+
+# ------------------------------------------------ model scores -> decisions
+def model_counterfactuals(spark, sf_dir):
+    """Every held-out line scored by the selected model under every mode:
+    one explode of the four modes, one transform (wide per mode after a
+    single grouping on the line key)."""
+    from shipcast.operators.decision import KEY_OF
+    from shipcast.sources.adapter import MODES
+
+    prep = prepared(spark, sf_dir)
+    best = model(spark, sf_dir, _best_name(spark, sf_dir))
+    key = F.xxhash64("order_id", "product_id", "supplier_id", "line_number", "sales", "quantity", "discount_rate").alias("row_id")
+    test = prep.data.where(F.col("is_test")).select("*", key).withColumnRenamed("shipping_mode", "actual_mode")
+    cf = test.select("*", F.explode(F.array(*[F.lit(m) for m in MODES])).alias("shipping_mode"))
+    scored = best.transform(cf).select("row_id", "shipping_mode", vector_p().alias("p_late"))
+    return test, scored
+
+
+def vector_p():
+    from pyspark.ml.functions import vector_to_array
+
+    return vector_to_array("probability")[1]
+
+
+@query("counterfactual_scores_model")
+def q_counterfactual_scores_model(spark, sf_dir):
+    _, scored = model_counterfactuals(spark, sf_dir)
+    return scored.select("row_id", F.col("shipping_mode").alias("mode"), dround("p_late", 6).alias("p_late"))
+
+
+@query("policy_compare_model")
+def q_policy_compare_model(spark, sf_dir):
+    """Policies A-E on model scores for held-out lines (value in thousands)."""
+    from shipcast.operators import decision as D
+    from shipcast.plans.q_decision import DEFAULT
+
+    test, scored = model_counterfactuals(spark, sf_dir)
+    wide = scored.groupBy("row_id").agg(
+        *[F.max(F.when(F.col("shipping_mode") == m, F.col("p_late"))).alias(f"p_{k}") for m, k in D.KEY_OF.items()]
+    )
+    rows = test.select(
+        F.col("row_id").alias("order_id"), "market", "order_region", F.col("actual_mode").alias("shipping_mode"),
+        (dround(F.col("order_item_total"), 4) / D.VALUE_SCALE).alias("value"), (dround(F.col("profit"), 4) / D.VALUE_SCALE).alias("profit_k"),
+        F.col("row_id").alias("__rid"),
+    ).join(wide.withColumnRenamed("row_id", "__rid"), "__rid").drop("__rid")
+    prof = D.mode_profile(orders_frame(spark, sf_dir))
+    return D.policy_compare(D.evaluate(rows, prof, [D.scenario_struct("default", DEFAULT)]))

@@ -135,9 +135,13 @@ def orders_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shipcast.operators.features import engineer_features
     from shipcast.operators.rollup import order_rollup
 
-    return materialized(
-        spark, "orders", sf_dir, lambda: engineer_features(order_rollup(lines(spark, sf_dir)))
-    )
+    # the roll-up is written first: the feature step reads it three times
+    # (two median subqueries and the daily-volume join)
+    def build():
+        rolled = materialized(spark, "orders_rollup", sf_dir, lambda: order_rollup(lines(spark, sf_dir)))
+        return engineer_features(rolled)
+
+    return materialized(spark, "orders", sf_dir, build)
 
 
 def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
