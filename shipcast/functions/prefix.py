@@ -47,7 +47,7 @@ def prefix_sums(
         df = df.withColumn("__key", key)
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*gcols).agg(
-        F.approx_percentile("__key", F.array(*[F.lit(p) for p in probs]), 10000).alias("__bounds")
+        F.approx_percentile("__key", F.array(*[F.lit(p) for p in probs]), 1000).alias("__bounds")
     )
     # one row per group: joining it back lets AQE pick a broadcast by size
     with_b = df.join(bounds, on=gcols, how="inner").withColumn(
