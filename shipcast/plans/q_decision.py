@@ -162,8 +162,13 @@ SUMMARY_CTE = (
 
 
 def _rows(spark, sf_dir):
+    """Order frame, decision rows (scores joined, written once per session:
+    every policy branch and scenario reads them) and the mode profile."""
+    from shipcast.sources.materialize import materialized
+
     o = orders_frame(spark, sf_dir)
-    return o, D.decision_rows(o), D.mode_profile(o)
+    rows = materialized(spark, "decision_rows", sf_dir, lambda: D.decision_rows(o))
+    return o, rows, D.mode_profile(o)
 
 
 DEFAULT = D.resolve_assumptions()

@@ -52,6 +52,13 @@ EVAL_CTE = (
 
 
 def eval_frame(spark, sf_dir):
+    """Held-out lines with the three SQL scores, written once per session."""
+    from shipcast.sources.materialize import materialized
+
+    return materialized(spark, "eval_frame", sf_dir, lambda: _eval_frame(spark, sf_dir))
+
+
+def _eval_frame(spark, sf_dir):
     o = orders_frame(spark, sf_dir)
     train = not_cancelled(o).where(~split_flag(F.col("order_id")))
     pm = train.groupBy("shipping_mode").agg(F.avg("late_delivery_risk").alias("p_mode_only"))
