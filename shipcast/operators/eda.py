@@ -237,29 +237,31 @@ def transit_distribution(orders: DataFrame) -> DataFrame:
     )
 
 
+CORR_CHUNK = 15  # pairs per aggregate: keeps each buffer small enough for code generation
+
+
 def correlation_matrix(orders: DataFrame, fields: Sequence[str] = CORRELATION_FIELDS) -> DataFrame:
-    """All Pearson pairs (pairwise complete), long form.
+    """All Pearson pairs (pairwise complete), long form, both triangles.
 
-    Each row emits one (pair, x, y) record per unordered pair and a single
-    ``groupBy(pair)`` computes every coefficient: a narrow, code-generated
-    aggregate with p(p+1)/2 groups instead of one huge buffer row."""
+    The p(p+1)/2 coefficients are computed in chunks of ``CORR_CHUNK`` pairs:
+    one global aggregate per chunk (partial aggregation, code-generated) whose
+    single row is stacked to long form; the chunks are unioned (no join)."""
     fields = [f for f in fields if f in orders.columns]
     proj = orders.select(*[F.col(f).cast("double").alias(f) for f in fields])
     pairs = [(a, b) for i, a in enumerate(fields) for b in fields[i:]]
-    exploded = proj.select(
-        F.inline(
-            F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
-        )
-    ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    upper = exploded.groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
-    both = upper.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("a").alias("var_a"), F.col("b").alias("var_b"), F.col("corr").alias("corr")),
-                F.when(F.col("a") != F.col("b"), F.struct(F.col("b").alias("var_a"), F.col("a").alias("var_b"), F.col("corr").alias("corr"))),
-            )
-        )
-    ).where(F.col("var_a").isNotNull())
+    parts = []
+    for start in range(0, len(pairs), CORR_CHUNK):
+        chunk = pairs[start:start + CORR_CHUNK]
+        wide = proj.agg(*[F.corr(a, b).alias(f"c{j}") for j, (a, b) in enumerate(chunk)])
+        entries = []
+        for j, (a, b) in enumerate(chunk):
+            entries.append(f"'{a}', '{b}', c{j}")
+            if a != b:
+                entries.append(f"'{b}', '{a}', c{j}")
+        parts.append(wide.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) AS (var_a, var_b, corr)"))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
     c = F.col("corr")
     return both.select("var_a", "var_b", dround(F.when(~F.isnan(c), c), 4).alias("correlation"))
 
