@@ -95,14 +95,24 @@ def profile_columns(df: DataFrame) -> DataFrame:
         *[F.count(c).alias(f"nn_{c}") for c in cols],
         *[F.min(c).cast("double").alias(f"mn_{c}") for c in cols if is_numeric(types[c])],
     )
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-    distinct = (
-        long.where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("unique"), F.min("value").alias("min_text"))
-    )
+    # distinct counts: numeric columns compared as doubles (no text
+    # conversion), the rest as text; one grouping per family
+    num = [c for c in cols if is_numeric(types[c])]
+    txt = [c for c in cols if c not in num]
+    parts = []
+    if num:
+        ln = df.select(*[F.col(c).cast("double").alias(c) for c in num]).unpivot([], num, "column", "value")
+        parts.append(
+            ln.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.lit(None).cast("string").alias("min_text"))
+        )
+    if txt:
+        lt = df.select(*[F.col(c).cast("string").alias(c) for c in txt]).unpivot([], txt, "column", "value")
+        parts.append(
+            lt.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.min("value").alias("min_text"))
+        )
+    distinct = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     kinds = {c: kind(types[c]) for c in cols}
     stack = base.selectExpr(
         "__n",
