@@ -49,10 +49,13 @@ def prefix_sums(
     bounds = df.groupBy(*gcols).agg(
         F.approx_percentile("__key", F.array(*[F.lit(p) for p in probs]), 1000).alias("__bounds")
     )
-    # one row per group: joining it back lets AQE pick a broadcast by size
-    with_b = df.join(bounds, on=gcols, how="inner").withColumn(
-        "__bucket", F.size(F.filter("__bounds", lambda b: b < F.col("__key")))
-    ).drop("__bounds")
+    if group_cols:
+        # one row per group: joining it back lets AQE pick a broadcast by size
+        with_b = df.join(bounds, on=gcols, how="inner")
+    else:
+        # a single row: a scalar subquery column, not a join
+        with_b = df.withColumn("__bounds", bounds.select("__bounds").scalar())
+    with_b = with_b.withColumn("__bucket", F.size(F.filter("__bounds", lambda b: b < F.col("__key")))).drop("__bounds")
     totals = with_b.groupBy(*gcols, "__bucket").agg(
         *[F.sum(w).alias(f"__bt_{w}") for w in weight_cols]
     )

@@ -88,8 +88,9 @@ def pool_rare(df: DataFrame, train: DataFrame, categorical: Sequence[str], min_c
     out = df
     for c in categorical:
         frequent = train.groupBy(c).count().where(F.col("count") >= min_count).select(F.col(c).alias(f"__f_{c}"))
-        # one row per frequent level: at most (train rows / min_count) rows
-        out = out.join(F.broadcast(frequent), F.col(c) == F.col(f"__f_{c}"), "left").withColumn(
+        # at most (train rows / min_count) levels: not a small bound in
+        # general, so AQE chooses broadcast or shuffle by measured size
+        out = out.join(frequent, F.col(c) == F.col(f"__f_{c}"), "left").withColumn(
             c, F.when(F.col(f"__f_{c}").isNotNull(), F.col(c)).when(F.col(c).isNull(), F.lit(None)).otherwise(F.lit(RARE))
         ).drop(f"__f_{c}")
     return out
