@@ -79,3 +79,28 @@ def test_whatif_fill(spark):
     assert out[1].sales == 20.0 and out[1].discount_rate == 0.1 and out[1].market == "ASIA"
     assert math.isclose(out[1].order_item_total, 18.0)
     assert out[2].market == "EUROPE" and out[2].sales == 5.0
+
+
+def test_sink_model_roundtrip(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from shipcast.sources.sinks import sink_model
+
+    df = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0), (0.0, 0.2), (1.0, 0.9)], "label double, x double")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LogisticRegression()]).fit(df)
+    path = sink_model(model, str(tmp_path / "m"))
+    again = PipelineModel.load(path)
+    assert again.transform(df).count() == 4
+
+
+def test_sweep_parameter_and_presets():
+    from shipcast.operators import decision as D
+
+    base = D.resolve_assumptions()
+    a = D.with_parameter(base, "freight:Same Day", 40)
+    assert a.freight_cost["Same Day"] == 40.0 and base.freight_cost["Same Day"] == 32.0
+    b = D.with_parameter(base, "speed_value_per_day", 0)
+    assert b.speed_value_per_day == 0.0
+    assert len(D.sweep_scenarios(base)) == sum(len(v) for v in D.SWEEPS.values())
