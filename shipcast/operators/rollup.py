@@ -45,12 +45,25 @@ def order_rollup(lines: DataFrame) -> DataFrame:
         + [F.max(c).alias(c) for c in INVARIANT_COLS if c in present]
         + [
             F.count(F.lit(1)).alias("n_items"),
-            F.countDistinct("product_id").alias("n_distinct_products"),
             F.min_by("category_name", tie).alias("category_name"),
             F.min_by("department_name", tie).alias("department_name"),
         ]
     )
-    return lines.groupBy("order_id").agg(*aggs)
+    main = lines.groupBy("order_id").agg(*aggs)
+    # distinct products as a separate hash aggregation on numeric keys: a
+    # distinct aggregate inside the text-buffer aggregate above would add a
+    # second sort-based level; both sides end hash-partitioned by order_id,
+    # so the join adds no exchange
+    products = (
+        lines.where(F.col("product_id").isNotNull())
+        .groupBy("order_id", "product_id")
+        .agg(F.count(F.lit(1)).alias("__c"))
+        .groupBy("order_id")
+        .agg(F.count(F.lit(1)).alias("n_distinct_products"))
+    )
+    return main.join(products, "order_id", "left").withColumn(
+        "n_distinct_products", F.coalesce(F.col("n_distinct_products"), F.lit(0)).cast("bigint")
+    )
 
 
 def grain_check(lines: DataFrame, columns: list[str] | None = None) -> DataFrame:
