@@ -1,0 +1,287 @@
+"""Tokenising and best-fit packing with swap-based local search.
+
+1. Every text is tokenised; pieces longer than the capacity are cut.
+2. Pieces are dealt by hash into blocks of a fixed expected size (their number
+   follows the table), packed best-fit decreasing within a block, then
+   improved: moves, one-for-one and two-for-one exchanges that raise the sum
+   of squared fills, until bins empty or no exchange helps.
+3. The few bins that stay underfull in each block are taken apart and packed
+   again, many blocks together, the same way.
+"""
+
+from __future__ import annotations
+
+import bisect
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shipcast.llm.common import staged
+
+#: pieces that one packing task is meant to hold
+BLOCK = 16_384
+#: blocks whose underfull bins meet in one second-level task
+FAN_IN = 512
+#: entries of one generation of a worker's word cache (two generations live)
+CACHE = 250_000
+
+
+class WordTokenizer:
+    """Ids of whole texts, word by word.
+
+    The tokenizer treats what lies between blanks alone, so ids of a text are
+    the ids of its blank-separated chunks, which a bounded cache keeps.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
+        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Ids of chunks that neither generation holds.  A chunk of plain
+        letters ending in one point or comma is its word and the mark."""
+        words: dict[str, list[tuple[str, str]]] = {}
+        for chunk in missing:
+            mark = chunk[-1:] if chunk[-1:] in (".", ",") and chunk[:-1].isalpha() else ""
+            word = chunk[: len(chunk) - len(mark)]
+            if not word or max(word) < "İ":
+                word = word.lower()
+            words.setdefault(word, []).append((chunk, mark))
+        todo = [w for w in words if w not in self.new and w not in self.old]
+        ids = dict(zip(todo, self._encode(todo)))
+        marks = dict(zip((".", ",", ""), self._encode([".", ",", ""])))
+        for word, uses in words.items():
+            got = ids.get(word) or self.new.get(word) or self.old.get(word) or ids.get(word, b"")
+            self.new[word] = got
+            for chunk, mark in uses:
+                self.new[chunk] = got + marks[mark]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Per text its ids as little-endian unsigned 32-bit bytes."""
+        out, size, group = [], 0, []
+        for text in texts:
+            group.append(text.replace("\n", " ").split(" "))
+            size += len(text)
+            if size > 2_000_000:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
+    def _group(self, group: list[list[str]]) -> list[bytes]:
+        new, old = self.new, self.old
+        missing: set[str] = set()
+        for chunks in group:
+            for c in chunks:
+                if c not in new:
+                    if c in old:
+                        new[c] = old[c]
+                    else:
+                        missing.add(c)
+        if missing:
+            self._learn(missing)
+        got = [b"".join([new[c] for c in chunks]) for chunks in group]
+        if len(new) > CACHE:
+            self.old, self.new = new, {}
+        return got
+
+
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def _tokenizer(path: str) -> WordTokenizer:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
+PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
+
+
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+    """One row per piece: a document's ids (then ``end_id``), cut only where
+    longer than ``capacity``.  Null text counts as empty: one id."""
+    end = np.asarray([end_id], "<u4").tobytes()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tok = _tokenizer(tokenizer_path)
+        for pdf in batches:
+            rows = []
+            ids = tok.encode([t if isinstance(t, str) else "" for t in pdf["text"]])
+            for doc, raw in zip(pdf["doc_id"], ids):
+                raw += end
+                doc = None if pd.isna(doc) else int(doc)
+                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                    part = raw[at : at + 4 * capacity]
+                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            frame["doc_id"] = frame["doc_id"].astype("Int64")
+            yield frame
+
+    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+
+
+class Bins:
+    """Bins of one task; ``sizes`` are the item lengths."""
+
+    def __init__(self, sizes: np.ndarray, capacity: int) -> None:
+        self.sizes, self.capacity = [int(x) for x in sizes], capacity
+        self.items: list[list[int]] = []
+        self.free: list[int] = []
+
+    def best_fit(self) -> None:
+        """Best fit, longest first; ties by position."""
+        order = sorted(range(len(self.sizes)), key=lambda i: (-self.sizes[i], i))
+        rooms: list[tuple[int, int]] = []  # (free, bin), sorted
+        for i in order:
+            size = self.sizes[i]
+            at = bisect.bisect_left(rooms, (size, -1))
+            if at < len(rooms):
+                room, b = rooms.pop(at)
+                self.items[b].append(i)
+                room -= size
+            else:
+                b, room = len(self.items), self.capacity - size
+                self.items.append([i])
+                self.free.append(room)
+            self.free[b] = room
+            if room:
+                bisect.insort(rooms, (room, b))
+
+    def lower_bound(self) -> int:
+        return -(-sum(self.sizes) // self.capacity)
+
+    def improve(self) -> None:
+        """Raise the sum of squared fills among underfull bins by moves and
+        exchanges until no step helps or the bin count meets its lower bound.
+        Every step raises an integer that is bounded, so this ends."""
+        least = self.lower_bound()
+        live = {b for b in range(len(self.items)) if self.items[b]}
+        while len(live) > least:
+            open_ = sorted((b for b in live if self.free[b]), key=lambda b: (-self.free[b], b))
+            if not any(self._step(x, open_) for x in open_):
+                break
+            live = {b for b in live if self.items[b]}
+        self.items = [x for x in self.items if x]
+
+    def _put(self, b: int, out: list[int], into: list[int]) -> None:
+        for i in out:
+            self.items[b].remove(i)
+        self.items[b] += into
+        self.free[b] = self.capacity - sum(self.sizes[i] for i in self.items[b])
+
+    def _step(self, x: int, open_: list[int]) -> bool:
+        """One improving step that shifts load from bin x to a fuller bin."""
+        for y in reversed(open_):
+            if y == x or not self.items[x] or self.free[y] > self.free[x] or not self.items[y]:
+                continue
+            room = self.free[y]
+            for i in sorted(self.items[x], key=lambda i: -self.sizes[i]):
+                if self.sizes[i] <= room:  # move
+                    self._put(x, [i], [])
+                    self._put(y, [], [i])
+                    return True
+            mine = sorted((self.sizes[i], i) for i in self.items[x])
+            for j in self.items[y]:
+                size = self.sizes[j]
+                at = bisect.bisect_right(mine, (size + room, len(self.sizes))) - 1
+                if at >= 0 and mine[at][0] > size:  # one for one
+                    i = mine[at][1]
+                    self._put(x, [i], [j])
+                    self._put(y, [j], [i])
+                    return True
+            for a, (first, i) in enumerate(mine):
+                for second, k in mine[a + 1 :]:  # two for one
+                    for j in self.items[y]:
+                        if 0 < first + second - self.sizes[j] <= room:
+                            self._put(x, [i, k], [j])
+                            self._put(y, [j], [i, k])
+                            return True
+        return False
+
+
+PACKED = PIECES + ", sequence_id long, offset long, fill int"
+
+
+def _pack_frame(pdf: pd.DataFrame, capacity: int, base: int) -> pd.DataFrame:
+    pdf = pdf.sort_values(["doc_id", "piece", "start", "length", "ids_crc32"], kind="stable").reset_index(drop=True)
+    bins = Bins(pdf["length"].to_numpy(), capacity)
+    bins.best_fit()
+    bins.improve()
+    seq, offset, fill = (np.zeros(len(pdf), np.int64) for _ in range(3))
+    lengths = pdf["length"].to_numpy()
+    for k, items in enumerate(bins.items):
+        at = 0
+        for i in items:
+            seq[i], offset[i] = base + k, at
+            at += int(lengths[i])
+        fill[items] = at
+    out = pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
+    out["sequence_id"], out["offset"], out["fill"] = seq, offset, fill.astype("int32")
+    return out
+
+
+def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int = 4096, underfull: float = 0.995) -> DataFrame:
+    """Assign every piece a sequence and an offset.
+
+    Full pieces are sequences by themselves.  ``pieces`` should be a stored
+    table (it is read more than once).  Waste beyond the total's lower bound
+    is at most about one bin per second-level task.
+    """
+    key = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
+    rest = pieces.where(F.col("length") < capacity)
+    n = rest.count()
+    blocks = max(1, -(-n // BLOCK))
+    whole = pieces.where(F.col("length") >= capacity).select(
+        "*",
+        # ids of this kind are negative: unique per row, apart from the block ids
+        (-F.monotonically_increasing_id() - 1).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"),
+    )
+
+    def first(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _pack_frame(pdf.drop(columns="block"), capacity, (int(k[0]) * 2) << 32)
+
+    def second(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _pack_frame(pdf.drop(columns="block"), capacity, (int(k[0]) * 2 + 1) << 32)
+
+    level1 = staged(
+        spark,
+        rest.withColumn("block", F.pmod(key, F.lit(blocks))).groupBy("block").applyInPandas(first, PACKED),
+        "packed-1",
+    )
+    done = level1.where(F.col("fill") >= underfull * capacity)
+    again = (
+        level1.where(F.col("fill") < underfull * capacity)
+        .withColumn("block", F.shiftright(F.col("sequence_id"), 33) % F.lit(max(1, -(-blocks // FAN_IN))))
+        .select(*[c.split()[0] for c in PIECES.split(", ")], "block")
+        .groupBy("block")
+        .applyInPandas(second, PACKED)
+    )
+    cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    return whole.select(*cols).unionByName(done.select(*cols)).unionByName(again.select(*cols))
+
+
+def pack_documents(
+    spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1
+) -> DataFrame:
+    """Tokenise and pack ``doc_id, text`` (other columns are ignored).
+
+    Null text is empty; an empty text is one end id; repeated rows are packed
+    each; a null doc_id stays null; an empty table gives no rows.
+    """
+    pieces = staged(spark, token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    packed = pack_pieces(spark, pieces, capacity)
+    return packed.select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset"
+    )
