@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipcast.llm import chat_format, language_id, packing
+from shipcast.llm import chat_format, language_id, packing, pii, toxicity
 from shipcast.llm.common import id_remainder
 from shipcast.sources.tables import read_table
 
@@ -73,3 +73,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites_history"
     ).drop("rewrites_history")
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    train = docs.where(id_remainder("doc_id", 4) != 2)
+    model = toxicity.fit_toxicity(train, labels.select("doc_id", "toxic"))
+    held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op7_personal_data")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def of_kind(k: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return out.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+        pii.spans_text(F.concat("base", "added")).alias("spans"),
+    )
