@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,82 +28,75 @@ BLOCK = 16_384
 #: blocks whose underfull bins meet in one second-level task
 FAN_IN = 512
 #: entries of one generation of a worker's word cache (two generations live)
-CACHE = 250_000
+CACHE = 400_000
 
 
-class WordTokenizer:
-    """Ids of whole texts, word by word.
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers show for each byte: printable
+    bytes as they are, the others from code point 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
-    The tokenizer treats what lies between blanks alone, so ids of a text are
-    the ids of its blank-separated chunks, which a bounded cache keeps.
+
+class WordCache(dict):
+    """Chunk of text -> its ids as little-endian unsigned 32-bit bytes.
+
+    What the tokenizer makes of a text depends on its blank-separated chunks
+    alone.  A miss is encoded once; the entries of the generation before stay
+    at hand, so the cache is bounded and keeps frequent words.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {}
+        self.letters = _byte_letters()
         self.old: dict[str, bytes] = {}
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, missing: set[str]) -> None:
-        """Ids of chunks that neither generation holds.  A chunk of plain
-        letters ending in one point or comma is its word and the mark."""
-        words: dict[str, list[tuple[str, str]]] = {}
-        for chunk in missing:
-            mark = chunk[-1:] if chunk[-1:] in (".", ",") and chunk[:-1].isalpha() else ""
-            word = chunk[: len(chunk) - len(mark)]
-            if not word or max(word) < "İ":
-                word = word.lower()
-            words.setdefault(word, []).append((chunk, mark))
-        todo = [w for w in words if w not in self.new and w not in self.old]
-        ids = dict(zip(todo, self._encode(todo)))
-        marks = dict(zip((".", ",", ""), self._encode([".", ",", ""])))
-        for word, uses in words.items():
-            got = ids.get(word) or self.new.get(word) or self.old.get(word) or ids.get(word, b"")
-            self.new[word] = got
-            for chunk, mark in uses:
-                self.new[chunk] = got + marks[mark]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit bytes."""
-        out, size, group = [], 0, []
-        for text in texts:
-            group.append(text.replace("\n", " ").split(" "))
-            size += len(text)
-            if size > 2_000_000:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, group: list[list[str]]) -> list[bytes]:
-        new, old = self.new, self.old
-        missing: set[str] = set()
-        for chunks in group:
-            for c in chunks:
-                if c not in new:
-                    if c in old:
-                        new[c] = old[c]
-                    else:
-                        missing.add(c)
-        if missing:
-            self._learn(missing)
-        got = [b"".join([new[c] for c in chunks]) for chunks in group]
-        if len(new) > CACHE:
-            self.old, self.new = new, {}
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            last = chunk[-1:]
+            word = chunk[:-1] if last == "." or last == "," else chunk
+            if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+                # one word of letters: lower case is all that normalising does
+                if word is chunk:
+                    low = word.lower()
+                    found = self._word(low) if low == word else self[low]
+                else:
+                    found = self[word] + self[last]
+            else:
+                found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # of letters below U+0100 lower case never depends on context
+        except UnicodeEncodeError:
+            pass
+        got = b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
         return got
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_CACHES: dict[str, WordCache] = {}
 
 
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+def _cache(path: str) -> WordCache:
+    """One per worker process, kept between tasks."""
+    if path not in _CACHES:
+        _CACHES[path] = WordCache(path)
+    return _CACHES[path]
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -114,12 +108,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = _tokenizer(tokenizer_path)
+        cache = _cache(tokenizer_path)
         for pdf in batches:
             rows = []
-            ids = tok.encode([t if isinstance(t, str) else "" for t in pdf["text"]])
-            for doc, raw in zip(pdf["doc_id"], ids):
-                raw += end
+            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                raw = cache.encode(text if isinstance(text, str) else "") + end
                 doc = None if pd.isna(doc) else int(doc)
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
