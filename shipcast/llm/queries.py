@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipcast.llm import chat_format, language_id, packing, pii, toxicity
+from shipcast.llm import chat_format, decontaminate, language_id, packing, pii, toxicity
 from shipcast.llm.common import id_remainder
 from shipcast.sources.tables import read_table
 
@@ -98,3 +98,41 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
         pii.spans_text(F.concat("base", "added")).alias("spans"),
     )
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws
+  FROM documents
+), b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws
+  FROM benchmark
+), bw AS (
+  SELECT item, unnest(CASE WHEN len(ws) < 10 THEN [ws] ELSE [ws[i:i + 9] for i in range(1, len(ws) - 8)] END) AS w
+  FROM b WHERE len(ws) > 0
+), win AS (SELECT DISTINCT item, array_to_string(w, ' ') AS k, len(w) AS size FROM bw
+), sizes AS (SELECT DISTINCT size FROM win
+), dw AS (
+  SELECT rid, size, unnest(range(0, len(ws) - size + 1)) AS s, ws FROM d, sizes WHERE len(ws) >= size
+), occ AS (
+  SELECT dw.rid, dw.s, dw.size, win.item FROM dw JOIN win ON win.size = dw.size AND win.k = array_to_string(dw.ws[dw.s + 1:dw.s + dw.size], ' ')
+), hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + size)) AS p FROM (SELECT DISTINCT rid, s, size FROM occ)) GROUP BY rid
+), it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM occ) GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS n_hit, coalesce(it.n_items, 0) AS n_items,
+       sha256(coalesce(it.ids, '')) AS items_sha256, hit.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
+"""
+
+
+@query("op2_decontamination", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(
+        spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+    return out.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
+    )
