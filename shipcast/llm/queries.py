@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipcast.llm import chat_format, decontaminate, language_id, packing, pii, toxicity
+from shipcast.llm import chat_format, decontaminate, language_id, near_duplicates, packing, pii, toxicity
 from shipcast.llm.common import id_remainder
 from shipcast.sources.tables import read_table
 
@@ -136,3 +136,31 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
     )
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                                   ELSE [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] END) AS g
+  FROM d WHERE len(ws) > 0
+), n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid
+), pairs AS (
+  SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9
+), reach(x, y) AS (SELECT rid, rid FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+), cls AS (SELECT r.x AS rid, min(d.doc_id) AS class_id FROM reach r JOIN d ON d.rid = r.y GROUP BY 1
+), cnt AS (SELECT x AS rid, count(*) AS n_links FROM links GROUP BY 1)
+SELECT d.doc_id, cls.class_id, coalesce(cnt.n_links, 0) AS n_links
+FROM d JOIN cls USING (rid) LEFT JOIN cnt USING (rid)
+"""
+
+
+@query("op8_jaccard_join", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(spark, read_table(spark, sf_dir, "documents"))
