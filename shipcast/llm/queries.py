@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipcast.llm import chat_format, decontaminate, language_id, near_duplicates, packing, pii, toxicity
+from shipcast.llm import chat_format, decontaminate, language_id, line_dedup, near_duplicates, packing, pii, toxicity
 from shipcast.llm.common import id_remainder
 from shipcast.sources.tables import read_table
 
@@ -164,3 +164,30 @@ FROM d JOIN cls USING (rid) LEFT JOIN cnt USING (rid)
 @query("op8_jaccard_join", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(spark, read_table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT rid, unnest(range(0, len(ls))) AS i, unnest(ls) AS line FROM d
+), p AS (
+  SELECT a.rid AS r, a.i AS i, b.rid AS s, b.i AS j, length(a.line) AS c
+  FROM l a JOIN l b ON a.line = b.line AND (b.rid < a.rid OR (b.rid = a.rid AND b.i < a.i))
+), isl AS (
+  SELECT *, i - row_number() OVER (PARTITION BY r, s, i - j ORDER BY i) AS g FROM p
+), ok AS (
+  SELECT r, i, sum(c) OVER (PARTITION BY r, s, i - j, g) AS total FROM isl
+), gone AS (SELECT DISTINCT r, i FROM ok WHERE total >= 20
+), kept AS (
+  SELECT l.rid, string_agg(line, chr(10) ORDER BY l.i) AS t, count(*) AS n
+  FROM l LEFT JOIN gone ON gone.r = l.rid AND gone.i = l.i WHERE gone.r IS NULL GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, len(ls) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+
+@query("op6_line_dedup", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
