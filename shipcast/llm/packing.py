@@ -131,6 +131,8 @@ class Bins:
         self.sizes, self.capacity = [int(x) for x in sizes], capacity
         self.items: list[list[int]] = []
         self.free: list[int] = []
+        #: pairs of bin contents (their sizes) between which no step helps
+        self.settled: set[tuple] = set()
 
     def best_fit(self) -> None:
         """Best fit, longest first; ties by position."""
@@ -154,17 +156,23 @@ class Bins:
     def lower_bound(self) -> int:
         return -(-sum(self.sizes) // self.capacity)
 
-    def improve(self) -> None:
+    def improve(self, effort: int = 40_000) -> None:
         """Raise the sum of squared fills among underfull bins by moves and
-        exchanges until no step helps or the bin count meets its lower bound.
-        Every step raises an integer that is bounded, so this ends."""
+        exchanges until no step helps, the bin count meets its lower bound, or
+        ``effort`` pairs of bins were compared (search effort only: every item
+        stays packed).  Every step raises a bounded integer, so this ends."""
         least = self.lower_bound()
-        live = {b for b in range(len(self.items)) if self.items[b]}
-        while len(live) > least:
+        live = [b for b in range(len(self.items)) if self.items[b]]
+        self.left = effort
+        while len(live) > least and self.left > 0:
             open_ = sorted((b for b in live if self.free[b]), key=lambda b: (-self.free[b], b))
-            if not any(self._step(x, open_) for x in open_):
+            helped = False
+            for x in open_:
+                while self.left > 0 and self.items[x] and self._step(x, open_):
+                    helped = True
+            live = [b for b in live if self.items[b]]
+            if not helped:
                 break
-            live = {b for b in live if self.items[b]}
         self.items = [x for x in self.items if x]
 
     def _put(self, b: int, out: list[int], into: list[int]) -> None:
@@ -178,15 +186,22 @@ class Bins:
         for y in reversed(open_):
             if y == x or not self.items[x] or self.free[y] > self.free[x] or not self.items[y]:
                 continue
+            self.left -= 1
+            if self.left < 0:
+                return False
+            pair = (self._content(x), self._content(y))
+            if pair in self.settled:
+                continue
             room = self.free[y]
             for i in sorted(self.items[x], key=lambda i: -self.sizes[i]):
                 if self.sizes[i] <= room:  # move
                     self._put(x, [i], [])
                     self._put(y, [], [i])
                     return True
-            mine = sorted((self.sizes[i], i) for i in self.items[x])
-            for j in self.items[y]:
-                size = self.sizes[j]
+            # of equal sizes one item (for pairs, two) stands for all
+            mine = self._few(x, 2)
+            theirs = self._few(y, 1)
+            for size, j in theirs:
                 at = bisect.bisect_right(mine, (size + room, len(self.sizes))) - 1
                 if at >= 0 and mine[at][0] > size:  # one for one
                     i = mine[at][1]
@@ -195,13 +210,27 @@ class Bins:
                     return True
             for a, (first, i) in enumerate(mine):
                 for second, k in mine[a + 1 :]:  # two for one
-                    for j in self.items[y]:
-                        if 0 < first + second - self.sizes[j] <= room:
+                    for size, j in theirs:
+                        if 0 < first + second - size <= room:
                             self._put(x, [i, k], [j])
                             self._put(y, [j], [i, k])
                             return True
+            self.settled.add(pair)
         return False
 
+    def _content(self, b: int) -> tuple[int, ...]:
+        return tuple(sorted(self.sizes[i] for i in self.items[b]))
+
+    def _few(self, b: int, most: int) -> list[tuple[int, int]]:
+        """(size, item) of a bin by size, at most ``most`` items of each size."""
+        taken: dict[int, int] = {}
+        out = []
+        for size, i in sorted((self.sizes[i], i) for i in self.items[b]):
+            taken[size] = taken.get(size, 0) + 1
+            if taken[size] <= most:
+                out.append((size, i))
+        return out
+
 
 PACKED = PIECES + ", sequence_id long, offset long, fill int"
 
