@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipcast.llm import chat_format, decontaminate, language_id, line_dedup, near_duplicates, packing, pii, suffix_repeats, toxicity
+from shipcast.llm import chat_format, decontaminate, language_id, line_dedup, near_duplicates, neighbour_index, packing, pii, suffix_repeats, toxicity
 from shipcast.llm.common import id_remainder
 from shipcast.sources.tables import read_table
 
@@ -197,3 +197,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_repeats.remove_repeats(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op4_learned_partitions")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_index.nearest(spark, read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
