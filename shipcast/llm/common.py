@@ -35,3 +35,8 @@ def bounded_sample(df: DataFrame, id_col: str, limit: int, seed: int = 7) -> Dat
         .orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col))
         .limit(limit)
     )
+
+
+def text_key(text: Column) -> Column:
+    """Hash of a whole text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shipcast.llm.common import staged
+from shipcast.llm.common import staged, text_key
 
 PHRASES_AT_ONCE = 100_000
 #: What lies between words: ASCII other than letters and digits.
@@ -152,7 +152,7 @@ def _postings(docs: DataFrame, table: DataFrame | None, slop: int, with_document
         lookup = table.unionByName(mark)
     words = raw_words(F.col("text"))
     listed = docs.select(
-        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.concat(words, F.array(F.lit(MARK))).alias("ws")
+        "doc_id", text_key(F.col("text")).alias("text_key"), F.concat(words, F.array(F.lit(MARK))).alias("ws")
     )
     hits = listed.select("doc_id", "text_key", "ws", F.posexplode("ws").alias("pos", "w"))
     hits = hits.withColumn("term", small_letters(F.col("w"))).join(F.broadcast(lookup), "term")
@@ -181,8 +181,8 @@ def _postings(docs: DataFrame, table: DataFrame | None, slop: int, with_document
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
-    """One row per row of ``doc_id, text``: ``doc_id, n_words, n_hit, n_items,
-    item_ids, contaminated``.
+    """One row per row of ``doc_id, text``: ``doc_id, text_key, n_words, n_hit,
+    n_items, item_ids, contaminated``.
 
     A null text has no words; a null doc_id is kept; repeated rows each get
     a row; other columns are ignored.  An empty benchmark hits nothing.
@@ -212,6 +212,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, length
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return marked.select(
         F.col("d.doc_id").alias("doc_id"),
+        F.col("d.text_key").alias("text_key"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),

@@ -15,21 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shipcast.llm.common import staged
+from shipcast.llm.common import staged, text_key
 
 #: a repeated run is deleted if it has at least so many characters
 MIN_CHARS = 20
 KEY = ["doc_id", "text_key"]
 
 
-def text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def _ranked(spark: SparkSession, names: DataFrame, cols: list[str], name: str) -> DataFrame:
     """Order-preserving rank of each row: a range sort, then ids that grow with
     the sorted position; written at once, so that they are fixed."""

@@ -19,10 +19,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from shipcast.llm import hashing
-from shipcast.llm.common import staged
-from shipcast.llm.decontaminate import small_side
+from shipcast.llm.common import staged, text_key
+from shipcast.llm.decontaminate import GAP, small_side
 from shipcast.llm.graph import components
 
 #: nodes in one chunk of a large component
@@ -44,14 +45,14 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, node, n, bands``: key of the word sequence, shingles with
-    repeats, band hashes (empty for a text without words)."""
+    """``doc_id, text_key, node, n, bands``: a hash of the text, key of the word
+    sequence, shingles with repeats, band hashes (none for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _seeds(bands * rows)
         odd = np.uint64(2) * np.arange(1, rows + 1, dtype=np.uint64) + np.uint64(1)
         for batch in batches:
-            for at, raw in hashing.batches_of(batch.column(1).to_pylist()):
+            for at, raw in hashing.batches_of(batch.column(2).to_pylist()):
                 words, stops = hashing.word_hashes(raw)
                 grams, ends = hashing.shingles(words, stops, size)
                 begins = np.concatenate([[0], ends[:-1]])
@@ -74,16 +75,16 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(raw)),
+                        batch.column(1).slice(at, len(raw)),
                         pa.array(nodes, pa.binary()),
                         pa.array(n, pa.int32()),
                         pa.array(lists, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "node", "n", "bands"],
+                    ["doc_id", "text_key", "node", "n", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, node binary, n int, bands array<long>"
-    )
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    return keyed.mapInArrow(run, "doc_id long, text_key long, node binary, n int, bands array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -209,12 +210,12 @@ def _verify(threshold: float):
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.99999
 ) -> DataFrame:
-    """``doc_id, class_id, n_links`` for every row of ``doc_id, text``.
+    """``doc_id, text_key, class_id, n_links, class_key`` for every row of ``doc_id, text``.
 
     Documents link when the Jaccard similarity of their sets of ``size``-word
     shingles is at least ``threshold``; n_links counts a document's linked
     other documents (rows), copies included.  A class is a connected component of links; its id is its
-    smallest doc_id.  Texts without words (null, empty) link to nothing and
+    smallest doc_id; ``class_key`` names it uniquely (null without words).  Texts without words (null, empty) link to nothing and
     are classes by themselves, named by their doc_id.  Other columns are
     ignored; an empty table gives no rows.
     """
@@ -263,13 +264,46 @@ def near_duplicates(
     known = known.withColumn("root", F.coalesce("root", "node"))
     names = known.groupBy("root").agg(F.min("rep").alias("class_id"))
     results = known.join(names, "root").select(
-        "node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("root").alias("class_key")
     )
     return (
-        with_words.select("doc_id", "node")
+        with_words.select("doc_id", "text_key", "node")
         .join(results, "node")
-        .select("doc_id", "class_id", "n_links")
+        .select("doc_id", "text_key", "class_id", "n_links", "class_key")
         .unionByName(
-            signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+            signed.where("n = 0").select(
+                "doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+                F.lit(None).cast("binary").alias("class_key"),
+            )
         )
     )
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their class: its smallest (doc_id,
+    text hash); of rows that agree in both one stays.  Texts without words all
+    stay.  ``classes`` is the stored result of :func:`near_duplicates`."""
+    place = F.struct("doc_id", "text_key")
+    first = classes.where("class_key is not null").groupBy("class_key").agg(F.min(place).alias("p")).select("p.*")
+    gone = staged(
+        spark,
+        classes.where("class_key is not null").select("doc_id", "text_key").distinct().exceptAll(first),
+        "copies",
+    )
+    kept = without(docs, gone)
+    again = classes.where("class_key is not null").groupBy("doc_id", "text_key").count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    # rows repeated as a whole
+    base = kept.select(F.struct("*").alias("row"), text_key(F.col("text")).alias("key"))
+    number = F.row_number().over(W.partitionBy("row.doc_id", "key").orderBy("key"))
+    worded = F.length(F.regexp_replace(F.coalesce("row.text", F.lit("")), GAP, "")) > 0
+    return base.withColumn("n", number).where((F.col("n") == 1) | ~worded).select("row.*")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, hash of text) is not in ``gone``."""
+    keys = small_side(gone.select(F.col("doc_id").alias("g_doc"), F.col("text_key").alias("g_key")), BROADCAST_NODES)
+    rows = docs.select(F.struct("*").alias("row"), text_key(F.col("text")).alias("key"))
+    match = (F.col("key") == F.col("g_key")) & F.col("row.doc_id").eqNullSafe(F.col("g_doc"))
+    return rows.join(keys, match, "left_anti").select("row.*")

@@ -163,7 +163,9 @@ FROM d JOIN cls USING (rid) LEFT JOIN cnt USING (rid)
 
 @query("op8_jaccard_join", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(spark, read_table(spark, sf_dir, "documents"))
+    return near_duplicates.near_duplicates(spark, read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_links"
+    )
 
 
 OP6_SQL = r"""

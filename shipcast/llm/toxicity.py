@@ -284,3 +284,22 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, score double, predicted int"
     )
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is below the
+    threshold; a row is judged where it lies."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = model.automaton()
+        w = np.array(model.weights)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                part = whole.slice(start, 256)
+                folded = [fold(t or "") for t in part.column(at).to_pylist()]
+                z = w[0] + np.array([features(t, automaton) for t in folded]) @ w[1:]
+                score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                yield part.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
