@@ -1,15 +1,12 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame
 functions only.
 
-The index is partitioned by document: a document's posting lists lie in its
-own row, so lists are intersected where they are and no text is shuffled.
-
 1. Term statistics: how often each benchmark term occurs in the corpus.
-2. Every benchmark phrase starts from its rarest term.  Postings of those
-   terms are shifted by the term's offset to give candidate starts, then
-   intersected with the second rarest term's shifted list, then with the rest.
-3. Surviving postings are stored; occurrences, covered words and items are
-   read from that table.
+2. The postings (document, place) of every phrase's two rarest terms are
+   stored, shifted by the term's offset in the phrase.
+3. The shifted lists are intersected: a start that both name is a candidate.
+4. Candidates are compared word by word in the few texts that have one;
+   occurrences, covered words and items follow.
 
 Benchmark phrases are looked up from a broadcast table of at most
 ``PHRASES_AT_ONCE`` rows; a larger benchmark is taken in several blocks, each
@@ -103,80 +100,123 @@ def rarest_first(table: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+POSTING = "pid long, term string, offset int, part int"
+
+
 def find_phrases(
     spark: SparkSession, docs: DataFrame, items: DataFrame, length: int = 10, slop: int = 0
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored postings of phrase occurrences.
+    """Phrase occurrences by intersecting posting lists.
 
     Returns ``(documents, occurrences, members)``: one ``doc_id, text_key,
     n_words`` row per input row; distinct ``doc_id, text_key, start, size,
-    phrase`` rows; and the items of each phrase.  ``slop`` > 0 also returns
-    proximity matches: the two rarest terms in order with up to ``slop`` words
-    more or fewer between them, marked ``exact = false``.
+    phrase, exact`` rows; and the items of each phrase.  With ``slop`` > 0,
+    occurrences also holds proximity matches (``exact = false``): the two
+    rarest terms up to ``slop`` words nearer or farther than in the phrase.
     """
     table, members = phrases(items.select("item_id", "text"), length)
     table = staged(spark, table, "phrases")
     members = staged(spark, members, "phrase-items")
     n = table.count()
-    if n:
-        terms = table.select(F.explode("words").alias("term")).distinct()
-        table = staged(spark, rarest_first(table, term_counts(docs, terms)), "rarest")
+    terms = table.select(F.explode("words").alias("term")).distinct()
+    table = staged(
+        spark, rarest_first(table, term_counts(docs, terms)).withColumn("pid", F.monotonically_increasing_id()), "rarest"
+    )
     blocks = max(1, -(-n // PHRASES_AT_ONCE))
-    found = []
-    for block in range(blocks):
-        part = table.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == block) if n else None
-        found.append(staged(spark, _postings(docs, part, slop, block == 0), "postings"))
+    found = [
+        staged(spark, _postings(docs, table.where(F.pmod("pid", F.lit(blocks)) == block), block == 0), "postings")
+        for block in range(blocks)
+    ]
     postings = found[0]
     for more in found[1:]:
         postings = postings.unionByName(more)
-    documents = postings.where(F.col("phrase").isNull()).select("doc_id", "text_key", "n_words")
-    occurrences = (
-        postings.where(F.col("phrase").isNotNull()).select("doc_id", "text_key", "start", "size", "phrase", "exact").distinct()
+    documents = postings.where("part = 0").select("doc_id", "text_key", "n_words")
+    key = ["doc_id", "text_key", "start", "pid"]
+    lists = postings.where("part > 0")
+    # both shifted lists name the start: an intersection
+    both = staged(
+        spark, lists.groupBy(*key).agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select(*key), "starts"
     )
+    occurrences = _exact(spark, docs, both, table).withColumn("exact", F.lit(True))
+    if slop:
+        one, two = (lists.where(F.col("part") == k).select(*key) for k in (1, 2))
+        near = one.alias("o").join(
+            two.alias("t"),
+            F.col("o.doc_id").eqNullSafe(F.col("t.doc_id"))
+            & (F.col("o.text_key") == F.col("t.text_key"))
+            & (F.col("o.pid") == F.col("t.pid"))
+            & (F.abs(F.col("o.start") - F.col("t.start")) <= slop),
+        ).select(*[F.col(f"o.{c}").alias(c) for c in key])
+        near = near.join(small_side(table.select("pid", "phrase", F.size("words").alias("size")), PHRASES_AT_ONCE), "pid")
+        near = near.select("doc_id", "text_key", "start", "size", "phrase").distinct().exceptAll(occurrences.drop("exact"))
+        occurrences = occurrences.unionByName(near.withColumn("exact", F.lit(False)))
     return documents, occurrences, members
 
 
-def _postings(docs: DataFrame, table: DataFrame | None, slop: int, with_documents: bool) -> DataFrame:
-    """Verified postings of the rarest terms; with ``with_documents`` also one
-    row (null phrase) per document, by a mark after its last word."""
-    if table is None or table.isEmpty():
-        table = docs.sparkSession.createDataFrame(
-            [], "phrase string, term string, offset int, second string, second_offset int, words array<string>"
-        )
-    lookup = table
-    if with_documents:
-        mark = docs.sparkSession.createDataFrame(
-            [(None, MARK, 0, MARK, 0, [])],
-            "phrase string, term string, offset int, second string, second_offset int, words array<string>",
-        )
-        lookup = table.unionByName(mark)
-    words = raw_words(F.col("text"))
-    listed = docs.select(
-        "doc_id", text_key(F.col("text")).alias("text_key"), F.concat(words, F.array(F.lit(MARK))).alias("ws")
+def _postings(docs: DataFrame, table: DataFrame, with_documents: bool) -> DataFrame:
+    """Postings of each phrase's two rarest terms, shifted to the phrase's
+    start; with ``with_documents`` also one row (part 0) per document, by a
+    mark after its last word."""
+    lookup = table.select(
+        "pid",
+        F.inline(
+            F.array(
+                F.struct("term", "offset", F.lit(1).alias("part")),
+                F.struct(F.col("second").alias("term"), F.col("second_offset").alias("offset"), F.lit(2).alias("part")),
+            )
+        ),
     )
-    hits = listed.select("doc_id", "text_key", "ws", F.posexplode("ws").alias("pos", "w"))
-    hits = hits.withColumn("term", small_letters(F.col("w"))).join(F.broadcast(lookup), "term")
-    first = F.when(F.col("ws")[0] == "", 1).otherwise(0)
-    start = F.col("pos") - F.col("offset")
-    size = F.size("words")
-    second = small_letters(F.get("ws", start + F.col("second_offset")))
-    run = F.transform(F.slice("ws", F.greatest(start + 1, F.lit(1)), F.greatest(size, F.lit(0))), small_letters)
-    exact = (start >= 0) & (second == F.col("second")) & (run == F.col("words"))
-    keep = F.col("phrase").isNull() | exact
-    if slop:
-        near = F.transform(
-            F.slice("ws", F.greatest(start + F.col("second_offset") + 1 - slop, F.lit(1)), F.lit(2 * slop + 1)), small_letters
-        )
-        keep = keep | F.array_contains(near, F.col("second"))
-    last = F.when((F.size("ws") > 2) & (F.get("ws", F.size("ws") - 2) == ""), 1).otherwise(0)
-    return hits.where(keep).select(
+    if with_documents:
+        mark = docs.sparkSession.createDataFrame([(None, MARK, 0, 0)], POSTING)
+        lookup = mark.unionByName(lookup)
+    # whatever stands beside a generator is computed for each of its rows, so
+    # the columns of the document come first; only small ones are carried along
+    split = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), raw_words(F.col("text")).alias("ws"))
+    listed = split.select(
+        "doc_id",
+        "text_key",
+        word_count(F.col("ws")).alias("n_words"),
+        F.when(F.col("ws")[0] == "", 1).otherwise(0).alias("lead"),
+        F.concat("ws", F.array(F.lit(MARK))).alias("ws"),
+    ).select("doc_id", "text_key", "n_words", "lead", F.posexplode("ws").alias("pos", "w"))
+    hits = listed.withColumn("term", small_letters(F.col("w"))).join(F.broadcast(lookup), "term")
+    return hits.select(
         "doc_id",
         "text_key",
-        F.when(F.col("phrase").isNull(), (F.size("ws") - 1 - first - last).cast("long")).alias("n_words"),
-        (start - first).alias("start"),
-        size.alias("size"),
-        "phrase",
-        F.coalesce(exact, F.lit(False)).alias("exact"),
+        F.when(F.col("part") == 0, F.col("n_words")).alias("n_words"),
+        (F.col("pos") - F.col("lead") - F.col("offset")).alias("start"),
+        "pid",
+        "part",
+    )
+
+
+def _exact(spark: SparkSession, docs: DataFrame, starts: DataFrame, table: DataFrame) -> DataFrame:
+    """Starts at which the whole phrase stands, compared in the texts that
+    have a start left."""
+    wanted = (
+        starts.join(small_side(table.select("pid", "phrase", "words"), PHRASES_AT_ONCE), "pid")
+        .groupBy(F.col("doc_id").alias("w_doc"), F.col("text_key").alias("w_key"))
+        .agg(F.collect_list(F.struct("start", "phrase", "words")).alias("wanted"))
+    )
+    wanted = staged(spark, wanted, "wanted")
+    keys = small_side(wanted.select("w_doc", "w_key"), 1_000_000)
+    keyed = docs.select(F.col("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    match = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_key") == F.col("w_key"))
+    rows = keyed.join(keys, match, "left_semi").join(wanted, match)
+    words = F.filter(F.transform(raw_words(F.col("text")), small_letters), lambda w: w != "")
+    # the one-row explode keeps the words a computed column: they are split once
+    rows = rows.select("doc_id", "text_key", "wanted", F.explode(F.array(words)).alias("ws"))
+    right = F.filter(
+        "wanted",
+        lambda c: (c["start"] >= 0) & (F.slice(F.col("ws"), F.greatest(c["start"], F.lit(0)) + 1, F.size(c["words"])) == c["words"]),
+    )
+    found = rows.select("doc_id", "text_key", F.explode(right).alias("c"))
+    return staged(
+        spark,
+        found.select(
+            "doc_id", "text_key", F.col("c.start").alias("start"), F.size("c.words").alias("size"), F.col("c.phrase").alias("phrase")
+        ).distinct(),
+        "occurrences",
     )
 
 
