@@ -34,11 +34,11 @@ def _ranked(spark: SparkSession, names: DataFrame, cols: list[str], name: str) -
 
 def repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Positions of lines that occur at least twice, with the line's rank."""
-    lines = docs.select(
-        "doc_id",
-        text_key(F.col("text")).alias("text_key"),
-        F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "line"),
-    ).select(*KEY, "i", F.length("line").alias("chars"), F.xxhash64("line").alias("x"), F.hash("line").alias("y"))
+    # the hash of the text comes before the generator, else it is taken per line
+    keyed = docs.select(
+        "doc_id", text_key(F.col("text")).alias("text_key"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("ls")
+    )
+    lines = keyed.select(*KEY, F.posexplode("ls").alias("i", "line")).select(*KEY, "i", F.length("line").alias("chars"), F.xxhash64("line").alias("x"), F.hash("line").alias("y"))
     names = lines.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
     names = _ranked(spark, names, ["x", "y"], "line-ranks")
     return staged(spark, lines.join(names, ["x", "y"]).select(*KEY, "i", "chars", "rank").distinct(), "repeated-lines")
