@@ -41,27 +41,30 @@ def q_feature_select(spark, sf_dir):
     return LK.feature_table(_pop(spark, sf_dir).select(*ALL_COLS))
 
 
+FULL_FEATURES_SQL = " UNION ALL ".join(f"SELECT '{c}' AS f FROM cflags WHERE NOT {c}" for c in CANDS)
+
+
 @query(
     "leakage_guard",
     with_base(
-        "SELECT 'selected' AS feature_list, CAST(count(*) AS BIGINT) AS n_features, CAST(0 AS BIGINT) AS n_offenders, '' AS offenders "
-        "FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS f FROM cflags WHERE NOT {c}" for c in CANDS) + ") "
-        "UNION ALL SELECT 'selected_plus_delivery_status', CAST(count(*) + 1 AS BIGINT), CAST(1 AS BIGINT), 'delivery_status' FROM ("
-        + " UNION ALL ".join(f"SELECT '{c}' AS f FROM cflags WHERE NOT {c}" for c in CANDS)
-        + ")",
-        FLAGS_CTE,
+        "SELECT feature_list, count(*) AS n_features, CAST(sum(bad) AS BIGINT) AS n_offenders, "
+        "coalesce(string_agg(CASE WHEN bad = 1 THEN f END, ',' ORDER BY f), '') AS offenders FROM ("
+        "SELECT feature_list, f, CASE WHEN f IN ('late_delivery_risk', 'delivery_status', 'real_days', 'shipping_date') THEN 1 ELSE 0 END AS bad FROM ("
+        "SELECT 'selected' AS feature_list, f FROM feats UNION ALL SELECT 'selected_plus_delivery_status', f FROM feats "
+        "UNION ALL SELECT 'selected_plus_delivery_status', 'delivery_status')) GROUP BY 1",
+        FLAGS_CTE + ", feats AS (" + FULL_FEATURES_SQL + ")",
     ),
 )
 def q_leakage_guard(spark, sf_dir):
+    """The guard over the selected features, and over a list with a planted outcome column."""
     pop = _pop(spark, sf_dir).select(*ALL_COLS)
-    feats = LK.select_features(pop)  # driver-side check before any fit
-    LK.assert_no_leakage(feats)
-    leaky = feats + ["delivery_status"]
-    rows = [
-        ("selected", len(feats), len(LK.offenders(feats)), ",".join(f for f, _ in LK.offenders(feats))),
-        ("selected_plus_delivery_status", len(leaky), len(LK.offenders(leaky)), ",".join(f for f, _ in LK.offenders(leaky))),
-    ]
-    return spark.createDataFrame(rows, "feature_list string, n_features bigint, n_offenders bigint, offenders string")
+    feats = LK.feature_table(pop).where(F.col("variant") == "full").select("feature")
+    planted = feats.union(feats.agg(F.lit("delivery_status").alias("feature")))
+    return LK.offending(
+        feats.select(F.lit("selected").alias("feature_list"), "feature").unionByName(
+            planted.select(F.lit("selected_plus_delivery_status").alias("feature_list"), "feature")
+        )
+    )
 
 
 def _avail_sql() -> str:
@@ -77,10 +80,9 @@ def _avail_sql() -> str:
     return with_base(
         f"SELECT variable, {avail} AS available, CASE WHEN variable = '{LK.TARGET}' THEN 'No' WHEN variable = '{LK.DECISION}' THEN 'Special handling' "
         f"WHEN {blocked} IS NOT NULL THEN 'No' WHEN {excluded} IS NOT NULL THEN 'No' WHEN {used} THEN 'Yes' ELSE 'No' END AS used, "
-        f"CASE WHEN variable = '{LK.TARGET}' THEN 'Target variable' WHEN variable = '{LK.DECISION}' THEN "
-        "'Management decision; predictor and lever of the decision engine' "
+        f"CASE WHEN variable = '{LK.DECISION}' THEN '{LK.DECISION_REASON}' "
         f"WHEN {blocked} IS NOT NULL THEN {blocked} WHEN {excluded} IS NOT NULL THEN {excluded} "
-        f"WHEN {used} THEN coalesce({eng}, '{LK.DEFAULT_REASON}') ELSE 'Not selected for the model' END AS reason, "
+        f"WHEN {used} THEN coalesce({eng}, '{LK.DEFAULT_REASON}') ELSE '{LK.UNUSED_REASON}' END AS reason, "
         f"CAST(CASE {avail} WHEN 'No' THEN 0 WHEN 'Yes - decision variable' THEN 1 ELSE 2 END AS BIGINT) AS sort_key "
         "FROM (VALUES " + ", ".join(f"('{c}')" for c in ALL_COLS) + ") t(variable)",
         FLAGS_CTE,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from shipcast.functions.columns import norm
+from shipcast.functions.columns import column_key
 
 ENCODING = "ISO-8859-1"
 # First bytes of a Git LFS pointer file.
@@ -87,7 +87,7 @@ def reconcile_dictionary(spark: SparkSession, columns: Sequence[str], dictionary
     schema = "kind string, csv_name string, dictionary_name string"
     if dictionary is None:
         return spark.createDataFrame([], schema)
-    csv = spark.createDataFrame([(c, norm(c)) for c in columns], "csv_name string, key string")
+    csv = spark.createDataFrame([(c, column_key(c)) for c in columns], "csv_name string, key string")
     d = dictionary.select(F.col("field").alias("dictionary_name"), _norm_col(F.col("field")).alias("key")).dropDuplicates(["key"])
     j = csv.join(d, "key", "full_outer")
     kind = (

@@ -4,7 +4,8 @@ import math
 
 import pytest
 
-from shipcast.functions.columns import ColumnResolver
+from shipcast.functions.columns import match_columns, select_requested
+from shipcast.operators import decision as D
 from shipcast.sources.csv_source import (
     DatasetError,
     load_dictionary,
@@ -46,13 +47,21 @@ def test_dictionary_and_reconcile(spark, tmp_path):
     assert load_dictionary(spark, str(tmp_path / "none.csv")) is None
 
 
-def test_column_resolver():
-    r = ColumnResolver(["Order  Id", "shipping date (DateOrders)"])
-    assert r.resolve(" order id ") == "Order  Id"
-    assert r.resolve("Shipping date (DateOrders)") == "shipping date (DateOrders)"
-    assert r.resolve_many(["order id", "missing", "ORDER ID"]) == ["Order  Id"]
-    with pytest.raises(KeyError):
-        r.require("missing")
+def test_match_columns(spark):
+    table = spark.createDataFrame([(1, 2)], "`Order  Id` int, `shipping date (DateOrders)` int")
+    got = {r.requested: r.actual for r in match_columns(table, [" order id ", "Shipping date (DateOrders)", "missing"]).collect()}
+    assert got == {" order id ": "Order  Id", "Shipping date (DateOrders)": "shipping date (DateOrders)", "missing": None}
+    assert select_requested(table, ["ORDER ID"]).first()["ORDER ID"] == 1
+    with pytest.raises(ValueError):
+        select_requested(table, ["missing"])
+
+
+def test_override_table_equals_the_resolver(spark):
+    given = {"late_penalty_fixed": "abc", "late_penalty_rate": " 0.1 ", "freight_cost": {"Nope": 3, "Same Day": "x", "First Class": "20"}}
+    table = {r.parameter: r.value for r in D.override_table(spark, given).collect()}
+    a = D.resolve_assumptions(given)
+    assert table["late_penalty_fixed"] == a.late_penalty_fixed and table["late_penalty_rate"] == a.late_penalty_rate == 0.1
+    assert {m: table[f"freight:{m}"] for m in a.freight_cost} == a.freight_cost
 
 
 def test_sinks_write_non_finite_as_null(spark, tmp_path):
