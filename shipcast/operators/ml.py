@@ -20,13 +20,22 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    OneHotEncoder,
+    OneHotEncoderModel,
+    SQLTransformer,
+    StandardScaler,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shipcast.functions.prefix import exact_quantiles
 from shipcast.functions.rounding import dround
 from shipcast.operators import metrics as M
 from shipcast.operators.cleaning import bucket_apply, bucket_fit, filter_cancelled
@@ -38,6 +47,9 @@ SEED = 42
 RARE_MIN = 20
 CV_FOLDS = 4
 RARE = "__rare__"
+#: A fit reads at most about so many labelled rows, whole orders chosen by hash
+#: (a bound of the fit alone; statistics, scoring and evaluation cover all rows).
+FIT_ROWS = 20_000
 
 
 @dataclass
@@ -84,23 +96,40 @@ def _pool(prep: Prepared, df: DataFrame, train: DataFrame, cat) -> DataFrame:
 
 
 def pool_rare(df: DataFrame, train: DataFrame, categorical: Sequence[str], min_count: int = RARE_MIN) -> DataFrame:
-    """Levels with fewer than ``min_count`` training rows share one level."""
-    out = df
-    for c in categorical:
-        frequent = train.groupBy(c).count().where(F.col("count") >= min_count).select(F.col(c).alias(f"__f_{c}"))
-        # at most (train rows / min_count) levels: not a small bound in
-        # general, so AQE chooses broadcast or shuffle by measured size
-        out = out.join(frequent, F.col(c) == F.col(f"__f_{c}"), "left").withColumn(
-            c, F.when(F.col(f"__f_{c}").isNotNull(), F.col(c)).when(F.col(c).isNull(), F.lit(None)).otherwise(F.lit(RARE))
-        ).drop(f"__f_{c}")
-    return out
-
-
-def preprocess_stages(numeric: Sequence[str], categorical: Sequence[str], scale: bool) -> list:
+    """Levels with fewer than ``min_count`` training rows share one level.
+
+    One counting pass over all columns; the frequent levels come in as one
+    small map per column, so no row is shuffled by a level."""
+    cats = list(categorical)
+    if not cats:
+        return df
+    long = train.select(*[F.col(c).cast("string").alias(c) for c in cats]).unpivot([], cats, "column", "level")
+    rows = long.where(F.col("level").isNotNull()).groupBy("column", "level").count().where(F.col("count") >= min_count)
+    frequent: dict[str, list[str]] = {}
+    for r in rows.select("column", "level").collect():  # at most (columns x bucketed levels): bucketing bounds them
+        frequent.setdefault(r["column"], []).append(r["level"])
+    return df.withColumns(
+        {c: F.when(F.col(c).isNull() | F.col(c).cast("string").isin(sorted(frequent.get(c, []))), F.col(c)).otherwise(F.lit(RARE)) for c in cats}
+    )
+
+
+def train_medians(train: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
+    """Exact median of each numeric column: distinct values are counted per
+    column in a distributed pass, and one row per column reaches the driver."""
+    if not numeric:
+        return {}
+    long = train.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot([], list(numeric), "feature", "value")
+    rows = exact_quantiles(long, "value", [0.5], ["feature"], names=["median"]).collect()
+    return {r["feature"]: float(r["median"]) for r in rows if r["median"] is not None}
+
+
+def preprocess_stages(numeric: Sequence[str], categorical: Sequence[str], scale: bool, medians: dict[str, float]) -> list:
+    """Median fill (a persisted SQL stage), one-hot levels, optional scaling."""
     stages: list = []
     num_out = [f"__num_{c}" for c in numeric]
     if numeric:
-        stages.append(Imputer(inputCols=list(numeric), outputCols=num_out, strategy="median", relativeError=0.0))
+        filled = ", ".join(f"coalesce(cast(`{c}` AS double), {medians.get(c, 0.0)!r}D) AS `{o}`" for c, o in zip(numeric, num_out))
+        stages.append(SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"))
     idx = [f"__idx_{c}" for c in categorical]
     ohe = [f"__ohe_{c}" for c in categorical]
     if categorical:
@@ -115,6 +144,19 @@ def preprocess_stages(numeric: Sequence[str], categorical: Sequence[str], scale:
     return stages
 
 
+def feature_slots(model: PipelineModel, numeric: Sequence[str], categorical: Sequence[str]) -> list[tuple[str, str]]:
+    """(slot name, source feature) in assembled order, from the fitted stages:
+    the numeric columns as given, then each encoder's slots in level order."""
+    slots = [(c, c) for c in numeric]
+    if categorical:
+        labels = next(st for st in model.stages if isinstance(st, StringIndexerModel)).labelsArray
+        sizes = next(st for st in model.stages if isinstance(st, OneHotEncoderModel)).categorySizes
+        for c, names, size in zip(categorical, labels, sizes):
+            names = [*names, "__unknown__"]
+            slots += [(f"{c}={names[k] if k < len(names) else k}", c) for k in range(size)]
+    return slots
+
+
 MODEL_ORDER = ["Logistic Regression", "Decision Tree", "Random Forest", "Gradient Boosting"]
 
 
@@ -140,18 +182,27 @@ def _with_validation(train: DataFrame) -> DataFrame:
     return train.withColumn("__is_val", (h % 10) == 0)
 
 
+def fit_sample(train: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
+    """Whole orders whose hash lies below the share that ``limit`` is of the rows."""
+    n = train.count()
+    if n <= limit:
+        return train
+    return train.where(F.pmod(F.xxhash64(F.lit(SEED), "order_id"), F.lit(1_000_000)) < int(1_000_000 * limit / n))
+
+
 def fit(prep: Prepared, name: str, features: Sequence[str] | None = None, train: DataFrame | None = None) -> PipelineModel:
     feats = list(features or prep.features)
     assert_no_leakage(feats)
     num = [c for c in feats if c in prep.numeric]
     cat = [c for c in feats if c in prep.categorical]
     train = train if train is not None else prep.data.where(~F.col("is_test"))
-    train = _pool(prep, train, train, cat).withColumn(TARGET, F.col(TARGET).cast("double"))
+    medians = train_medians(train, num)
+    train = fit_sample(_pool(prep, train, train, cat)).withColumn(TARGET, F.col(TARGET).cast("double"))
     n = train.count()
     est, scale = estimator(name, n)
     if name == "Gradient Boosting":
         train = _with_validation(train)
-    return Pipeline(stages=[*preprocess_stages(num, cat, scale), est]).fit(train)
+    return Pipeline(stages=[*preprocess_stages(num, cat, scale, medians), est]).fit(train)
 
 
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -205,91 +256,74 @@ def select_best(metrics: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- importance
-def _source_of(attr_names: list[str], sources: Sequence[str]) -> list[str]:
-    """Map assembled slot names back to source features (longest prefix)."""
-    out = []
-    for a in attr_names:
-        a2 = a.replace("__num_scaled_", "").replace("__num_", "").replace("__ohe_", "")
-        best = max((s for s in sources if a2 == s or a2.startswith(s + "_")), key=len, default=a2)
-        out.append(best)
-    return out
-
-
-def _slot_names(model: PipelineModel, df: DataFrame) -> list[str]:
-    meta = model.transform(df.limit(1)).schema["features"].metadata
-    attrs = meta.get("ml_attr", {}).get("attrs", {})
-    slots = []
-    for group in attrs.values():
-        slots.extend(group)
-    slots.sort(key=lambda d: d["idx"])
-    return [d["name"] for d in slots]
+def _by_feature(prep: Prepared, model: PipelineModel, values: Sequence[float]) -> DataFrame:
+    slots = feature_slots(model, prep.numeric, prep.categorical)
+    if len(slots) != len(values):
+        raise ValueError(f"{len(values)} slots in the model, {len(slots)} from its stages")
+    df = prep.data.sparkSession.createDataFrame([(f, float(x)) for (_, f), x in zip(slots, values)], "feature string, importance double")
+    return df.groupBy("feature").agg(dround(F.sum("importance"), 6).alias("importance"))
 
 
 def tree_importance(prep: Prepared, model: PipelineModel) -> DataFrame:
-    spark = prep.data.sparkSession
     est = model.stages[-1]
     if not hasattr(est, "featureImportances"):
-        return spark.createDataFrame([], "feature string, importance double")
-    names = _slot_names(model, prep.data.where(~F.col("is_test")))
-    src = _source_of(names, prep.features)
-    imp = est.featureImportances.toArray().tolist()
-    rows = list(zip(src, [float(x) for x in imp]))
-    df = spark.createDataFrame(rows, "feature string, importance double")
-    return df.groupBy("feature").agg(dround(F.sum("importance"), 6).alias("importance"))
+        return prep.data.sparkSession.createDataFrame([], "feature string, importance double")
+    return _by_feature(prep, model, est.featureImportances.toArray().tolist())
 
 
 def coef_importance(prep: Prepared, model: PipelineModel) -> DataFrame:
-    spark = prep.data.sparkSession
-    est = model.stages[-1]
-    names = _slot_names(model, prep.data.where(~F.col("is_test")))
-    src = _source_of(names, prep.features)
-    coefs = est.coefficients.toArray().tolist()
-    df = spark.createDataFrame(list(zip(src, [abs(float(x)) for x in coefs])), "feature string, importance double")
-    return df.groupBy("feature").agg(dround(F.sum("importance"), 6).alias("importance"))
+    return _by_feature(prep, model, [abs(x) for x in model.stages[-1].coefficients.toArray().tolist()])
 
 
-def permutation_importance(prep: Prepared, model: PipelineModel, repeats: int = 3, groups: int = 64) -> DataFrame:
+def permutation_importance(
+    prep: Prepared, model: PipelineModel, repeats: int = 3, group_rows: int = 20_000, materialize=None
+) -> DataFrame:
     """AUC drop when one raw feature is permuted across held-out rows.
 
-    The permutation is distributed: rows fall into random groups by a seeded
-    hash and each row takes the value of its cyclic neighbour inside the group
-    (a window per group, never one global sort).  All (feature, repeat)
-    variants are scored in one transform and one grouped AUC."""
+    Per repeat, rows fall into hash groups of about ``group_rows`` and each takes
+    the features of its successor in a hashed order (a window per group, no
+    join).  The paired rows are stored once; a feature number is exploded onto
+    them, the numbered feature is swapped by a CASE, and all variants go
+    through one transform and one grouped AUC."""
     train = prep.data.where(~F.col("is_test"))
     test = _pool(prep, prep.data.where(F.col("is_test")), train, prep.categorical)
-    key = F.xxhash64("order_id", "product_id", "supplier_id", "line_number", "sales", "quantity", "discount_rate")
-    test = test.withColumn("__rk", key)
-    base_auc = M.roc_auc(M.score_counts(score(model, test), "p", TARGET)).select("roc_auc").scalar()
-    variants = []
-    for r in range(repeats):
-        g = (F.xxhash64(F.col("__rk"), F.lit(SEED + r)) % groups).alias("__g")
-        o = F.xxhash64(F.col("__rk"), F.lit(1000 + SEED + r)).alias("__o")
-        t = test.select("*", g, o)
-        w = Window.partitionBy("__g").orderBy("__o", "__rk")
-        wg = Window.partitionBy("__g")
-        t = t.withColumns({"__pos": F.row_number().over(w), "__size": F.count(F.lit(1)).over(wg)})
-        partner = t.select(
-            "__g", (F.col("__pos") % F.col("__size") + 1).alias("__pos"), *[F.col(c).alias(f"__p_{c}") for c in prep.features]
-        )
-        paired = t.join(partner, ["__g", "__pos"])
-        for f in prep.features:
-            variants.append(paired.withColumn(f, F.col(f"__p_{f}")).select(
-                F.lit(f).alias("feature"), F.lit(r).alias("repeat"), *prep.features, TARGET
-            ))
-    allv = variants[0]
-    for v in variants[1:]:
-        allv = allv.unionByName(v)
-    scored = score(model, allv, keep=["feature", "repeat"])
+    rows = test.count()
+    base_auc = M.roc_auc(M.score_counts(score(model, test), "p", TARGET)).first()["roc_auc"]
+    key = ["order_id", "product_id", "supplier_id", "line_number", "sales", "quantity", "discount_rate"]
+    feats = list(prep.features)
+    seeded = test.select(TARGET, *feats, *[F.col(c).alias(f"__k_{c}") for c in key]).withColumn(
+        "repeat", F.explode(F.array(*[F.lit(r) for r in range(repeats)]))
+    )
+    keys = [F.col(f"__k_{c}") for c in key]
+    group = F.pmod(F.xxhash64(F.lit(SEED), "repeat", *keys), F.lit(max(1, -(-rows // group_rows))))
+    w = Window.partitionBy("repeat", "__g").orderBy(F.xxhash64(F.lit(SEED + 1), "repeat", *keys), *keys)
+    me = F.struct(*feats)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    paired = seeded.withColumn("__g", group).select(
+        "repeat", TARGET, *feats, F.coalesce(F.lead(me).over(w), F.first(me).over(whole)).alias("__other")
+    )
+    if materialize is not None:
+        paired = materialize(paired)
+    variants = paired.withColumn("__f", F.explode(F.sequence(F.lit(0), F.lit(len(feats) - 1))))
+    swapped = variants.select(
+        F.element_at(F.array(*[F.lit(f) for f in feats]), F.col("__f") + 1).alias("feature"),
+        "repeat",
+        TARGET,
+        *[F.when(F.col("__f") == i, F.col("__other")[f]).otherwise(F.col(f)).alias(f) for i, f in enumerate(feats)],
+    )
+    scored = score(model, swapped, keep=["feature", "repeat"])
     aucs = M.roc_auc(M.score_counts(scored, "p", TARGET, ["feature", "repeat"]), ["feature", "repeat"])
-    drops = aucs.withColumn("drop", base_auc - F.col("roc_auc"))
+    drops = aucs.withColumn("drop", F.lit(base_auc) - F.col("roc_auc"))
     return drops.groupBy("feature").agg(
         dround(F.avg("drop"), 6).alias("importance"), dround(F.stddev_pop("drop"), 6).alias("importance_std")
     )
 
 
-def driver_interpretation(perm: DataFrame, family: DataFrame, k: int = 10) -> DataFrame:
+def driver_interpretation(perm: DataFrame, family: DataFrame, k: int | None = None) -> DataFrame:
+    """All features ranked (one row each); ``k`` keeps the first."""
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "feature")
-    top = perm.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = perm.withColumn("rank", F.row_number().over(w))
+    top = top if k is None else top.where(F.col("rank") <= k)
     j = top.join(family.select(F.col("factor").alias("feature"), "effect_size", "effect_label"), "feature", "left")
     cls = F.when(F.col("importance") < 0.001, "no_detectable_effect").when(F.col("feature") == "shipping_mode", "decision_variable").otherwise(
         "secondary_driver"
@@ -306,7 +340,8 @@ def train_profit(prep: Prepared) -> DataFrame:
     test = _pool(prep, test, prep.data.where(~F.col("is_test")), cat)
     reg = GBTRegressor(labelCol="profit", featuresCol="features", maxIter=200, stepSize=0.1, maxDepth=5, minInstancesPerNode=40,
                        validationIndicatorCol="__is_val", seed=SEED)
-    model = Pipeline(stages=[*preprocess_stages(prep.numeric, cat, False), reg]).fit(_with_validation(train))
+    stages = preprocess_stages(prep.numeric, cat, False, train_medians(train, prep.numeric))
+    model = Pipeline(stages=[*stages, reg]).fit(_with_validation(fit_sample(train)))
     pred = model.transform(test).select("profit", F.col("prediction").alias("pred"))
     return M.regression_metrics(pred, "profit", "pred")
 

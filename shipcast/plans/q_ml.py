@@ -6,6 +6,7 @@ from __future__ import annotations
 import threading
 
 from pyspark.ml import Pipeline
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shipcast.functions.prefix import exact_quantiles
@@ -13,12 +14,12 @@ from shipcast.functions.rounding import dround
 from shipcast.operators import ml as ML
 from shipcast.operators import stats as S
 from shipcast.operators.decision import not_cancelled
-from shipcast.plans import q_leakage as QL
-from shipcast.plans import q_quality as QQ
 from shipcast.plans.registry import query
 from shipcast.plans.sql_base import with_base
 from shipcast.sources.adapter import line_features, orders_frame
 
+#: what tells one order line from another
+LINE_KEY = ["order_id", "product_id", "supplier_id", "line_number", "sales", "quantity", "discount_rate"]
 _LOCK = threading.RLock()
 _PREP: dict = {}
 _MODELS: dict = {}
@@ -41,13 +42,22 @@ def model(spark, sf_dir, name: str, variant: str = "full"):
     """Fitted pipeline, memoised per session (a fit is a Spark job; the
     fitted model is a small driver-side object)."""
     key = (spark.sparkContext.applicationId, sf_dir, name, variant)
-    with _LOCK:
+    prep = prepared(spark, sf_dir)
+    with _key_lock(("model", *key)):
         if key not in _MODELS:
-            prep = prepared(spark, sf_dir)
             _MODELS[key] = ML.fit(prep, name, _variant_features(prep, variant))
         return _MODELS[key]
 
 
+_KEY_LOCKS: dict = {}
+
+
+def _key_lock(key):
+    """One lock per result, so that independent fits run side by side."""
+    with _LOCK:
+        return _KEY_LOCKS.setdefault(key, threading.RLock())
+
+
 def _variant_features(prep, variant):
     if variant == "mode_only":
         return ["shipping_mode"]
@@ -63,9 +73,9 @@ def _eval(spark, sf_dir, name, variant="full"):
     """Held-out metrics of one fitted model: a one-row result, kept per
     session so the comparison, ablation and selection queries reuse it."""
     key = (spark.sparkContext.applicationId, sf_dir, name, variant)
-    with _LOCK:
+    prep = prepared(spark, sf_dir)
+    with _key_lock(("eval", *key)):
         if key not in _EVALS:
-            prep = prepared(spark, sf_dir)
             feats = _variant_features(prep, variant)
             from shipcast.sources.materialize import materialized
 
@@ -84,10 +94,9 @@ def _eval(spark, sf_dir, name, variant="full"):
 def q_preprocess(spark, sf_dir):
     prep = prepared(spark, sf_dir)
     train = prep.data.where(~F.col("is_test"))
-    pm = Pipeline(stages=ML.preprocess_stages(prep.numeric, prep.categorical, scale=True)).fit(train)
-    names = ML._slot_names(pm, train)
-    src = ML._source_of(names, prep.features)
-    return spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(zip(names, src))], "slot int, slot_name string, feature string")
+    stages = ML.preprocess_stages(prep.numeric, prep.categorical, True, ML.train_medians(train, prep.numeric))
+    slots = ML.feature_slots(Pipeline(stages=stages).fit(train), prep.numeric, prep.categorical)
+    return spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(slots)], "slot int, slot_name string, feature string")
 
 
 @query("train_logistic")
@@ -110,11 +119,19 @@ def q_train_gbt(spark, sf_dir):
     return _eval(spark, sf_dir, "Gradient Boosting")
 
 
+def _side_by_side(tasks):
+    """Short Spark jobs of independent fits share the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        return list(pool.map(lambda t: _eval(*t), tasks))
+
+
 def _comparison(spark, sf_dir, variant="full"):
-    out = None
-    for name in ML.MODEL_ORDER:
-        part = _eval(spark, sf_dir, name, variant)
-        out = part if out is None else out.unionByName(part)
+    parts = _side_by_side([(spark, sf_dir, name, variant) for name in ML.MODEL_ORDER])
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return ML.select_best(out)
 
 
@@ -132,7 +149,9 @@ def q_cross_validate(spark, sf_dir):
 def q_ablation(spark, sf_dir):
     prep = prepared(spark, sf_dir)
     out = None
-    for variant in ("full", "mode_only", "without_mode"):
+    variants = ("full", "mode_only", "without_mode")
+    _side_by_side([(spark, sf_dir, name, v) for v in variants for name in reversed(ML.MODEL_ORDER)])
+    for variant in variants:
         best = _comparison(spark, sf_dir, variant).where("selected").select(
             F.lit(variant).alias("ablation"), F.lit(len(_variant_features(prep, variant))).alias("n_features"), "model", "roc_auc", "pr_auc", "f1"
         )
@@ -166,7 +185,10 @@ def q_permutation_importance(spark, sf_dir):
 
     return materialized(
         spark, "perm_importance", sf_dir,
-        lambda: ML.permutation_importance(prepared(spark, sf_dir), model(spark, sf_dir, _best_name(spark, sf_dir))),
+        lambda: ML.permutation_importance(
+            prepared(spark, sf_dir), model(spark, sf_dir, _best_name(spark, sf_dir)),
+            materialize=lambda df: materialized(spark, "perm_pairs", sf_dir, lambda: df),
+        ),
     )
 
 
@@ -178,14 +200,14 @@ def q_driver_interpretation(spark, sf_dir):
 
 @query("export_importance")
 def q_export_importance(spark, sf_dir):
-    w = F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("method").orderBy(F.desc("importance"), "feature"))
+    w = F.row_number().over(Window.partitionBy("method").orderBy(F.desc("importance"), "feature"))
     parts = [
         q_permutation_importance(spark, sf_dir).select(F.lit("permutation").alias("method"), "feature", "importance", "importance_std"),
         q_tree_importance(spark, sf_dir).select(F.lit("tree").alias("method"), "feature", "importance"),
         q_coef_importance(spark, sf_dir).select(F.lit("coefficients").alias("method"), "feature", "importance"),
     ]
     u = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
-    return u.withColumn("rank", w).where(F.col("rank") <= 25)
+    return u.withColumn("rank", w)
 
 
 def _inference_pop(spark, sf_dir):
@@ -273,9 +295,6 @@ def q_vif_covariance(spark, sf_dir):
     return ML.covariance_table(frame, cols).withColumn("covariance", dround("covariance", 6))
 
 
-_MM_FEATS = [c for c in QL.CANDS]
-
-
 @query("model_metadata")
 def q_model_metadata(spark, sf_dir):
     prep = prepared(spark, sf_dir)
@@ -306,7 +325,7 @@ def q_whatif_fill(spark, sf_dir):
 
     prep = prepared(spark, sf_dir)
     test = prep.data.where(F.col("is_test")).select(
-        F.xxhash64("order_id", "product_id", "supplier_id", "line_number", "sales", "quantity", "discount_rate").alias("request_id"),
+        F.concat_ws("|", *LINE_KEY).alias("request_id"),
         "shipping_mode", "market", "quantity", "product_price",
     )
     req = test.select(
@@ -349,19 +368,18 @@ def q_whatif_delta(spark, sf_dir):
 
 # ------------------------------------------------ model scores -> decisions
 def model_counterfactuals(spark, sf_dir):
-    """Every held-out line scored by the selected model under every mode:
-    one explode of the four modes, one transform (wide per mode after a
-    single grouping on the line key)."""
+    """Every held-out line scored by the selected model under every mode: one
+    row-local transform per mode, so nothing is shuffled and each line keeps
+    its seven-column key."""
     from shipcast.operators.decision import KEY_OF
-    from shipcast.sources.adapter import MODES
 
     prep = prepared(spark, sf_dir)
     best = model(spark, sf_dir, _best_name(spark, sf_dir))
-    key = F.xxhash64("order_id", "product_id", "supplier_id", "line_number", "sales", "quantity", "discount_rate").alias("row_id")
-    test = prep.data.where(F.col("is_test")).select("*", key).withColumnRenamed("shipping_mode", "actual_mode")
-    cf = test.select("*", F.explode(F.array(*[F.lit(m) for m in MODES])).alias("shipping_mode"))
-    scored = best.transform(cf).select("row_id", "shipping_mode", vector_p().alias("p_late"))
-    return test, scored
+    rows = prep.data.where(F.col("is_test")).withColumn("actual_mode", F.col("shipping_mode"))
+    for m, k in KEY_OF.items():
+        kept = [c for c in rows.columns if c != "shipping_mode"]
+        rows = best.transform(rows.withColumn("shipping_mode", F.lit(m))).select(*kept, F.lit(m).alias("shipping_mode"), vector_p().alias(f"p_{k}"))
+    return rows
 
 
 def vector_p():
@@ -372,8 +390,11 @@ def vector_p():
 
 @query("counterfactual_scores_model")
 def q_counterfactual_scores_model(spark, sf_dir):
-    _, scored = model_counterfactuals(spark, sf_dir)
-    return scored.select("row_id", F.col("shipping_mode").alias("mode"), dround("p_late", 6).alias("p_late"))
+    from shipcast.operators.decision import KEY_OF
+
+    rows = model_counterfactuals(spark, sf_dir)
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), dround(F.col(f"p_{k}"), 6).alias("p_late")) for m, k in KEY_OF.items()])
+    return rows.select(*LINE_KEY, F.inline(modes))
 
 
 @query("policy_compare_model")
@@ -382,14 +403,10 @@ def q_policy_compare_model(spark, sf_dir):
     from shipcast.operators import decision as D
     from shipcast.plans.q_decision import DEFAULT
 
-    test, scored = model_counterfactuals(spark, sf_dir)
-    wide = scored.groupBy("row_id").agg(
-        *[F.max(F.when(F.col("shipping_mode") == m, F.col("p_late"))).alias(f"p_{k}") for m, k in D.KEY_OF.items()]
-    )
-    rows = test.select(
-        F.col("row_id").alias("order_id"), "market", "order_region", F.col("actual_mode").alias("shipping_mode"),
+    rows = model_counterfactuals(spark, sf_dir).select(
+        F.concat_ws("|", *LINE_KEY).alias("order_id"), "market", "order_region", F.col("actual_mode").alias("shipping_mode"),
         (dround(F.col("order_item_total"), 4) / D.VALUE_SCALE).alias("value"), (dround(F.col("profit"), 4) / D.VALUE_SCALE).alias("profit_k"),
-        F.col("row_id").alias("__rid"),
-    ).join(wide.withColumnRenamed("row_id", "__rid"), "__rid").drop("__rid")
+        *[f"p_{k}" for k in D.KEY_OF.values()],
+    )
     prof = D.mode_profile(orders_frame(spark, sf_dir))
     return D.policy_compare(D.evaluate(rows, prof, [D.scenario_struct("default", DEFAULT)]))
