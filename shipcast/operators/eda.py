@@ -266,7 +266,8 @@ def correlation_matrix(orders: DataFrame, fields: Sequence[str] = CORRELATION_FI
     return both.select("var_a", "var_b", dround(F.when(~F.isnan(c), c), 4).alias("correlation"))
 
 
-def correlation_top(corr_long: DataFrame, target: str = TARGET, k: int = 8) -> DataFrame:
+def correlation_top(corr_long: DataFrame, target: str = TARGET, k: int | None = None) -> DataFrame:
+    """Every variable ranked from both ends; ``k`` keeps the first of each."""
     with_t = corr_long.where((F.col("var_a") == target) & (F.col("var_b") != target) & F.col("correlation").isNotNull())
     hi = Window.partitionBy(F.lit(0)).orderBy(F.desc("correlation"), "var_b")
     lo = Window.partitionBy(F.lit(0)).orderBy(F.asc("correlation"), "var_b")
@@ -276,18 +277,19 @@ def correlation_top(corr_long: DataFrame, target: str = TARGET, k: int = 8) -> D
         F.row_number().over(hi).alias("rank_pos"),
         F.row_number().over(lo).alias("rank_neg"),
     )
-    pos = ranked.where(F.col("rank_pos") <= k).select(F.lit("positive").alias("direction"), F.col("rank_pos").alias("rank"), "variable", "correlation")
-    neg = ranked.where(F.col("rank_neg") <= k).select(F.lit("negative").alias("direction"), F.col("rank_neg").alias("rank"), "variable", "correlation")
+    first = lambda c: F.lit(True) if k is None else F.col(c) <= k
+    pos = ranked.where(first("rank_pos")).select(F.lit("positive").alias("direction"), F.col("rank_pos").alias("rank"), "variable", "correlation")
+    neg = ranked.where(first("rank_neg")).select(F.lit("negative").alias("direction"), F.col("rank_neg").alias("rank"), "variable", "correlation")
     return pos.unionByName(neg).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def segment_top(rates: DataFrame, k: int = 10, min_orders: int = MIN_SUPPORT, by: str = "late_rate") -> DataFrame:
-    """Levels with at least ``min_orders`` orders, top ``k`` per dimension."""
+def segment_top(rates: DataFrame, k: int | None = None, min_orders: int = MIN_SUPPORT, by: str = "late_rate") -> DataFrame:
+    """Levels with at least ``min_orders`` orders, ranked per dimension; ``k`` keeps the first."""
     w = Window.partitionBy("dimension").orderBy(F.desc(by), F.desc("orders"), "level")
     return (
         rates.where(F.col("orders") >= min_orders)
         .withColumn("rank", F.row_number().over(w).cast("bigint"))
-        .where(F.col("rank") <= k)
+        .where(F.lit(True) if k is None else F.col("rank") <= k)
     )
 
 

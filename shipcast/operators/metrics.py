@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from shipcast.functions.prefix import prefix_sums
 from shipcast.functions.rounding import dround
 
-MAX_POINTS = 300
-
 
 def score_counts(df: DataFrame, score: str, label: str, group_cols: Sequence[str] = ()) -> DataFrame:
     y = F.col(label).cast("double")
@@ -70,15 +68,17 @@ def average_precision(counts: DataFrame, group_cols: Sequence[str] = ()) -> Data
     return d.agg(F.sum(term).alias("pr_auc"))
 
 
-def _kept(position: Column, n: Column, max_points: int = MAX_POINTS) -> Column:
-    """Position i survives thinning to ``max_points`` evenly spaced indices
+def _kept(position: Column, n: Column, max_points: int | None) -> Column:
+    """Every position, or with ``max_points``: position i survives thinning to ``max_points`` evenly spaced indices
     floor(k (n-1) / (max_points-1)), k = 0..max_points-1 (integer arithmetic)."""
+    if max_points is None:
+        return F.lit(True)
     m = max_points - 1
     k0 = F.floor((position * m + (n - 2)) / (n - 1))
     return (n <= max_points) | ((k0 <= m) & (k0 * (n - 1) < (position + 1) * m))
 
 
-def roc_curve(counts: DataFrame, group_cols: Sequence[str] = (), max_points: int = MAX_POINTS) -> DataFrame:
+def roc_curve(counts: DataFrame, group_cols: Sequence[str] = (), max_points: int | None = None) -> DataFrame:
     d = _desc(counts, group_cols)
     pts = d.select(
         *group_cols, "position", F.col("score").alias("threshold"), (F.col("fp") / F.col("N")).alias("fpr"),
@@ -96,7 +96,7 @@ def roc_curve(counts: DataFrame, group_cols: Sequence[str] = (), max_points: int
     )
 
 
-def pr_curve(counts: DataFrame, group_cols: Sequence[str] = (), max_points: int = MAX_POINTS) -> DataFrame:
+def pr_curve(counts: DataFrame, group_cols: Sequence[str] = (), max_points: int | None = None) -> DataFrame:
     d = _desc(counts, group_cols)
     pts = d.select(
         *group_cols, "position", F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,7 +132,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
         missing.cast("bigint").alias("missing"),
         dround(100 * missing / F.col("__n"), 2).alias("missing_pct"),
         F.coalesce("unique", F.lit(0)).cast("bigint").alias("unique"),
-        F.when(F.col("dtype") == "string", F.substring("min_text", 1, 60)).alias("example"),
+        F.when(F.col("dtype") == "string", F.col("min_text")).alias("example"),
         "min_value",
     )
 
@@ -144,8 +145,8 @@ def outlier_columns(df: DataFrame) -> list[str]:
     ]
 
 
-def profile_outliers(df: DataFrame, top: int = 15) -> DataFrame:
-    """Values outside q1 - 1.5 IQR .. q3 + 1.5 IQR per measure column."""
+def profile_outliers(df: DataFrame, top: int | None = None) -> DataFrame:
+    """All columns with values outside q1 - 1.5 IQR .. q3 + 1.5 IQR per measure column."""
     cols = outlier_columns(df)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
     vc = value_counts(long, "value", ["column"])
@@ -162,9 +163,12 @@ def profile_outliers(df: DataFrame, top: int = 15) -> DataFrame:
         )
         .where(F.col("count") > 0)
     )
-    return out.select(
-        "column", F.col("count").cast("bigint").alias("count"), dround(100 * F.col("count") / n_rows, 2).alias("pct")
-    ).orderBy(F.desc("count"), "column").limit(top)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("count"), "column"))  # one row per column
+    ranked = out.select(
+        place.cast("bigint").alias("rank"), "column", F.col("count").cast("bigint").alias("count"),
+        dround(100 * F.col("count") / n_rows, 2).alias("pct"),
+    )
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def with_duplicate_copies(df: DataFrame) -> DataFrame:

@@ -182,7 +182,7 @@ def q_correlation_matrix(spark, sf_dir):
     with_base(
         "SELECT direction, CAST(rank AS BIGINT) AS rank, variable, correlation FROM ("
         "SELECT 'positive' AS direction, row_number() OVER (ORDER BY correlation DESC, var_b) AS rank, var_b AS variable, correlation FROM t "
-        "UNION ALL SELECT 'negative', row_number() OVER (ORDER BY correlation ASC, var_b), var_b, correlation FROM t) WHERE rank <= 8",
+        "UNION ALL SELECT 'negative', row_number() OVER (ORDER BY correlation ASC, var_b), var_b, correlation FROM t)",
         CORR_CTE + f", t AS (SELECT * FROM corr_long WHERE var_a = '{T}' AND var_b <> '{T}' AND correlation IS NOT NULL)",
     ),
 )
@@ -195,7 +195,7 @@ def q_correlation_top(spark, sf_dir):
     with_base(
         "SELECT dimension, level, orders, late_rate, avg_profit, total_profit, rank FROM ("
         "SELECT *, CAST(row_number() OVER (PARTITION BY dimension ORDER BY late_rate DESC, orders DESC, level) AS BIGINT) AS rank "
-        "FROM rates WHERE orders >= 200) WHERE rank <= 10",
+        "FROM rates WHERE orders >= 200)",
         RATE_CTE,
     ),
 )

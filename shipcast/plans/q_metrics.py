@@ -170,17 +170,12 @@ def q_average_precision(spark, sf_dir):
     return M.average_precision(_counts(spark, sf_dir), ["model"]).select("model", dround("pr_auc", 6).alias("pr_auc"))
 
 
-def _kept_sql(pos: str, n: str) -> str:
-    k0 = f"floor(({pos} * 299 + ({n} - 2)) / ({n} - 1))"
-    return f"({n} <= 300 OR ({k0} <= 299 AND {k0} * ({n} - 1) < ({pos} + 1) * 299))"
-
-
 @query(
     "roc_curve",
     with_base(
         "SELECT model, position, round(threshold, 6) AS threshold, round(fpr, 5) AS fpr, round(tpr, 5) AS tpr FROM ("
         "SELECT model, position, score AS threshold, fp / nn AS fpr, tp / pp AS tpr, n_scores + 1 AS np FROM edesc UNION ALL "
-        "SELECT model, CAST(0 AS BIGINT), NULL, 0.0, 0.0, max(n_scores) + 1 FROM edesc GROUP BY model) WHERE " + _kept_sql("position", "np"),
+        "SELECT model, CAST(0 AS BIGINT), NULL, 0.0, 0.0, max(n_scores) + 1 FROM edesc GROUP BY model)",
         EVAL_CTE,
     ),
 )
@@ -193,7 +188,7 @@ def q_roc_curve(spark, sf_dir):
     with_base(
         "SELECT model, position, round(threshold, 6) AS threshold, round(precision, 5) AS precision, round(recall, 5) AS recall FROM ("
         "SELECT model, position, score AS threshold, tp / (tp + fp) AS precision, tp / pp AS recall, n_scores + 1 AS np FROM edesc UNION ALL "
-        "SELECT model, CAST(0 AS BIGINT), NULL, 1.0, 0.0, max(n_scores) + 1 FROM edesc GROUP BY model) WHERE " + _kept_sql("position", "np"),
+        "SELECT model, CAST(0 AS BIGINT), NULL, 1.0, 0.0, max(n_scores) + 1 FROM edesc GROUP BY model)",
         EVAL_CTE,
     ),
 )

@@ -65,7 +65,7 @@ def _profile_sql() -> str:
     parts = []
     for c in COLS:
         k = KIND[c]
-        ex = f"left(min({c}), 60)" if k == "string" else "CAST(NULL AS VARCHAR)"
+        ex = f"min({c})" if k == "string" else "CAST(NULL AS VARCHAR)"
         mn = f"CAST(min({c}) AS DOUBLE)" if c in NUMERIC else "CAST(NULL AS DOUBLE)"
         parts.append(
             f"SELECT '{c}' AS column, '{k}' AS dtype, CAST(count(*) - count({c}) AS BIGINT) AS missing, "
@@ -90,9 +90,10 @@ def _outlier_sql() -> str:
         for c in cols
     ]
     return with_base(
-        "SELECT \"column\", count, round(100 * count / (SELECT count(*) FROM lines), 2) AS pct FROM ("
+        "SELECT row_number() OVER (ORDER BY count DESC, \"column\") AS rank, \"column\", count, "
+        "round(100 * count / (SELECT count(*) FROM lines), 2) AS pct FROM ("
         + U.join(parts)
-        + ") WHERE count > 0 ORDER BY count DESC, \"column\" LIMIT 15"
+        + ") WHERE count > 0"
     )
 
 

@@ -12,6 +12,7 @@ from shipcast.operators import stats as S
 from shipcast.operators.cleaning import filter_cancelled
 from shipcast.plans import q_decision as QD
 from shipcast.plans import q_eda as QE
+from shipcast.plans import q_leakage as QL
 from shipcast.plans import q_metrics as QM
 from shipcast.plans import q_stats as QS
 from shipcast.plans.registry import query
@@ -99,23 +100,21 @@ def q_scored_table(spark, sf_dir):
     return _scored(spark, sf_dir)
 
 
-SAMPLE_ORDER = ["order_id", "line_number", "product_id", "supplier_id", "sales", "quantity", "discount_rate"]
+#: share of orders, by hash, that the sampled table holds
+SAMPLE_SHARE = 0.25
 
 
 @query(
     "scored_sample",
     with_base(
-        f"SELECT {_SCORED_SQL_COLS} FROM etest ORDER BY ((order_id % 1000003) * 7919 + 42) % 1000003, "
-        + ", ".join(SAMPLE_ORDER)
-        + " LIMIT 5000",
+        f"SELECT {_SCORED_SQL_COLS} FROM etest WHERE ((order_id % 1000003) * 7919 + 42) % 1000003 < {SAMPLE_SHARE} * 1000003",
         QM.EVAL_CTE,
     ),
 )
 def q_scored_sample(spark, sf_dir):
     df = QM.eval_frame(spark, sf_dir)
     return (
-        df.orderBy(D.seeded_order(F.col("order_id")), *SAMPLE_ORDER)
-        .limit(5000)
+        df.where(D.seeded_order(F.col("order_id")) < SAMPLE_SHARE * 1000003)
         .select(*SCORED_COLS, *[dround(f"p_{k}", 6).alias(n) for k, n in _P_NAMES.items()], dround("p_full", 6).alias("p_late_current"))
     )
 
@@ -199,7 +198,7 @@ def q_export_eda(spark, sf_dir):
         "FROM rates WHERE orders >= 200 AND dimension IN ('market', 'order_region', 'category_name', 'customer_segment')) WHERE rk = 1 UNION ALL "
         "SELECT 'policy', 'best_policy', policy FROM cmp WHERE rank = 1 UNION ALL "
         "SELECT 'policy', 'best_saving_pct', CAST(saving_pct AS VARCHAR) FROM cmp WHERE rank = 1 UNION ALL "
-        "SELECT 'drivers', 'material_factor_' || CAST(rank AS VARCHAR), factor FROM fam WHERE significant AND effect_size >= 0.10 AND rank <= 5",
+        "SELECT 'drivers', 'material_factor_' || CAST(rank AS VARCHAR), factor FROM fam WHERE significant AND effect_size >= 0.10",
         QS.ALL_CTE + ", " + QE.RATE_CTE + ", " + QD.BASE_CTE + ", " + QD.costed_cte([QD._scen("default", QD.DEFAULT)]) + ", " + QD.choices_cte() + ", " + QD.SUMMARY_CTE,
     ),
 )
@@ -222,7 +221,7 @@ def q_executive_summary(spark, sf_dir):
         ),
         cmp.where(F.col("rank") == 1).select(F.lit("policy"), F.lit("best_policy"), "policy"),
         cmp.where(F.col("rank") == 1).select(F.lit("policy"), F.lit("best_saving_pct"), F.col("saving_pct").cast("string")),
-        fam.where(F.col("significant") & (F.col("effect_size") >= S.MATERIAL) & (F.col("rank") <= 5)).select(
+        fam.where(F.col("significant") & (F.col("effect_size") >= S.MATERIAL)).select(
             F.lit("drivers"), F.concat(F.lit("material_factor_"), F.col("rank").cast("string")), "factor"
         ),
     ]
@@ -235,12 +234,13 @@ def q_executive_summary(spark, sf_dir):
 @query(
     "monitoring_baseline",
     with_base(
-        "SELECT 'late_rate' AS metric, round(avg(late_delivery_risk), 4) AS value FROM ord WHERE delivery_status <> 'Shipping canceled' UNION ALL "
+        "SELECT 'late_rate' AS metric, round(avg(late_delivery_risk), 4) AS value FROM ord UNION ALL "
+        "SELECT 'n_features', CAST(count(*) AS DOUBLE) FROM (" + QL.FULL_FEATURES_SQL + ") UNION ALL "
         "SELECT 'n_modes', CAST(count(DISTINCT shipping_mode) AS DOUBLE) FROM ord UNION ALL "
         "SELECT 'mean_profit', round(avg(profit), 4) FROM ord UNION ALL "
         "SELECT 'roc_auc', round(roc_auc, 4) FROM eauc WHERE model = 'full' UNION ALL "
         "SELECT 'brier', round(avg((p_full - late_delivery_risk) * (p_full - late_delivery_risk)), 4) FROM etest WHERE p_full IS NOT NULL",
-        QM.EVAL_CTE,
+        QM.EVAL_CTE + ", " + QL.FLAGS_CTE,
     ),
 )
 def q_monitoring_baseline(spark, sf_dir):
@@ -248,7 +248,11 @@ def q_monitoring_baseline(spark, sf_dir):
     ev = QM.eval_frame(spark, sf_dir)
     auc = M.roc_auc(M.score_counts(ev, "p_full", "late_delivery_risk")).select("roc_auc").scalar()
     return (
-        D.not_cancelled(o).agg(dround(F.avg("late_delivery_risk"), 4).alias("value")).select(F.lit("late_rate").alias("metric"), "value")
+        o.agg(dround(F.avg("late_delivery_risk"), 4).alias("value")).select(F.lit("late_rate").alias("metric"), "value")
+        .union(
+            QL.q_feature_select(spark, sf_dir).where(F.col("variant") == "full")
+            .agg(F.count("*").cast("double").alias("v")).select(F.lit("n_features"), "v")
+        )
         .union(o.agg(F.countDistinct("shipping_mode").cast("double").alias("v")).select(F.lit("n_modes"), "v"))
         .union(o.agg(dround(F.avg("profit"), 4).alias("v")).select(F.lit("mean_profit"), "v"))
         .union(ev.agg(dround(auc, 4).alias("v")).select(F.lit("roc_auc"), "v"))

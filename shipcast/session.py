@@ -6,7 +6,9 @@ for tests and the bench only.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -28,26 +30,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
+        # driver and executors are one process here, so a local folder is shared
+        folder = tempfile.mkdtemp(prefix="shipcast-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints.
+    """The shared folder the session names for checkpoints and stored tables.
 
-    Read from the session; only when it is unset (local tests) a private
-    temporary folder is set.
+    Only a session whose executors share the driver's disk (``local``) may go
+    without the setting; elsewhere a missing one is an error, since executors
+    could not read what others wrote.
     """
-    return ensure_checkpoint_dir(spark)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="shipcast-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="shipcast-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir() or folder
