@@ -4,6 +4,7 @@ design matrix, covariance table and model metadata)."""
 from __future__ import annotations
 
 import threading
+import uuid
 
 from pyspark.ml import Pipeline
 from pyspark.sql import Window
@@ -345,24 +346,105 @@ def q_whatif_fill(spark, sf_dir):
     return whatif_fill(req, defaults, prep.numeric, prep.categorical)
 
 
+def _score_modes(best, rows):
+    """``p_<mode>`` of the model for every row under every mode, row by row."""
+    from shipcast.operators.decision import KEY_OF
+
+    rows = rows.withColumn("actual_mode", F.col("shipping_mode"))
+    for m, k in KEY_OF.items():
+        kept = [c for c in rows.columns if c != "shipping_mode"]
+        rows = best.transform(rows.withColumn("shipping_mode", F.lit(m))).select(*kept, F.lit(m).alias("shipping_mode"), vector_p().alias(f"p_{k}"))
+    return rows
+
+
+#: fields that a filled request derives from price, quantity and discount rate
+FOLLOWING = ("sales", "discount", "order_item_total", "unit_value", "discount_depth", "log_product_price", "log_order_value")
+
+
+def _changed(key: str, new_value, features):
+    """A request per line: every feature as text, the named one replaced."""
+    return F.inline(
+        F.array(*[F.struct(F.lit(c).alias("key"), (new_value if c == key else F.col(c)).cast("string").alias("value")) for c in features])
+    )
+
+
 @query("whatif_delta")
 def q_whatif_delta(spark, sf_dir):
-    """Per order: effect of doubling the order value on the recommendation,
-    and the late-risk change of switching to Same Day (points)."""
+    """Held-out lines asked again with twice the quantity: requests are filled,
+    dependent fields derived, the selected model scores every mode, and the
+    recommendation, its cost and the late risk are compared with before."""
     from shipcast.operators import decision as D
-    from shipcast.plans.q_decision import CONSTRAINED, _rows
+    from shipcast.operators.whatif import whatif_fill
+    from shipcast.plans.q_decision import CONSTRAINED
 
-    _, rows, prof = _rows(spark, sf_dir)
-    base = D.compare_modes(rows, prof, CONSTRAINED).where(F.col("cost_rank") == 1).select(
-        "order_id", F.col("recommended").alias("rec_base"), F.col("recommended_cost").alias("cost_base")
-    )
-    bumped = D.compare_modes(rows.withColumn("value", F.col("value") * 2), prof, CONSTRAINED).where(F.col("cost_rank") == 1).select(
-        "order_id", F.col("recommended").alias("rec_new"), F.col("recommended_cost").alias("cost_new")
+    prep = prepared(spark, sf_dir)
+    best = model(spark, sf_dir, _best_name(spark, sf_dir))
+    test = prep.data.where(F.col("is_test")).withColumn("request_id", F.concat_ws("|", *LINE_KEY))
+    asked = test.dropDuplicates(["request_id"])
+    defaults = q_model_metadata(spark, sf_dir)
+    prof = D.mode_profile(orders_frame(spark, sf_dir))
+
+    def decide(new_value):
+        given = [c for c in prep.features if c not in FOLLOWING]  # the others follow from these
+        requests = asked.select("request_id", _changed("quantity", new_value, given))
+        scored = _score_modes(best, whatif_fill(requests, defaults, prep.numeric, prep.categorical))
+        rows = scored.select(
+            F.col("request_id").alias("order_id"), "market", F.col("actual_mode").alias("shipping_mode"),
+            (dround("order_item_total", 4) / D.VALUE_SCALE).alias("value"), F.lit(0.0).alias("profit_k"), *[f"p_{k}" for k in D.KEY_OF.values()],
+        )
+        first = D.compare_modes(rows, prof, CONSTRAINED).where(F.col("cost_rank") == 1)
+        risk = rows.select("order_id", D.current_p(rows).alias("p"))
+        return first.select("order_id", "recommended", "recommended_cost").join(risk, "order_id")
+
+    old, new = decide(F.col("quantity")).alias("o"), decide(F.col("quantity") * 2).alias("n")
+    return old.join(new, "order_id").select(
+        F.col("order_id").alias("request_id"),
+        F.col("o.recommended").alias("rec_base"),
+        F.col("n.recommended").alias("rec_new"),
+        (F.col("o.recommended") != F.col("n.recommended")).alias("recommendation_changed"),
+        dround(F.col("n.recommended_cost") - F.col("o.recommended_cost"), 2).alias("delta_best_cost"),
+        dround(100 * (F.col("n.p") - F.col("o.p")), 2).alias("delta_p_points"),
     )
-    risk = rows.select("order_id", dround(100 * (F.col("p_sdy") - D.current_p(rows)), 2).alias("delta_p_points_same_day"))
-    return base.join(bumped, "order_id").join(risk, "order_id").select(
-        "order_id", "rec_base", "rec_new", (F.col("rec_base") != F.col("rec_new")).alias("recommendation_changed"),
-        dround(F.col("cost_new") - F.col("cost_base"), 2).alias("delta_best_cost"), "delta_p_points_same_day",
+
+
+# ------------------------------------------------------------------ sinks
+@query(
+    "sink_results",
+    with_base(
+        "SELECT order_id, line_number, product_id, supplier_id, CASE WHEN quantity = 10 THEN NULL ELSE round(sales / quantity, 6) END AS unit_value "
+        "FROM lines"
+    ),
+)
+def q_sink_results(spark, sf_dir):
+    """A result with non-finite doubles (every tenth-quantity line is made so)
+    written by the sink and read back: those cells are null."""
+    from shipcast.session import checkpoint_dir
+    from shipcast.sources.adapter import lines
+    from shipcast.sources.sinks import sink_results
+
+    bad = F.when(F.col("quantity") == 10, F.lit(float("inf"))).otherwise(dround(F.col("sales") / F.col("quantity"), 6))
+    table = lines(spark, sf_dir).select("order_id", "line_number", "product_id", "supplier_id", bad.alias("unit_value"))
+    paths = sink_results({"unit_value": table}, f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}")
+    return spark.read.schema(table.schema).parquet(paths["unit_value"])
+
+
+@query("sink_model")
+def q_sink_model(spark, sf_dir):
+    """The fitted logistic pipeline saved, loaded and scored again over the
+    held-out lines: rows whose scores differ (none) and their mean."""
+    from pyspark.ml import PipelineModel
+
+    from shipcast.session import checkpoint_dir
+    from shipcast.sources.sinks import sink_model
+
+    fitted = model(spark, sf_dir, "Logistic Regression")
+    again = PipelineModel.load(sink_model(fitted, f"{checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"))
+    test = prepared(spark, sf_dir).data.where(F.col("is_test"))
+    names = [c for c in test.columns]
+    both = again.transform(fitted.transform(test).select(*names, vector_p().alias("p_saved"))).select("p_saved", vector_p().alias("p_loaded"))
+    return both.agg(
+        F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("p_saved") - F.col("p_loaded")) > 1e-12).alias("n_different"),
+        dround(F.avg("p_loaded"), 4).alias("mean_p"),
     )
 
 
@@ -371,15 +453,8 @@ def model_counterfactuals(spark, sf_dir):
     """Every held-out line scored by the selected model under every mode: one
     row-local transform per mode, so nothing is shuffled and each line keeps
     its seven-column key."""
-    from shipcast.operators.decision import KEY_OF
-
     prep = prepared(spark, sf_dir)
-    best = model(spark, sf_dir, _best_name(spark, sf_dir))
-    rows = prep.data.where(F.col("is_test")).withColumn("actual_mode", F.col("shipping_mode"))
-    for m, k in KEY_OF.items():
-        kept = [c for c in rows.columns if c != "shipping_mode"]
-        rows = best.transform(rows.withColumn("shipping_mode", F.lit(m))).select(*kept, F.lit(m).alias("shipping_mode"), vector_p().alias(f"p_{k}"))
-    return rows
+    return _score_modes(model(spark, sf_dir, _best_name(spark, sf_dir)), prep.data.where(F.col("is_test")))
 
 
 def vector_p():
