@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+LEAST_BUCKETS = 64
 _ONE_GROUP = "__grp"
 
 
@@ -29,7 +29,7 @@ def prefix_sums(
     order_col: str,
     weight_cols: Sequence[str],
     group_cols: Sequence[str] = (),
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
     descending: bool = False,
 ) -> DataFrame:
     """Add ``cum_<w>`` (sum of ``w`` over rows strictly before this row in
@@ -37,6 +37,9 @@ def prefix_sums(
 
     ``df`` must hold at most one row per ``(group, order_col)`` value.
     """
+    # as many buckets as the session spreads a shuffle over, so that the rows of
+    # one sorted window stay in proportion to a shuffle partition
+    buckets = buckets or max(LEAST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     gcols = _groups(group_cols)
     if not group_cols:
         df = df.withColumn(_ONE_GROUP, F.lit(0))
@@ -47,7 +50,7 @@ def prefix_sums(
         df = df.withColumn("__key", key)
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*gcols).agg(
-        F.approx_percentile("__key", F.array(*[F.lit(p) for p in probs]), 1000).alias("__bounds")
+        F.approx_percentile("__key", F.array(*[F.lit(p) for p in probs]), max(1000, 10 * buckets)).alias("__bounds")
     )
     if group_cols:
         # one row per group: joining it back lets AQE pick a broadcast by size

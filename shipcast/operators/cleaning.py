@@ -99,6 +99,14 @@ def downcast_plan(df: DataFrame) -> DataFrame:
     return stacked.select("column", "from_type", to.alias("to_type"))
 
 
+def downcast(df: DataFrame) -> DataFrame:
+    """The rows with each integer column in the smallest type that holds its
+    range, and doubles as floats; the ranges come from one aggregation."""
+    to = {r["column"]: r["to_type"] for r in downcast_plan(df).collect()}  # one row per integer column
+    to |= {f.name: "float" for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
+    return df.select(*[F.col(c).cast(to[c]).alias(c) if c in to else F.col(c) for c in df.columns])
+
+
 def filter_cancelled(df: DataFrame) -> DataFrame:
     return df.where(F.col("delivery_status") != CANCELLED_STATUS)
 

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shipcast.functions.lookup import lookup
+
 from shipcast.functions.prefix import scalar_quantile
 
 EARTH_RADIUS_KM = 6371.0
@@ -59,7 +61,7 @@ def haversine_km(lat: Column, lon: Column, lat0: Column, lon0: Column) -> Column
 def daily_volume(df: DataFrame, ts_col: str = "order_date") -> DataFrame:
     day = F.to_date(F.col(ts_col))
     counts = df.groupBy(day.alias("__day")).agg(F.count(F.lit(1)).cast("double").alias("daily_order_volume"))
-    return df.withColumn("__day", day).join(counts, "__day", "left").drop("__day")
+    return lookup(df.withColumn("__day", day), counts, ["__day"]).drop("__day")
 
 
 def engineer_features(df: DataFrame) -> DataFrame:

@@ -399,7 +399,7 @@ _DEG_SET = [
     "degeneracy",
     with_base(
         "SELECT m.scenario_id AS scenario, m.mode, m.share, d.dominant_mode, d.dominant_share, (d.dominant_share >= 0.99) AS is_degenerate "
-        "FROM mix m JOIN (SELECT scenario_id, arg_max(mode, n_rows) AS dominant_mode, max(share) AS dominant_share FROM mix GROUP BY scenario_id) d "
+        "FROM mix m JOIN (SELECT scenario_id, arg_max(mode, (n_rows, -list_position([" + ", ".join(f"'{m}'" for m in MODES) + "], mode))) AS dominant_mode, max(share) AS dominant_share FROM mix GROUP BY scenario_id) d "
         "ON d.scenario_id = m.scenario_id",
         BASE_CTE + ", " + costed_cte(_DEG_SET) + ", " + choices_cte()
         + ", mix AS (SELECT scenario_id, mode, n_rows, round(n_rows / sum(n_rows) OVER (PARTITION BY scenario_id), 4) AS share FROM ch WHERE letter = 'D')",

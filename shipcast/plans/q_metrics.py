@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shipcast.functions.lookup import lookup
 from shipcast.functions.rounding import dround
 from shipcast.operators import metrics as M
 from shipcast.operators.cleaning import filter_cancelled
@@ -64,7 +65,7 @@ def _eval_frame(spark, sf_dir):
     pm = train.groupBy("shipping_mode").agg(F.avg("late_delivery_risk").alias("p_mode_only"))
     pk = train.groupBy("market").agg(F.avg("late_delivery_risk").alias("p_market_only"))
     test = filter_cancelled(lines(spark, sf_dir)).where(split_flag(F.col("order_id")))
-    df = test.join(sql_scores(o), "market", "left").join(pm, "shipping_mode", "left").join(pk, "market", "left")
+    df = lookup(lookup(lookup(test, sql_scores(o), ["market"]), pm, ["shipping_mode"]), pk, ["market"])
     return df.withColumn("p_full", current_p(df))
 
 
@@ -299,5 +300,5 @@ def q_regression_metrics(spark, sf_dir):
     test = pop.where(split_flag(F.col("order_id")))
     by_cat = train.groupBy("category_name").agg(F.avg("profit").alias("pred"))
     overall = train.agg(F.avg("profit").alias("m")).select("m").scalar()
-    scored = test.join(by_cat, "category_name", "left").withColumn("pred", F.coalesce("pred", overall))
+    scored = lookup(test, by_cat, ["category_name"]).withColumn("pred", F.coalesce("pred", overall))
     return M.regression_metrics(scored, "profit", "pred")

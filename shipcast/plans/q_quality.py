@@ -11,7 +11,7 @@ from shipcast.operators import quality as Q
 from shipcast.operators.decision import split_flag
 from shipcast.plans.registry import query
 from shipcast.plans.sql_base import with_base
-from shipcast.sources.adapter import LINE_SCHEMA, lines, orders_frame
+from shipcast.sources.adapter import CANCELLED_STATUS, LINE_SCHEMA, lines, orders_frame
 from shipcast.sources.tables import read_table
 
 COLS = [c for c, _ in LINE_SCHEMA]
@@ -157,25 +157,21 @@ def q_dataset_health(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- cleaning
-def _drop_rows():
-    cols = COLS + ["sales_per_customer", "benefit_per_order", "order_customer_id", "order_item_product_price"]
-    dropped = {c: "drop_always" for c in C.DROP_ALWAYS if c in cols}
-    for keep, drop in Q.DUPLICATE_PAIRS:
-        if drop in cols and drop not in dropped and keep in cols and drop not in C.DROP_ALWAYS:
-            dropped[drop] = f"duplicate_of:{keep}"
-    return [(c, "drop" if c in dropped else "keep", dropped.get(c, "kept")) for c in cols]
+#: what is left of the line table with copies: sparse zip codes and the second of each identical pair are gone
+_CLEANED = [c for c in COLS if c not in ("order_zipcode", "order_date", "shipping_date")]
+_DATES = [c for c in COLS if c in ("order_date", "shipping_date")]
 
 
 @query(
     "clean_drop",
     with_base(
-        "SELECT \"column\", action, reason FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _drop_rows()) + ") t(\"column\", action, reason) "
-        "WHERE EXISTS (SELECT 1 FROM copies)",
+        f"SELECT {', '.join(_CLEANED)}, " + ", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in _DATES) + " FROM copies",
         _COPIES,
     ),
 )
 def q_clean_drop(spark, sf_dir):
-    return C.drop_plan(Q.with_duplicate_copies(lines(spark, sf_dir).select(*COLS)))
+    out = C.clean_drop(Q.with_duplicate_copies(lines(spark, sf_dir).select(*COLS)))
+    return out.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in _DATES else F.col(c) for c in out.columns])
 
 
 _BAD = "not a date"
@@ -229,25 +225,35 @@ def q_clean_impute(spark, sf_dir):
 
 
 _INTS = [c for c, k in LINE_SCHEMA if k == "integer"]
-_SPARK_T = {
-    "order_id": "bigint", "customer_id": "bigint", "product_id": "bigint", "supplier_id": "bigint", "line_number": "int",
-    "scheduled_days": "int", "real_days": "int", "late_delivery_risk": "int", "order_zipcode": "bigint",
-}
+_FLOATS = [c for c, k in LINE_SCHEMA if k == "float"]
 
 
-@query(
-    "clean_types",
-    with_base(
-        U.join(
-            f"SELECT '{c}' AS column, '{_SPARK_T[c]}' AS from_type, CASE WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'tinyint' "
-            f"WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint' WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'int' "
-            f"ELSE 'bigint' END AS to_type FROM lines"
-            for c in _INTS
+def _types_sql() -> str:
+    def fits(c):
+        return (
+            f"CASE WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint' "
+            f"WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'int' ELSE 'bigint' END"
         )
-    ),
-)
+
+    ints = [f"SELECT '{c}' AS column, {fits(c)} AS to_type, count({c}) AS n, CAST(sum({c}) AS DOUBLE) AS total FROM lines" for c in _INTS]
+    floats = [
+        f"SELECT '{c}', 'float', count({c}), round(sum(CAST(CAST({c} AS FLOAT) AS DOUBLE)), 2) FROM lines" for c in _FLOATS
+    ]
+    return with_base(U.join([*ints, *floats]))
+
+
+@query("clean_types", _types_sql())
 def q_clean_types(spark, sf_dir):
-    return C.downcast_plan(lines(spark, sf_dir).select(*COLS))
+    """The cast table, read back: type, filled cells and sum of each column."""
+    out = C.downcast(lines(spark, sf_dir).select(*COLS))
+    types = dict(out.dtypes)
+    wide = out.agg(
+        *[F.count(c).alias(f"n_{c}") for c in (*_INTS, *_FLOATS)],
+        *[F.sum(F.col(c).cast("bigint")).cast("double").alias(f"t_{c}") for c in _INTS],
+        *[dround(F.sum(F.col(c).cast("double")), 2).alias(f"t_{c}") for c in _FLOATS],
+    )
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("to_type"), F.col(f"n_{c}").alias("n"), F.col(f"t_{c}").alias("total")) for c in (*_INTS, *_FLOATS)]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 @query(
@@ -260,17 +266,13 @@ def q_clean_types(spark, sf_dir):
     ),
 )
 def q_filter_cancelled(spark, sf_dir):
-    out = None
-    for grain, df in (("lines", lines(spark, sf_dir)), ("orders", orders_frame(spark, sf_dir))):
-        kept = C.filter_cancelled(df)
-        part = df.agg(F.count(F.lit(1)).alias("n_before")).select(
-            F.lit(grain).alias("grain"),
-            "n_before",
-            (F.col("n_before") - kept.agg(F.count(F.lit(1)).alias("k")).select("k").scalar()).alias("n_cancelled"),
-            kept.agg(F.count(F.lit(1)).alias("k")).select("k").scalar().alias("n_after"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    cancelled = F.count_if(F.col("delivery_status") == CANCELLED_STATUS)
+    known = F.count_if(F.col("delivery_status") != CANCELLED_STATUS)
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("n_before"), cancelled.alias("n_cancelled"), known.alias("n_after")).select(F.lit(grain).alias("grain"), "*")
+        for grain, df in (("lines", lines(spark, sf_dir)), ("orders", orders_frame(spark, sf_dir)))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 # ---------------------------------------------------------------- features
@@ -310,11 +312,9 @@ def q_feat_cyclic(spark, sf_dir):
     ),
 )
 def q_feat_daily_volume(spark, sf_dir):
-    o = orders_frame(spark, sf_dir).select(F.date_format("order_date", "yyyy-MM-dd").alias("day"), F.col("daily_order_volume").cast("bigint").alias("orders_on_day")).distinct()
-    lf = FT.daily_volume(lines(spark, sf_dir).select("order_date")).select(
-        F.date_format("order_date", "yyyy-MM-dd").alias("day"), F.col("daily_order_volume").cast("bigint").alias("lines_on_day")
-    ).distinct()
-    return o.join(lf, "day")
+    day = F.date_format("order_date", "yyyy-MM-dd").alias("day")
+    on_day = lambda df, name: df.where("order_date is not null").groupBy(day).agg(F.count(F.lit(1)).alias(name))
+    return on_day(orders_frame(spark, sf_dir), "orders_on_day").join(on_day(lines(spark, sf_dir), "lines_on_day"), "day")
 
 
 _ECO = ["discount_depth", "unit_value", "log_product_price", "log_order_value"]
