@@ -5,8 +5,8 @@ those of the 50 bytes.  Equal strings hold equal anchors, so
 
 1. a scan hashes the anchors of all documents and a shuffle by hash finds
    those that two documents share;
-2. each shared anchor takes its surroundings (every 50-byte string around it)
-   to the task of its hash;
+2. each shared anchor takes its surroundings (the 50-byte strings whose least
+   gram it is) to the task of its hash;
 3. there an enhanced suffix array of the surroundings is built; a stack scan of
    its common prefixes yields the interval tree, and intervals whose
    occurrences differ in the byte before (left-diverse) are the maximal
@@ -36,13 +36,13 @@ ANCHOR_BUCKET, CONTEXT_BUCKET, TEXT_BUCKET = 24 << 20, 4 << 20, 4 << 20
 SLICE = 2 << 20
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed value."""
     head = struct.pack("<I", len(arrays)) + b"".join(
         struct.pack("<2sQ", a.dtype.str[1:].encode(), a.nbytes) for a in arrays
     )
     body = head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    return zstandard.ZstdCompressor(level=level).compress(body)
 
 
 def unpack(value: bytes) -> list[np.ndarray]:
@@ -166,45 +166,64 @@ def _gather(parts: list[list[np.ndarray]], k: int, kind) -> np.ndarray:
     return np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)
 
 
+def served(place: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the ``size``-byte strings whose least gram (the
+    leftmost of equals) is each of one text's anchors; ``place`` ascends.
+
+    Equal strings have the same least gram, so it is enough that they meet at
+    that one.  An anchor left out of ``place`` only widens a range.
+    """
+    reach = size - GRAM
+    short = h >> U(32)
+    first, last = place - reach, place.copy()
+    for k in range(1, len(place)):
+        left, right = place[:-k], place[k:]
+        near = right - left <= reach
+        if not near.any():
+            break
+        # a gram at least as small to the left, a smaller one to the right
+        lower = near & (short[:-k] <= short[k:])
+        first[k:] = np.where(lower, np.maximum(first[k:], left + 1), first[k:])
+        lower = near & (short[k:] < short[:-k])
+        last[:-k] = np.where(lower, np.minimum(last[:-k], right - reach - 1), last[:-k])
+    return first, last
+
+
 def _context_rows(size: int, buckets: int):
     """Surroundings of shared anchors: packed (doc_id, rid, start, length, bytes)."""
-    reach = size - GRAM
 
     def run(texts: pa.Table, notes: pa.Table) -> pa.Table:
         parts = [unpack(v) for v in notes.column("packed").to_pylist()]
         rid, place = _gather(parts, 0, np.int64), _gather(parts, 1, np.uint32)
         order = np.lexsort((place, rid))
         rid, place = rid[order], place[order].astype(np.int64)
-        rows: dict[int, list] = {}
-        out = []
+        out, seen, found = [], set(), []
         docs = texts.column("doc_id").to_pylist()
-        rids = texts.column("rid").to_numpy()
-        seen: set[int] = set()
-        matrix, meta, keys = [], [], []
-        for k, text in enumerate(texts.column("text").to_pylist()):
-            lo, hi = np.searchsorted(rid, [rids[k], rids[k]], side="left")[0], np.searchsorted(rid, rids[k], side="right")
-            if docs[k] is None or lo == hi or int(rids[k]) in seen:
+        rids = texts.column("rid").to_pylist()
+        for doc, own, text in zip(docs, rids, texts.column("text").to_pylist()):
+            lo, hi = np.searchsorted(rid, own), np.searchsorted(rid, own, side="right")
+            if doc is None or lo == hi or own in seen:
                 continue
-            seen.add(int(rids[k]))
+            seen.add(own)
             data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            p = place[lo:hi]
-            p = np.unique(p[p + GRAM <= len(data)])
-            begin, end = np.maximum(p - reach, 0), np.minimum(p + size, len(data))
-            ok = end - begin >= size
-            p, begin, end = p[ok], begin[ok], end[ok]
-            if not len(p):
+            p = np.unique(place[lo:hi])
+            p = p[p + GRAM <= len(data)]
+            if not len(p) or len(data) < size:
                 continue
-            at = begin[:, None] + np.arange(size + reach)
-            matrix.append(np.where(at < end[:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8))
-            grams = np.ascontiguousarray(data[p[:, None] + np.arange(GRAM)])
-            keys.append(gram_hashes_of(grams))
-            meta.append((np.full(len(p), docs[k], np.int64), np.full(len(p), rids[k], np.int64), begin.astype(np.int32), (end - begin).astype(np.uint8)))
-        if matrix:
-            key = np.concatenate(keys)
-            doc, own, begin, length = (np.concatenate([m[j] for m in meta]) for j in range(4))
-            whole = np.concatenate(matrix)
-            for b, p in _by((key % U(buckets)).astype(np.int64)):
-                out.append((b, pack(doc[p], own[p], begin[p], length[p], whole[p].ravel())))
+            h = gram_hashes_of(np.ascontiguousarray(data[p[:, None] + np.arange(GRAM)]))
+            begin, last = served(p, h, size)
+            begin, last = np.maximum(begin, 0), np.minimum(last, len(data) - size)
+            ok = begin <= last
+            begin, length, h = begin[ok], (last - begin)[ok] + size, h[ok]
+            at = np.repeat(begin - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+            found.append((np.full(len(h), doc, np.int64), np.full(len(h), own, np.int64), begin.astype(np.int32), length.astype(np.uint8), h, data[at]))
+        if found:
+            doc, own, begin, length, h, data = (np.concatenate([f[k] for f in found]) for k in range(6))
+            ends = np.cumsum(length.astype(np.int64))
+            for b, p in _by((h % U(buckets)).astype(np.int64)):
+                n = length[p].astype(np.int64)
+                at = np.repeat(ends[p] - n - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                out.append((b, pack(doc[p], own[p], begin[p], length[p], data[at], level=3)))
         return pa.table(
             {"bucket": pa.array([r[0] for r in out], pa.int64()), "packed": pa.array([r[1] for r in out], pa.binary())}
         )
@@ -312,8 +331,9 @@ def _span_rows(size: int, texts: int):
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(v) for v in table.column("packed").to_pylist()]
         doc, rid, begin, length = (_gather(parts, k, np.int64) for k in range(4))
-        matrix = _gather(parts, 4, np.uint8).reshape(-1, width)
         length = length.astype(np.int64)
+        matrix = np.zeros((len(length), width), np.uint8)
+        matrix[np.arange(width) < length[:, None]] = _gather(parts, 4, np.uint8)
         # surroundings of equal bytes are one row, that of their smallest doc
         tagged = np.concatenate([length.astype(np.uint8)[:, None], matrix], 1)
         order = np.lexsort((doc, np.ascontiguousarray(tagged).view(f"S{width + 1}").ravel()))
