@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shipcast.llm.common import ship_package
+
 Message = tuple[str, str]
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -120,6 +122,7 @@ def format_conversations(turns: DataFrame, template: ChatTemplate = MARKED) -> D
     empty; a null conv_id is a conversation of its own; an empty table gives
     no rows.  A conversation is one unit of text, so its turns meet in one row.
     """
+    ship_package(turns.sparkSession)
     packed = (
         turns.select(
             "conv_id",

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,24 @@ from pyspark.sql import functions as F
 from shipcast.session import checkpoint_dir
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that
+    executors need no installation of it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(prefix="shipcast-"), f"{root.name}.zip")  # served by Spark from the driver
+    with zipfile.ZipFile(target, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent).as_posix())
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet into the shared checkpoint folder and read it back.
 

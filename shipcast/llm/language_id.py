@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipcast.llm.common import bounded_sample
+from shipcast.llm.common import bounded_sample, ship_package
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -163,6 +163,8 @@ def identify_language(docs: DataFrame, model: ByteConvNet | None) -> DataFrame:
     go to the label that sorts first.  Repeated rows each get a row.
     """
 
+    ship_package(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.compiled() if model else None
         for whole in batches:

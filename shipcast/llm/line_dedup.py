@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shipcast.llm.common import staged, text_key
+from shipcast.llm.common import ship_package, staged, text_key
 
 #: a repeated run is deleted if it has at least so many characters
 MIN_CHARS = 20
@@ -87,6 +87,7 @@ def minimal_runs(lines: DataFrame, min_chars: int) -> DataFrame:
 def later_copies(spark: SparkSession, docs: DataFrame, min_chars: int) -> DataFrame:
     """Runs ``doc_id, text_key, start, size`` that also occur earlier (smaller
     doc_id, then text key, then place)."""
+    ship_package(spark)
     level = repeated_lines(spark, docs)
     runs = staged(spark, minimal_runs(level, min_chars), "runs")
     longest = runs.agg(F.max("size")).first()[0] or 0

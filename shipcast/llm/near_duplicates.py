@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from shipcast.llm import hashing
-from shipcast.llm.common import staged, text_key
+from shipcast.llm.common import ship_package, staged, text_key
 from shipcast.llm.decontaminate import GAP, small_side
 from shipcast.llm.graph import components
 
@@ -219,6 +219,7 @@ def near_duplicates(
     are classes by themselves, named by their doc_id.  Other columns are
     ignored; an empty table gives no rows.
     """
+    ship_package(spark)
     bands, rows = band_shape(threshold, recall)
     docs = docs.select("doc_id", "text")
     signed = staged(spark, signatures(docs, size, bands, rows), "signatures")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shipcast.llm.common import bounded_sample, staged
+from shipcast.llm.common import bounded_sample, ship_package, staged
 
 #: rows of one partition, and queries, that one task compares
 BLOCK, QUERY_BLOCK = 8192, 2048
@@ -210,6 +210,7 @@ def nearest(
     part.  Ties go to the smaller vec_id.  With fewer than k other rows all
     are returned; an empty table gives no rows.
     """
+    ship_package(spark)
     shape = "query_id long, vec_id long, score double"
     table = staged(spark, usable(embeddings), "vectors")
     sizes = table.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipcast.llm.common import staged
+from shipcast.llm.common import ship_package, staged
 
 #: pieces that one packing task is meant to hold
 BLOCK = 16_384
@@ -105,6 +105,7 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """One row per piece: a document's ids (then ``end_id``), cut only where
     longer than ``capacity``.  Null text counts as empty: one id."""
+    ship_package(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,6 +261,7 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int = 4096, un
     table (it is read more than once).  Waste beyond the total's lower bound
     is at most about one bin per second-level task.
     """
+    ship_package(spark)
     key = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
     rest = pieces.where(F.col("length") < capacity)
     n = rest.count()

@@ -29,6 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shipcast.llm.common import ship_package
+
 GRAM = 16
 U = np.uint64
 #: bytes of text per bucket of anchors, of surroundings and of documents
@@ -403,6 +405,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, size: int = 50) -> Data
     """
     if size < 2 * GRAM or 2 * size - GRAM > 255:
         raise ValueError("size must be from 32 to 135 bytes")
+    ship_package(spark)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("rid"), text.alias("text"))
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0

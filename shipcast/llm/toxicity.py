@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipcast.llm.common import bounded_sample
+from shipcast.llm.common import bounded_sample, ship_package
 
 #: Letters that look like a Latin letter, and digits and signs
 #: written in place of one.
@@ -164,6 +164,7 @@ def fit_toxicity(
     term's weight is the lower end of a one-sided 95 % interval of its log
     odds.  Repeated labels of a document count once (the larger one).
     """
+    ship_package(docs.sparkSession)
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -269,6 +270,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
     Whole texts are matched.  Null and empty texts have no match and get the
     calibrated score of that.  Repeated rows each get a row.
     """
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
@@ -289,6 +291,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose score is below the
     threshold; a row is judged where it lies."""
+    ship_package(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
