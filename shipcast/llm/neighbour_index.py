@@ -153,21 +153,22 @@ def _as_matrix(values, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float64).reshape(-1, dim)
 
 
-def _best(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest of every query in one block of candidates."""
-    # equal vectors: the k + 1 smallest ids are all that can be wanted
-    order = np.lexsort((c_id, *c.T))
-    c_id, c = c_id[order], c[order]
-    new = np.concatenate([[True], (c[1:] != c[:-1]).any(axis=1)])
+def _best(q_id: np.ndarray, q: np.ndarray, asked: np.ndarray, c_id: np.ndarray, c: np.ndarray, part: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest of every query among the block's candidates that lie in a
+    partition it asks; ``asked`` is boolean (query, partition)."""
+    # equal vectors of a partition: the k + 1 smallest ids are all that can be wanted
+    order = np.lexsort((c_id, *c.T, part))
+    c_id, c, part = c_id[order], c[order], part[order]
+    new = np.concatenate([[True], (c[1:] != c[:-1]).any(axis=1) | (part[1:] != part[:-1])])
     place = np.arange(len(c)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    c_id, c = c_id[place <= k], c[place <= k]
+    c_id, c, part = c_id[place <= k], c[place <= k], part[place <= k]
     out = []
     for at in range(0, len(q), 256):
         some = q[at : at + 256]
         scores = some @ c.T
-        scores[q_id[at : at + 256, None] == c_id[None, :]] = -np.inf
+        scores[(q_id[at : at + 256, None] == c_id[None, :]) | ~asked[at : at + 256][:, part]] = -np.inf
         take = min(k, scores.shape[1])
-        least = -np.partition(-scores, take - 1, axis=1)[:, take - 1] if take else np.zeros(len(some))
+        least = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
         row, col = np.nonzero((scores >= least[:, None] - 1e-9 * np.maximum(1, np.abs(least[:, None]))) & (scores > -np.inf))
         exact = np.einsum("ij,ij->i", some[row], c[col])  # one order of summation for every pair
         order = np.lexsort((c_id[col], -exact, row))
@@ -175,7 +176,18 @@ def _best(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: i
         start = np.searchsorted(row, row)
         keep = np.arange(len(row)) - start < k
         out.append(pd.DataFrame({"query_id": q_id[at + row[keep]], "vec_id": c_id[col[keep]], "score": exact[keep]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    return pd.concat(out)
+
+
+def _bundles(count: dict[int, int]) -> dict[int, int]:
+    """Partition -> bundle: neighbours in number share a bundle while their rows
+    fit one block, so that a query's lists are merged there."""
+    out, bundle, rows = {}, 0, 0
+    for part, n in sorted(count.items()):
+        if rows and rows + n > BLOCK:
+            bundle, rows = bundle + 1, 0
+        out[part], rows = bundle, rows + n
+    return out
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -200,7 +212,7 @@ def nearest(
     max_sample: int = 8192,
     rows_per_part: int = 1000,
     max_parts: int = 256,
-    recall: float = 0.97,
+    recall: float = 0.95,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` for queries with vec_id divisible by
     ``every``, against all other rows; nearness is the inner product.
@@ -236,23 +248,39 @@ def nearest(
     placed = staged(spark, table.mapInPandas(place, "vec_id long, v binary, parts array<int>"), "placed")
     held = placed.select(F.col("parts")[0].alias("part"), "vec_id", "v")
     count = {r["part"]: r["count"] for r in held.groupBy("part").count().collect()}  # at most max_parts rows
-    blocks = F.create_map(*[F.lit(x) for p, c in sorted(count.items()) for x in (p, -(-c // BLOCK))])
-    asks = placed.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.explode("parts").alias("part"))
-    asked = {r["part"]: r["count"] for r in asks.groupBy("part").count().collect()}
-    groups = F.create_map(*[F.lit(x) for p, c in sorted(asked.items()) for x in (p, -(-c // QUERY_BLOCK))]) if asked else None
-    if groups is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    spread = lambda m: F.explode(F.sequence(F.lit(0), F.coalesce(F.element_at(m, F.col("part")), F.lit(1)) - 1))
-    salt = lambda m: F.pmod(F.xxhash64("vec_id"), F.coalesce(F.element_at(m, F.col("part")), F.lit(1))).cast("int")
-    left = held.withColumn("b", salt(blocks)).withColumn("g", spread(groups))
-    right = asks.withColumn("g", salt(groups)).withColumn("b", spread(blocks))
+    bundle_of = _bundles(count)
+    sizes: dict[int, int] = {}
+    for p, c in count.items():
+        sizes[bundle_of[p]] = sizes.get(bundle_of[p], 0) + c
+    of = F.create_map(*[F.lit(x) for pair in sorted(bundle_of.items()) for x in pair])
+    # a bundle above one block (a hot partition) is split by id
+    blocks = F.create_map(*[F.lit(x) for p, c in sorted(sizes.items()) for x in (p, -(-c // BLOCK))])
+    queries = placed.where(F.col("vec_id") % every == 0)
+    groups = max(1, -(-queries.count() // QUERY_BLOCK))
+    left = (
+        held.withColumn("bundle", F.element_at(of, F.col("part")))
+        .withColumn("b", F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("bundle"))).cast("int"))
+        .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    )
+    reached = F.array_distinct(F.filter(F.transform("parts", lambda p: F.element_at(of, p)), lambda x: x.isNotNull()))
+    right = (
+        queries.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
+        .withColumn("bundle", F.explode(reached))
+        .withColumn("b", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("bundle")) - 1)))
+    )
+    width = max(count) + 1
 
     def compare(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _best(q["vec_id"].to_numpy(), _as_matrix(q["v"], dim), c["vec_id"].to_numpy(), _as_matrix(c["v"], dim), k)
-
-    key = ("part", "b", "g")
+        asked = np.zeros((len(q), max(width, router.probes, int(max(map(max, q["parts"]))) + 1)), bool)
+        for i, parts in enumerate(q["parts"]):
+            asked[i, list(parts)] = True
+        return _best(
+            q["vec_id"].to_numpy(), _as_matrix(q["v"], dim), asked, c["vec_id"].to_numpy(), _as_matrix(c["v"], dim), c["part"].to_numpy(), k
+        )
+
+    key = ("bundle", "b", "g")
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, shape)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
