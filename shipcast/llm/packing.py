@@ -28,7 +28,7 @@ BLOCK = 16_384
 #: blocks whose underfull bins meet in one second-level task
 FAN_IN = 512
 #: entries of one generation of a worker's word cache (two generations live)
-CACHE = 400_000
+CACHE = 200_000
 
 
 def _byte_letters() -> list[str]:
