@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -388,14 +390,17 @@ def logit_inference(orders: DataFrame) -> DataFrame:
     frame, cols, _ = design_matrix(orders)
     data = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip").transform(frame)
     glr = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=TARGET, featuresCol="features", regParam=0.0, maxIter=100)
-    m = glr.fit(data.withColumn(TARGET, F.col(TARGET).cast("double")))
-    s = m.summary
+    labelled = data.withColumn(TARGET, F.col(TARGET).cast("double"))
+    none = [None] * (len(cols) + 1)
     try:
-        se = list(s.coefficientStandardErrors)
-        pv = list(s.pValues)
-    except Exception:  # singular design: Spark fits but cannot invert
-        se = [None] * (len(cols) + 1)
-        pv = [None] * (len(cols) + 1)
+        m = glr.fit(labelled)
+        se, pv = list(m.summary.coefficientStandardErrors), list(m.summary.pValues)
+    except (Py4JJavaError, CapturedException):
+        # a singular design has no inverse: a tiny penalty gives coefficients,
+        # standard errors and p-values stay unknown
+        m = glr.copy({glr.regParam: 1e-6}).fit(labelled)
+        se, pv = none, none
+    s = m.summary
     coefs = list(m.coefficients) + [m.intercept]
     names = cols + ["(intercept)"]
     rows = []

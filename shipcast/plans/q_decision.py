@@ -150,11 +150,11 @@ SUMMARY_CTE = (
     "summ AS (SELECT scenario_id, letter, policy, sum(n_rows) AS n_rows, round(sum(cost_sum), 2) AS total_cost, "
     "round(sum(cost_sum) / sum(n_rows), 3) AS avg_cost, round(sum(p_sum) / sum(n_rows), 4) AS expected_late_rate, "
     "count(CASE WHEN n_rows > 0 THEN 1 END) AS n_modes_used FROM ch GROUP BY scenario_id, letter, policy), "
-    "besta AS (SELECT scenario_id, arg_min(policy, (total_cost, policy)) AS best_policy, min(total_cost) AS baseline FROM summ WHERE letter = 'A' GROUP BY scenario_id), "
-    "cmp AS (SELECT s.scenario_id, s.policy, s.n_rows, s.total_cost, s.avg_cost, s.expected_late_rate, s.n_modes_used, "
+    "besta AS (SELECT scenario_id, arg_min(policy, (total_cost, list_position([" + ", ".join(f"'{m}'" for m in MODES) + "], split_part(policy, ':', 2)))) AS best_policy, min(total_cost) AS baseline FROM summ WHERE letter = 'A' GROUP BY scenario_id), "
+    "cmp AS (SELECT s.scenario_id, s.letter, s.policy, s.n_rows, s.total_cost, s.avg_cost, s.expected_late_rate, s.n_modes_used, "
     "round(b.baseline - s.total_cost, 2) AS saving_vs_best_single, "
     "CASE WHEN b.baseline <> 0 THEN round(100 * (b.baseline - s.total_cost) / b.baseline, 2) ELSE 0.0 END AS saving_pct, "
-    "CAST(row_number() OVER (PARTITION BY s.scenario_id ORDER BY s.total_cost, s.policy) AS BIGINT) AS rank, "
+    "CAST(row_number() OVER (PARTITION BY s.scenario_id ORDER BY s.total_cost, s.letter) AS BIGINT) AS rank, "
     f"CASE WHEN s.letter = 'A' THEN '{D.COMPLEXITY['A']}' WHEN s.letter IN ('B', 'C') THEN '{D.COMPLEXITY['B']}' "
     f"WHEN s.letter = 'E' THEN '{D.COMPLEXITY['E']}' ELSE '{D.COMPLEXITY['D']}' END AS complexity "
     "FROM summ s JOIN besta b ON b.scenario_id = s.scenario_id WHERE s.letter <> 'A' OR s.policy = b.best_policy)"

@@ -100,18 +100,27 @@ def q_split_group(spark, sf_dir):
 @query(
     "split_time",
     with_base(
-        f"SELECT CASE WHEN order_date < TIMESTAMP '{TIME_CUTOFF}' THEN 'train' ELSE 'test' END AS side, count(*) AS n_lines, "
+        f"SELECT CASE WHEN (SELECT count(DISTINCT order_date < TIMESTAMP '{TIME_CUTOFF}') FROM lines WHERE delivery_status <> 'Shipping canceled') < 2 "
+        f"THEN CASE WHEN {SPLIT} THEN 'test' ELSE 'train' END "
+        f"WHEN order_date < TIMESTAMP '{TIME_CUTOFF}' THEN 'train' ELSE 'test' END AS side, count(*) AS n_lines, "
         "count(DISTINCT order_id) AS n_orders FROM lines WHERE delivery_status <> 'Shipping canceled' GROUP BY 1"
     ),
 )
 def q_split_time(spark, sf_dir):
     pop = filter_cancelled(lines(spark, sf_dir))
-    is_train = F.col("order_date") < F.lit(TIME_CUTOFF).cast("timestamp_ntz")
-    return pop.groupBy(F.when(is_train, "train").otherwise("test").alias("side")).agg(
+    return pop.groupBy(time_split(pop, TIME_CUTOFF).alias("side")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.countDistinct("order_id").alias("n_orders")
     )
 
 
+def time_split(pop, cutoff: str):
+    """Side of a line by its order date; the group split by order where one
+    side would be empty."""
+    early = F.col("order_date") < F.lit(cutoff).cast("timestamp_ntz")
+    both = pop.agg((F.coalesce(F.bool_or(early), F.lit(False)) & F.coalesce(F.bool_or(~early), F.lit(False))).alias("b")).select("b").scalar()
+    return F.when(F.when(both, ~early).otherwise(split_flag(F.col("order_id"))), "test").otherwise("train")
+
+
 def row_split_flag():
     k = ((F.col("order_id") * 31 + F.col("product_id")) * 31 + F.col("supplier_id")) * 31 + F.col("line_number")
     return (k % 10007) % 100 < 20

@@ -196,6 +196,11 @@ def q_export_eda(spark, sf_dir):
         "SELECT 'headline', 'n_material', CAST(max(n_material) AS VARCHAR) FROM fam UNION ALL "
         "SELECT 'worst_level', 'worst_' || dimension, level FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY late_rate DESC, orders DESC, level DESC) AS rk "
         "FROM rates WHERE orders >= 200 AND dimension IN ('market', 'order_region', 'category_name', 'customer_segment')) WHERE rk = 1 UNION ALL "
+        "SELECT 'mode', 'worst_mode', arg_max(level, (late_rate, level)) FROM rates WHERE dimension = 'shipping_mode' UNION ALL "
+        "SELECT 'mode', 'best_mode', arg_min(level, (late_rate, level)) FROM rates WHERE dimension = 'shipping_mode' UNION ALL "
+        "SELECT 'policy', 'baseline_policy', policy FROM cmp WHERE letter = 'A' UNION ALL "
+        "SELECT 'policy', 'baseline_avg_cost', printf('%.3f', avg_cost) FROM cmp WHERE letter = 'A' UNION ALL "
+        "SELECT 'policy', 'best_avg_cost', printf('%.3f', avg_cost) FROM cmp WHERE rank = 1 UNION ALL "
         "SELECT 'policy', 'best_policy', policy FROM cmp WHERE rank = 1 UNION ALL "
         "SELECT 'policy', 'best_saving_pct', CAST(saving_pct AS VARCHAR) FROM cmp WHERE rank = 1 UNION ALL "
         "SELECT 'drivers', 'material_factor_' || CAST(rank AS VARCHAR), factor FROM fam WHERE significant AND effect_size >= 0.10",
@@ -208,6 +213,9 @@ def q_executive_summary(spark, sf_dir):
     rates = eda.rate_table(o)
     _, rows, prof = QD._rows(spark, sf_dir)
     cmp = D.policy_compare(D.evaluate(rows, prof, [D.scenario_struct("default", QD.DEFAULT)]))
+    single = F.col("policy").startswith("single_mode:")
+    by_rate = F.struct("late_rate", "level")
+    modes = rates.where(F.col("dimension") == "shipping_mode").agg(F.max_by("level", by_rate).alias("worst"), F.min_by("level", by_rate).alias("best"))
     head = o.agg(F.count(F.lit(1)).alias("n"), dround(100 * F.avg("late_delivery_risk"), 2).alias("r"))
     fh = fam.agg(F.max("n_tests").alias("t"), F.max("n_significant").alias("s"), F.max("n_material").alias("m"))
     parts = [
@@ -219,6 +227,11 @@ def q_executive_summary(spark, sf_dir):
         eda.riskiest_level(rates).where(F.col("item").startswith("worst_") & (F.col("item") != "worst_mode")).select(
             F.lit("worst_level"), "item", "level"
         ),
+        modes.select(F.lit("mode"), F.lit("worst_mode"), "worst"),
+        modes.select(F.lit("mode"), F.lit("best_mode"), "best"),
+        cmp.where(single).select(F.lit("policy"), F.lit("baseline_policy"), "policy"),
+        cmp.where(single).select(F.lit("policy"), F.lit("baseline_avg_cost"), F.format_string("%.3f", "avg_cost")),
+        cmp.where(F.col("rank") == 1).select(F.lit("policy"), F.lit("best_avg_cost"), F.format_string("%.3f", "avg_cost")),
         cmp.where(F.col("rank") == 1).select(F.lit("policy"), F.lit("best_policy"), "policy"),
         cmp.where(F.col("rank") == 1).select(F.lit("policy"), F.lit("best_saving_pct"), F.col("saving_pct").cast("string")),
         fam.where(F.col("significant") & (F.col("effect_size") >= S.MATERIAL)).select(

@@ -39,3 +39,21 @@ def test_medians_are_of_the_training_rows(prep):
 def test_saved_model_scores_the_same(spark):
     row = q_ml.q_sink_model(spark, SF).first()
     assert row.n_rows > 0 and row.n_different == 0
+
+
+def test_time_split_falls_back_to_groups(spark):
+    from pyspark.sql import functions as F
+
+    from shipcast.operators.decision import split_flag
+    from shipcast.plans.q_metrics import time_split
+    from shipcast.sources.adapter import lines
+
+    pop = lines(spark, SF)
+    sides = pop.select(time_split(pop, "1900-01-01").alias("side"), split_flag(F.col("order_id")).alias("test"))
+    assert sides.where((F.col("side") == "test") != F.col("test")).count() == 0
+    assert sides.select("side").distinct().count() == 2
+
+
+def test_logit_survives_a_singular_design(spark):
+    rows = q_ml.q_logit_inference(spark, SF).collect()
+    assert rows and all(r.coef is not None for r in rows)
