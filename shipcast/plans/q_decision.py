@@ -347,9 +347,9 @@ def q_scenario_run(spark, sf_dir):
     return D.policy_compare(D.evaluate(rows, prof, scen)).select(*_CMP_COLS.split(", "))
 
 
-def _sweep_set():
+def _sweep_set(sweeps: dict = D.SWEEPS):
     out = []
-    for parameter, levels in D.SWEEPS.items():
+    for parameter, levels in sweeps.items():
         for i, level in enumerate(levels):
             a = D.with_parameter(DEFAULT, parameter, level)
             out.append(_scen(f"{parameter}={level}", a, parameter, float(level), i))
@@ -360,7 +360,9 @@ SENS_CTE = (
     "sp AS (SELECT scenario_id, parameter, level, level_index, mode, mode_rank, count(*) AS n, sum(cost) AS c, sum(p) AS ps FROM dc_pick "
     "GROUP BY ALL), sens AS (SELECT parameter, CAST(level_index AS BIGINT) AS level_index, round(level, 5) AS value, "
     "round(sum(c), 2) AS total_cost, round(sum(c) / sum(n), 3) AS avg_cost, round(sum(ps) / sum(n), 4) AS expected_late_rate, "
-    "arg_max(mode, (n, -mode_rank)) AS dominant_mode, round(max(n) / sum(n), 4) AS dominant_share FROM sp GROUP BY parameter, level, level_index)"
+    "arg_max(mode, (n, -mode_rank)) AS dominant_mode, round(max(n) / sum(n), 4) AS dominant_share, "
+    + ", ".join(f"round(sum(CASE WHEN mode = '{m}' THEN n ELSE 0 END) / sum(n), 4) AS share_{k}" for m, k in D.KEY_OF.items())
+    + " FROM sp GROUP BY parameter, level, level_index)"
 )
 _SENS_EXTRA = BASE_CTE + ", " + costed_cte(_sweep_set()) + ", " + choices_cte() + ", " + SENS_CTE
 
@@ -371,6 +373,18 @@ def q_sensitivity(spark, sf_dir):
     return D.sensitivity(rows, prof)
 
 
+@query(
+    "sensitivity_freight",
+    with_base(
+        "SELECT * FROM sens", BASE_CTE + ", " + costed_cte(_sweep_set(D.FREIGHT_SWEEPS)) + ", " + choices_cte() + ", " + SENS_CTE
+    ),
+)
+def q_sensitivity_freight(spark, sf_dir):
+    """Mode mix per level of each mode's freight."""
+    _, rows, prof = _rows(spark, sf_dir)
+    return D.sensitivity(rows, prof, sweeps=D.FREIGHT_SWEEPS)
+
+
 @query(
     "switch_points",
     with_base(
