@@ -24,6 +24,8 @@ from shipcast.llm.common import ship_package, staged, text_key
 #: a repeated run is deleted if it has at least so many characters
 MIN_CHARS = 20
 KEY = ["doc_id", "text_key"]
+#: an interval is hot above LEAST_HOT occurrences and a HOT_INTERVALS-th of all
+LEAST_HOT, HOT_INTERVALS = 2_000, 100_000
 
 
 def _ranked(spark: SparkSession, names: DataFrame, cols: list[str], name: str) -> DataFrame:
@@ -138,8 +140,17 @@ def later_copies(spark: SparkSession, docs: DataFrame, min_chars: int) -> DataFr
     named = staged(spark, named, "named-runs")
     place = F.struct("doc_id", "text_key", "start")
     # (size, first, last) is one interval of the suffix array
-    first = named.groupBy("size", "first", "last").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1")
-    return named.join(first, ["size", "first", "last"]).where(place > F.col("origin")).select(*KEY, "start", "size")
+    keys = ["size", "first", "last"]
+    first = named.groupBy(*keys).agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1")
+    first = staged(spark, first, "intervals")
+    # intervals with many occurrences, at most HOT_INTERVALS of them, are looked
+    # up where the occurrences lie; only the others are shuffled by interval
+    many = max(LEAST_HOT, named.count() // HOT_INTERVALS)
+    hot, cold = (first.where(c).select(*keys, "origin") for c in (F.col("n") > many, F.col("n") <= many))
+    found = named.join(F.broadcast(hot), keys).unionByName(
+        named.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    )
+    return found.where(place > F.col("origin")).select(*KEY, "start", "size")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
