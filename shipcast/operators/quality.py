@@ -211,6 +211,8 @@ def dataset_health(df: DataFrame) -> DataFrame:
     missing = sum([F.count(F.lit(1)) - F.count(c) for c in cols[1:]], F.count(F.lit(1)) - F.count(cols[0]))
     agg = df.agg(F.count(F.lit(1)).alias("n_rows"), missing.alias("n_missing_cells"))
     dup = duplicate_rows(df)
+    # one scalar struct, so that the distinct runs once
+    agg = agg.withColumn("__dup", dup.select(F.struct("*").alias("s")).scalar())
     return agg.select(
         "n_rows",
         F.lit(len(cols)).cast("bigint").alias("n_columns"),
@@ -218,6 +220,6 @@ def dataset_health(df: DataFrame) -> DataFrame:
         F.lit(len(cols) - n_num).cast("bigint").alias("n_categorical"),
         F.col("n_missing_cells").cast("bigint").alias("n_missing_cells"),
         dround(100 * F.col("n_missing_cells") / (F.col("n_rows") * len(cols)), 3).alias("missing_pct"),
-        dup.select("n_duplicate_rows").scalar().alias("n_duplicate_rows"),
-        dup.select("duplicate_pct").scalar().alias("duplicate_pct"),
+        F.col("__dup")["n_duplicate_rows"].alias("n_duplicate_rows"),
+        F.col("__dup")["duplicate_pct"].alias("duplicate_pct"),
     )
