@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -132,8 +133,6 @@ class Bins:
         self.sizes, self.capacity = [int(x) for x in sizes], capacity
         self.items: list[list[int]] = []
         self.free: list[int] = []
-        #: pairs of bin contents (their sizes) between which no step helps
-        self.settled: set[tuple] = set()
 
     def best_fit(self) -> None:
         """Best fit, longest first; ties by position."""
@@ -157,80 +156,148 @@ class Bins:
     def lower_bound(self) -> int:
         return -(-sum(self.sizes) // self.capacity)
 
-    def improve(self, effort: int = 40_000) -> None:
+    def improve(self) -> None:
         """Raise the sum of squared fills among underfull bins by moves and
-        exchanges until no step helps, the bin count meets its lower bound, or
-        ``effort`` pairs of bins were compared (search effort only: every item
-        stays packed).  Every step raises a bounded integer, so this ends."""
-        least = self.lower_bound()
-        live = [b for b in range(len(self.items)) if self.items[b]]
-        self.left = effort
-        while len(live) > least and self.left > 0:
-            open_ = sorted((b for b in live if self.free[b]), key=lambda b: (-self.free[b], b))
+        exchanges until no step helps or the bin count meets its lower bound.
+        Every step raises a bounded integer, so this ends."""
+        live = sum(map(bool, self.items))
+        least, helped = self.lower_bound(), True
+        while helped and live > least:
             helped = False
-            for x in open_:
-                while self.left > 0 and self.items[x] and self._step(x, open_):
-                    helped = True
-            live = [b for b in live if self.items[b]]
-            if not helped:
-                break
+            index = _Partners(self.capacity)
+            for b, items in enumerate(self.items):
+                if items and self.free[b]:
+                    index.add(b, self.free[b], self._sizes(b))
+            # emptiest first: a bin gives to bins at most as empty as itself
+            queue = [(-room, b) for b, room in index.rooms.items()]
+            heapq.heapify(queue)
+            stuck: set[tuple] = set()  # contents that found no partner since the last step
+            level, passed = 0, []  # the room of the bins seen last, and these bins
+            while queue and live > least:
+                room, x = heapq.heappop(queue)
+                if index.rooms.get(x) != -room:
+                    continue  # it took something since
+                if -room != level:
+                    for b in passed:
+                        if index.rooms.get(b) == level:
+                            index.remove(b, self._sizes(b))
+                    level, passed = -room, []
+                index.remove(x, self._sizes(x))
+                while self.items[x]:
+                    content = self._content(x)
+                    step = None if content in stuck else index.find(content)
+                    if step is None:
+                        stuck.add(content)
+                        break
+                    out, size, y = step
+                    index.remove(y, self._sizes(y))
+                    self._exchange(x, y, out, size)
+                    stuck, helped = set(), True
+                    if self.free[y]:
+                        index.add(y, self.free[y], self._sizes(y))
+                        heapq.heappush(queue, (-self.free[y], y))
+                live -= not self.items[x]
+                if self.free[x] == level:  # bins as empty as this one may still give to it
+                    index.add(x, level, self._sizes(x))
+                    passed.append(x)
         self.items = [x for x in self.items if x]
 
-    def _put(self, b: int, out: list[int], into: list[int]) -> None:
-        for i in out:
-            self.items[b].remove(i)
-        self.items[b] += into
-        self.free[b] = self.capacity - sum(self.sizes[i] for i in self.items[b])
-
-    def _step(self, x: int, open_: list[int]) -> bool:
-        """One improving step that shifts load from bin x to a fuller bin."""
-        for y in reversed(open_):
-            if y == x or not self.items[x] or self.free[y] > self.free[x] or not self.items[y]:
-                continue
-            self.left -= 1
-            if self.left < 0:
-                return False
-            pair = (self._content(x), self._content(y))
-            if pair in self.settled:
-                continue
-            room = self.free[y]
-            for i in sorted(self.items[x], key=lambda i: -self.sizes[i]):
-                if self.sizes[i] <= room:  # move
-                    self._put(x, [i], [])
-                    self._put(y, [], [i])
-                    return True
-            # of equal sizes one item (for pairs, two) stands for all
-            mine = self._few(x, 2)
-            theirs = self._few(y, 1)
-            for size, j in theirs:
-                at = bisect.bisect_right(mine, (size + room, len(self.sizes))) - 1
-                if at >= 0 and mine[at][0] > size:  # one for one
-                    i = mine[at][1]
-                    self._put(x, [i], [j])
-                    self._put(y, [j], [i])
-                    return True
-            for a, (first, i) in enumerate(mine):
-                for second, k in mine[a + 1 :]:  # two for one
-                    for size, j in theirs:
-                        if 0 < first + second - size <= room:
-                            self._put(x, [i, k], [j])
-                            self._put(y, [j], [i, k])
-                            return True
-            self.settled.add(pair)
-        return False
+    def _exchange(self, x: int, y: int, out: tuple[int, ...], size: int) -> None:
+        """Items of sizes ``out`` go from x to y, one of ``size`` (none if 0) comes back."""
+        go = [self._take(x, wanted) for wanted in out]
+        come = [self._take(y, size)] if size else []
+        self.items[y] += go
+        self.items[x] += come
+        shift = sum(out) - size
+        self.free[x] += shift
+        self.free[y] -= shift
+
+    def _take(self, b: int, size: int) -> int:
+        at = next(k for k, i in enumerate(self.items[b]) if self.sizes[i] == size)
+        return self.items[b].pop(at)
+
+    def _sizes(self, b: int) -> set[int]:
+        return {self.sizes[i] for i in self.items[b]}
 
     def _content(self, b: int) -> tuple[int, ...]:
         return tuple(sorted(self.sizes[i] for i in self.items[b]))
 
-    def _few(self, b: int, most: int) -> list[tuple[int, int]]:
-        """(size, item) of a bin by size, at most ``most`` items of each size."""
-        taken: dict[int, int] = {}
-        out = []
-        for size, i in sorted((self.sizes[i], i) for i in self.items[b]):
-            taken[size] = taken.get(size, 0) + 1
-            if taken[size] <= most:
-                out.append((size, i))
-        return out
+
+class _Partners:
+    """Underfull bins by what they hold and by their room.
+
+    Every bin also holds an item of size 0, so that a move is an exchange.
+    What goes over for an item of size t must be longer than t and at most t
+    and the room together; so of the bins with t the roomiest tells whether
+    any can take part, and the sums of t and room tell what fills one exactly.
+    """
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity = capacity
+        self.rooms: dict[int, int] = {}
+        self.by_size: dict[int, list[tuple[int, int]]] = {}  # t -> (room, bin), sorted
+        self.by_sum: dict[int, list[tuple[int, int]]] = {}  # t + room -> (t, bin), sorted
+        #: t + the most room of a bin with t, or -1
+        self.reach = np.full(capacity + 1, -1, np.int64)
+        self.held = np.zeros(capacity + 1, bool)  # whether by_sum has an entry
+        self.each = np.arange(capacity + 1)
+
+    def add(self, b: int, room: int, sizes: set[int]) -> None:
+        self.rooms[b] = room
+        for t in (0, *sizes):
+            found = self.by_size.setdefault(t, [])
+            bisect.insort(found, (room, b))
+            self.reach[t] = t + found[-1][0]
+            bisect.insort(self.by_sum.setdefault(t + room, []), (t, b))
+            self.held[t + room] = True
+
+    def remove(self, b: int, sizes: set[int]) -> None:
+        room = self.rooms.pop(b)
+        for t in (0, *sizes):
+            found = self.by_size[t]
+            del found[bisect.bisect_left(found, (room, b))]
+            self.reach[t] = t + found[-1][0] if found else -1
+            found = self.by_sum[t + room]
+            del found[bisect.bisect_left(found, (t, b))]
+            self.held[t + room] = bool(found)
+
+    def find(self, content: tuple[int, ...]) -> tuple[tuple[int, ...], int, int] | None:
+        """For a bin of ``content``: one or two of its sizes, the size to come
+        back and the partner, which is left with as little room as possible;
+        None if there is no improving step."""
+        one = np.array(sorted(set(content)), np.int64)
+        twice = np.array([v for v, w in zip(content, content[1:]) if v == w], np.int64)
+        at, to = np.triu_indices(len(one), 1)
+        sums = np.concatenate([one, 2 * twice, one[at] + one[to]])
+        sums = sums[sums <= self.capacity]
+        exact = sums[self.held[sums]]
+        if len(exact):
+            total = int(exact.max())
+            back, y = self.by_sum[total][0]
+        else:
+            most = np.zeros(self.capacity + 1, np.int64)
+            most[sums] = sums
+            most = np.maximum.accumulate(most)  # the largest of the sums up to each value
+            able = np.flatnonzero((self.reach >= 0) & (most[self.reach] > self.each))
+            if not len(able):
+                return None
+            left = self.reach[able] - most[self.reach[able]]
+            back = int(able[left.argmin()])
+            total, y = int(most[self.reach[back]]), self.by_size[back][-1][1]
+        return self._parts(content, total), back, y
+
+    @staticmethod
+    def _parts(content: tuple[int, ...], total: int) -> tuple[int, ...]:
+        """The one or two sizes of that sum, one if possible."""
+        if total in content:
+            return (total,)
+        low, high = 0, len(content) - 1
+        while content[low] + content[high] != total:
+            if content[low] + content[high] < total:
+                low += 1
+            else:
+                high -= 1
+        return content[low], content[high]
 
 
 PACKED = PIECES + ", sequence_id long, offset long, fill int"

@@ -159,6 +159,34 @@ def test_local_search_empties_bins():
     assert len(bins.items) == 2 and sorted(i for b in bins.items for i in b) == list(range(6))
 
 
+def helping_step(bins):
+    """Two bins between which a move or exchange shifts load to the fuller one."""
+    loads = [[bins.sizes[i] for i in b] for b in bins.items]
+    free = [bins.capacity - sum(x) for x in loads]
+    open_ = [b for b, room in enumerate(free) if room]
+    for x in open_:
+        outs = {*loads[x], *(a + b for k, a in enumerate(loads[x]) for b in loads[x][k + 1 :])}
+        for y in open_:
+            if x != y and free[y] <= free[x] and any(t < o <= t + free[y] for t in {0, *loads[y]} for o in outs):
+                return x, y
+    return None
+
+
+@pytest.mark.parametrize("copies", [0, 600])
+def test_local_search_ends_only_when_no_step_helps(copies):
+    # lengths that do not combine, and a group of copies whose bins are all alike
+    rng = np.random.default_rng(5)
+    sizes = rng.permutation(np.concatenate([rng.integers(1000, 2001, 900), np.full(copies, 2100)]))
+    bins = packing.Bins(sizes, 4096)
+    bins.best_fit()
+    before = len(bins.items)
+    bins.improve()
+    assert sorted(i for b in bins.items for i in b) == list(range(len(sizes)))
+    assert all(sum(bins.sizes[i] for i in b) <= 4096 for b in bins.items)
+    assert len(bins.items) > bins.lower_bound() and helping_step(bins) is None
+    assert copies or len(bins.items) < 0.98 * before
+
+
 def test_chat_spans_and_rewrites():
     rows = [("user", "<|im_end|>"), ("assistant", "\\<|x\n"), ("assistant", "<|im_end|>")]
     out, mask, rewrites, *_ = chat_format.format_rows(rows)
