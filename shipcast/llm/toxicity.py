@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipcast.llm.common import bounded_sample, ship_package
+from shipcast.llm.common import bounded_sample, ship_package, staged
 
 #: Letters that look like a Latin letter, and digits and signs
 #: written in place of one.
@@ -153,16 +153,17 @@ def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
     max_rows: int = 12_000,
-    max_terms: int = 4_000,
     least_weight: float = 2.0,
     exceptions: tuple[str, ...] = (),
 ) -> ToxicityModel:
     """Learn lexicon, exception phrases and calibration.
 
     Fitted on at most ``max_rows`` labelled documents (those with the smallest
-    hashed ids) and at most ``max_terms`` terms; scoring is not bounded.  A
-    term's weight is the lower end of a one-sided 95 % interval of its log
-    odds.  Repeated labels of a document count once (the larger one).
+    hashed ids); scoring is not bounded.  Copies of a text are one piece of
+    evidence, toxic if one of them is.  Every term of at least ``least_weight``
+    counts, so their number is bounded by the sample.  A term's weight is the
+    lower end of a one-sided 95 % interval of its log odds.  Repeated labels of
+    a document count once (the larger one).
     """
     ship_package(docs.sparkSession)
     known = (
@@ -177,13 +178,18 @@ def fit_toxicity(
         return ToxicityModel({}, list(exceptions))
     spark = docs.sparkSession
     small = spark.createDataFrame([(r.doc_id, r.toxic) for r in sorted(picked)], "doc_id long, toxic int")
-    sample = (
+    sample = staged(
+        spark,
         docs.select("doc_id", "text")
         .where(F.col("text").isNotNull())
         .join(F.broadcast(small), "doc_id")  # bounded by max_rows
+        .groupBy("text")
+        .agg(F.max("toxic").alias("toxic"))
+        .select("toxic", "text"),
+        "toxicity-sample",
     )
-    positives = sum(r.toxic for r in picked)
-    negatives = len(picked) - positives
+    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    positives, negatives = sizes.get(1, 0), sizes.get(0, 0)
     odds = F.log((F.col("pos") + 0.5) / (positives + 1)) - F.log((F.col("neg") + 0.5) / (negatives + 1))
     error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     found = (
@@ -191,9 +197,7 @@ def fit_toxicity(
         .where(F.col("pos") >= 3)
         .withColumn("weight", odds - 1.64 * error)
         .where(F.col("weight") >= least_weight)
-        .orderBy(F.desc("weight"), "term")
-        .limit(max_terms)
-        .collect()
+        .collect()  # terms of a bounded sample
     )
     raw = {r.term: r.weight for r in found}
     # a word says no more than a beginning of it that weighs as much

@@ -2,6 +2,7 @@
 extra columns with clashing names: every operator has a defined result."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -97,6 +98,26 @@ def test_toxicity(spark, docs, empty):
     assert ids(toxicity.drop_toxic(docs, none)) == WANT
 
 
+def test_copies_of_a_long_text_leave_the_lexicon_whole(spark):
+    rng = random.Random(3)
+
+    def words(n):
+        return ["".join(rng.choice("bcdfglmnprtu") for _ in range(9)) for _ in range(n)]
+
+    common, long_text = words(80), " ".join(words(1_000))
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i < 450
+        text = long_text if i < 300 else " ".join(rng.choices(common, k=30)) + (" zounds" if toxic and i % 2 else "")
+        rows.append((i, text))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any(" zounds ".startswith(t) for t in model.lexicon)
+    probe = spark.createDataFrame([(1, "zounds " + " ".join(common[:20])), (2, " ".join(common[:21]))], docs.schema)
+    assert {r.doc_id: r.predicted for r in toxicity.score_toxicity(probe, model).collect()} == {1: 1, 2: 0}
+
+
 def test_repeats(spark, docs, empty):
     out = suffix_repeats.remove_repeats(spark, docs)
     rows = out.collect()
