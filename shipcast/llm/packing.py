@@ -5,8 +5,9 @@
    follows the table), packed best-fit decreasing within a block, then
    improved: moves, one-for-one and two-for-one exchanges that raise the sum
    of squared fills, until bins empty or no exchange helps.
-3. The few bins that stay underfull in each block are taken apart and packed
-   again, many blocks together, the same way.
+3. The bins that stay underfull meet in new blocks of about the same number of
+   pieces and are packed again, level by level, until one block holds them all
+   or their number no longer falls.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from shipcast.llm.common import ship_package, staged
 
 #: pieces that one packing task is meant to hold
 BLOCK = 16_384
-#: blocks whose underfull bins meet in one second-level task
-FAN_IN = 512
 #: entries of one generation of a worker's word cache (two generations live)
 CACHE = 200_000
 
@@ -304,9 +303,16 @@ PACKED = PIECES + ", sequence_id long, offset long, fill int"
 
 
 def _pack_frame(pdf: pd.DataFrame, capacity: int, base: int) -> pd.DataFrame:
+    """Packs the pieces of one block; where they have a ``sequence_id``, in no
+    more bins than that."""
     pdf = pdf.sort_values(["doc_id", "piece", "start", "length", "ids_crc32"], kind="stable").reset_index(drop=True)
     bins = Bins(pdf["length"].to_numpy(), capacity)
     bins.best_fit()
+    if "sequence_id" in pdf:
+        given = [list(map(int, rows)) for rows in pdf.groupby("sequence_id", sort=True).indices.values()]
+        if len(given) < len(bins.items):
+            bins.items = given
+            bins.free = [capacity - sum(bins.sizes[i] for i in items) for items in given]
     bins.improve()
     seq, offset, fill = (np.zeros(len(pdf), np.int64) for _ in range(3))
     lengths = pdf["length"].to_numpy()
@@ -325,8 +331,8 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int = 4096, un
     """Assign every piece a sequence and an offset.
 
     Full pieces are sequences by themselves.  ``pieces`` should be a stored
-    table (it is read more than once).  Waste beyond the total's lower bound
-    is at most about one bin per second-level task.
+    table (it is read more than once).  Where one block holds all underfull
+    bins at the end, no step helps between any of them.
     """
     ship_package(spark)
     key = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
@@ -340,27 +346,30 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int = 4096, un
         F.lit(0).cast("long").alias("offset"),
     )
 
-    def first(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _pack_frame(pdf.drop(columns="block"), capacity, (int(k[0]) * 2) << 32)
-
-    def second(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _pack_frame(pdf.drop(columns="block"), capacity, (int(k[0]) * 2 + 1) << 32)
-
-    level1 = staged(
-        spark,
-        rest.withColumn("block", F.pmod(key, F.lit(blocks))).groupBy("block").applyInPandas(first, PACKED),
-        "packed-1",
-    )
-    done = level1.where(F.col("fill") >= underfull * capacity)
-    again = (
-        level1.where(F.col("fill") < underfull * capacity)
-        .withColumn("block", F.shiftright(F.col("sequence_id"), 33) % F.lit(max(1, -(-blocks // FAN_IN))))
-        .select(*[c.split()[0] for c in PIECES.split(", ")], "block")
-        .groupBy("block")
-        .applyInPandas(second, PACKED)
-    )
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return whole.select(*cols).unionByName(done.select(*cols)).unionByName(again.select(*cols))
+
+    def packed(rows: DataFrame, level: int) -> DataFrame:
+        def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            # up to 2^13 levels of 2^24 blocks of 2^26 bins
+            return _pack_frame(pdf.drop(columns="block"), capacity, (level << 24 | int(k[0])) << 26)
+
+        return rows.groupBy("block").applyInPandas(run, PACKED)
+
+    low = F.col("fill") < underfull * capacity
+    last = staged(spark, packed(rest.withColumn("block", F.pmod(key, F.lit(blocks))), 0), "packed-0")
+    out, before, level = whole.select(*cols), None, 0
+    while True:
+        left = last.where(low)
+        n, bins = left.agg(F.count(F.lit(1)), F.count(F.when(F.col("offset") == 0, 1))).first()
+        if blocks == 1 or n == 0 or (before is not None and bins >= before):
+            return out.unionByName(last.select(*cols))
+        out = out.unionByName(last.where(~low).select(*cols))
+        before, level, blocks = bins, level + 1, -(-n // BLOCK)
+        block = F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(blocks))
+        again = packed(left.select(*cols[:-1], block.alias("block")), level)
+        if blocks == 1:
+            return out.unionByName(again.select(*cols))
+        last = staged(spark, again, f"packed-{level}")
 
 
 def pack_documents(

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -187,6 +188,24 @@ def test_local_search_ends_only_when_no_step_helps(copies):
     assert copies or len(bins.items) < 0.98 * before
 
 
+def test_underfull_bins_meet_in_blocks(spark, monkeypatch):
+    # lengths that do not combine: most bins stay underfull
+    monkeypatch.setattr(packing, "BLOCK", 300)
+    rng = np.random.default_rng(6)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(rng.integers(1300, 2001, 3000))]
+    got = packing.pack_pieces(spark, spark.createDataFrame(rows, packing.PIECES)).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == [(r[0], r[3]) for r in rows]
+    bins, blocks = {}, Counter()
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        blocks[r.sequence_id >> 26] += 1
+    for spans in bins.values():
+        spans.sort()
+        assert [a for a, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))]
+        assert sum(n for _, n in spans) <= 4096
+    assert max(blocks.values()) <= 2 * 300
+
+
 def test_chat_spans_and_rewrites():
     rows = [("user", "<|im_end|>"), ("assistant", "\\<|x\n"), ("assistant", "<|im_end|>")]
     out, mask, rewrites, *_ = chat_format.format_rows(rows)
