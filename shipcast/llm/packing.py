@@ -27,8 +27,9 @@ from shipcast.llm.common import ship_package, staged
 
 #: pieces that one packing task is meant to hold
 BLOCK = 16_384
-#: entries of one generation of a worker's word cache (two generations live)
-CACHE = 200_000
+#: bytes of one generation of a task's word cache (two generations live), what
+#: an entry takes beside its letters and ids, and the longest chunk kept
+CACHE_BYTES, ENTRY_BYTES, LONGEST_KEPT = 16 << 20, 200, 256
 
 
 def _byte_letters() -> list[str]:
@@ -44,7 +45,8 @@ class WordCache(dict):
 
     What the tokenizer makes of a text depends on its blank-separated chunks
     alone.  A miss is encoded once; the entries of the generation before stay
-    at hand, so the cache is bounded and keeps frequent words.
+    at hand, so frequent words are kept.  The bytes are counted as entries are
+    added, long chunks are not kept, and ``release`` empties it.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,6 +56,11 @@ class WordCache(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
         self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def release(self) -> None:
+        self.clear()
+        self.old, self.size = {}, 0
 
     def __missing__(self, chunk: str) -> bytes:
         found = self.old.get(chunk)
@@ -69,7 +76,12 @@ class WordCache(dict):
                     found = self[word] + self[last]
             else:
                 found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        self[chunk] = found
+        if len(chunk) <= LONGEST_KEPT:
+            if self.size >= CACHE_BYTES:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self.size += len(chunk) + len(found) + ENTRY_BYTES
+            self[chunk] = found
         return found
 
     def _word(self, word: str) -> bytes:
@@ -82,18 +94,14 @@ class WordCache(dict):
             text = text.lower()  # of letters below U+0100 lower case never depends on context
         except UnicodeEncodeError:
             pass
-        got = b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-        if len(self) > CACHE:
-            self.old = dict(self)
-            self.clear()
-        return got
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _CACHES: dict[str, WordCache] = {}
 
 
 def _cache(path: str) -> WordCache:
-    """One per worker process, kept between tasks."""
+    """One per worker process: the tokenizer stays, the words go with the task."""
     if path not in _CACHES:
         _CACHES[path] = WordCache(path)
     return _CACHES[path]
@@ -121,6 +129,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
             frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
+        cache.release()
 
     return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
 
