@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipcast.llm import chat_format, decontaminate, language_id, line_dedup, near_duplicates, neighbour_index, packing, pii, suffix_repeats, toxicity
-from shipcast.llm.common import id_remainder
+from shipcast.llm import (
+    chat_format,
+    decontaminate,
+    language_id,
+    line_dedup,
+    merkle,
+    near_duplicates,
+    neighbour_index,
+    packing,
+    pii,
+    prefix_trie,
+    suffix_repeats,
+    topk_search,
+    toxicity,
+)
+from shipcast.llm.common import id_remainder, staged
 from shipcast.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +218,126 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_learned_partitions")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_index.nearest(spark, read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of ASCII text, bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))"
+    chars = f"list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {chars}), lambda c, b: {step}), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS p, k, w
+  FROM (SELECT conv_id, turn, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text)[1:32] AS k,
+               len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))
+), cs AS (SELECT c, {_crc32_sql("CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM t)
+), r AS (
+  SELECT cs.c, t.p, t.k, t.w FROM cs JOIN t ON t.c = cs.c - cs.c % 20 AND t.p <= cs.h
+  UNION ALL SELECT cs.c, t.p, t.k, t.w FROM cs JOIN t ON t.c = cs.c AND t.p > cs.h
+), m AS (
+  SELECT c, 0 AS d, '' AS x, 0 AS w FROM cs
+  UNION ALL
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY p),
+         sha256(string_agg(k, '') OVER (PARTITION BY c ORDER BY p ROWS UNBOUNDED PRECEDING)), w FROM r
+), lens AS (SELECT c, max(d) AS l FROM m GROUP BY c
+), n AS (
+  SELECT d, x, min(m.c) AS c, count(*) AS n, any_value(w) AS w,
+         sha256(coalesce(string_agg(CASE WHEN d = l THEN CAST(m.c AS VARCHAR) END, ',' ORDER BY m.c), '')) AS e
+  FROM m JOIN lens ON lens.c = m.c GROUP BY d, x
+), up AS (SELECT DISTINCT a.d, a.x, b.x AS px FROM m a JOIN m b ON b.c = a.c AND b.d = a.d - 1
+), kids AS (SELECT d - 1 AS d, px AS x, count(*) AS k FROM up GROUP BY ALL
+), below AS (SELECT DISTINCT a.d, a.x, b.d AS d2, b.x AS x2 FROM m a JOIN m b ON b.c = a.c AND b.d >= a.d
+), sums AS (
+  SELECT b.d, b.x, count(*) FILTER (kids.k IS NULL) AS n_leaves, sum((n.n - 1) * n.w) AS saved
+  FROM below b JOIN n ON n.d = b.d2 AND n.x = b.x2 LEFT JOIN kids ON kids.d = b.d2 AND kids.x = b.x2 GROUP BY b.d, b.x
+)
+SELECT n.c AS conv_id, CAST(n.d AS BIGINT) AS depth, p.c AS parent_conv_id, n.n AS n_convs, coalesce(kids.k, 0) AS n_children,
+       sums.n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, n.e AS ends_sha256
+FROM n JOIN sums ON sums.d = n.d AND sums.x = n.x LEFT JOIN kids ON kids.d = n.d AND kids.x = n.x
+LEFT JOIN up ON up.d = n.d AND up.x = n.x LEFT JOIN n p ON p.d = n.d - 1 AND p.x = up.px
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = staged(spark, prefix_trie.turn_keys(read_table(spark, sf_dir, "conversations")), "turn-keys")
+    rebuilt, convs = prefix_trie.with_shared_heads(spark, turns, every=20, most=4)
+    return prefix_trie.prefix_trie(spark, rebuilt, convs)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.rid AS q, q.vec_id AS query_id, c.vec_id, c.rid,
+         coalesce(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])), 0) AS score
+  FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS LAST, rid) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5
+"""
+
+
+@query("op12_top_k", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    rows = vectors.select(F.col("vec_id").alias("id"), topk_search.int_entries(F.col("embedding"), 256.0).alias("entries"))
+    return topk_search.top_k(spark, rows, 5, F.col("id") % 50 == 0)
+
+
+_LEAF_SQL = "sha256(" + " || ".join(
+    f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    for c in ("doc_id", "source", "lang", "n_chars", "{text}")
+) + ")"
+
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT coalesce('=' || lang, '') AS g, doc_id, {_LEAF_SQL.format(text="text")} AS leaf,
+         CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0
+              THEN {_LEAF_SQL.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS bad
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM d
+), low(g, l, p, h, n) AS (
+  SELECT g, 0, p, leaf, n FROM leaves
+  UNION ALL SELECT g, l + 1, p // 8, sha256(string_agg(h, '' ORDER BY p)), (any_value(n) + 7) // 8 FROM low WHERE n > 1 GROUP BY g, l, p // 8
+), sub AS (
+  SELECT g, l, h, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n FROM low WHERE n = 1
+), high(l, p, h, n) AS (
+  SELECT 0, p, h, n FROM sub
+  UNION ALL SELECT l + 1, p // 8, sha256(string_agg(h, '' ORDER BY p)), (any_value(n) + 7) // 8 FROM high WHERE n > 1 GROUP BY l, p // 8
+), steps AS (
+  SELECT a.g, a.p AS leaf, low.l, low.p, low.h, (low.p = a.p // CAST(pow(8, low.l) AS BIGINT)) AS own
+  FROM leaves a JOIN low ON low.g = a.g AND low.n > 1 AND low.p // 8 = a.p // CAST(pow(8, low.l + 1) AS BIGINT)
+  UNION ALL
+  SELECT a.g, a.p, 1000 + high.l, high.p, high.h, (high.p = sub.p // CAST(pow(8, high.l) AS BIGINT))
+  FROM leaves a JOIN sub ON sub.g = a.g JOIN high ON high.n > 1 AND high.p // 8 = sub.p // CAST(pow(8, high.l + 1) AS BIGINT)
+), proof AS (SELECT g, leaf, sha256(string_agg(h, '' ORDER BY l, p)) AS h FROM steps WHERE NOT own GROUP BY g, leaf
+), runs AS (
+  SELECT g, leaf, row_number() OVER (PARTITION BY g, leaf ORDER BY l) AS k, coalesce(string_agg(h, '' ORDER BY p) FILTER (before), '') AS lo,
+         coalesce(string_agg(h, '' ORDER BY p) FILTER (NOT own AND NOT before), '') AS hi
+  FROM (SELECT *, p < max(CASE WHEN own THEN p END) OVER (PARTITION BY g, leaf, l) AS before FROM steps) GROUP BY g, leaf, l
+), fold(g, leaf, k, h) AS (
+  SELECT g, p, CAST(0 AS BIGINT), coalesce(bad, leaf) FROM leaves
+  UNION ALL SELECT f.g, f.leaf, r.k, sha256(r.lo || f.h || r.hi) FROM fold f JOIN runs r ON r.g = f.g AND r.leaf = f.leaf AND r.k = f.k + 1
+), folded AS (SELECT g, leaf, arg_max(h, k) AS h FROM fold GROUP BY g, leaf)
+SELECT a.doc_id, a.leaf, sub.h AS subroot, root.h AS root, coalesce(proof.h, sha256('')) AS proof_sha256,
+       folded.h AS folded_root, folded.h = root.h AS verified
+FROM leaves a JOIN sub ON sub.g = a.g JOIN (SELECT h FROM high WHERE n = 1) root ON true
+JOIN folded ON folded.g = a.g AND folded.leaf = a.p LEFT JOIN proof ON proof.g = a.g AND proof.leaf = a.p
+"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    fields = [F.translate("text", upper, upper.lower()) if f == "text" else F.col(f) for f in merkle.FIELDS]
+    tampered = F.when(id_remainder("doc_id", 3) == 0, merkle.leaf_hash(fields))
+    out = merkle.merkle_manifest(spark, read_table(spark, sf_dir, "documents"), carry={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
