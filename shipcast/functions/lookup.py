@@ -24,6 +24,7 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], bound: int = LO
     if len(rows) <= bound:
         small = df.sparkSession.createDataFrame(rows, table.schema)
         return df.join(F.broadcast(small), list(keys), "left")
-    salted = df.withColumn("__salt", (F.rand(7) * SALT).cast("int"))
+    # by content: a task that is run again must deal its rows as before
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALT)).cast("int"))
     copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     return salted.join(copies, [*keys, "__salt"], "left").drop("__salt")

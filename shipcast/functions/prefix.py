@@ -7,16 +7,26 @@ bounds come from ``approx_percentile`` over the distinct values, so buckets hold
 about equally many rows.  Bucket totals (a few rows per group) give each bucket
 its offset; a window partitioned by ``(group, bucket)`` adds the running sum
 inside the bucket.  The result is exact; the approximation only balances work.
+
+Single quantiles need less: approximate bounds around each, an exact count of
+what lies between the brackets, and a sort of what lies inside them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAST_BUCKETS = 64
+#: relative rank error of the bounds around a quantile is one over this, so a
+#: bracket holds about 4 / ACCURACY of the rows
+ACCURACY = 10_000
+#: groups up to which their brackets are sent to the rows
+BRACKET_GROUPS = 10_000
 _ONE_GROUP = "__grp"
 
 
@@ -98,6 +108,75 @@ def value_counts(df: DataFrame, value_col: str, group_cols: Sequence[str] = ())
     )
 
 
+def _bracketed(df: DataFrame, value_col: str, probs: Sequence[float], groups: list[str], names: list[str]) -> DataFrame | None:
+    """Exact selection by bracketing; None with too many groups.
+
+    Bounds a little below and above every quantile come from one approximate
+    pass.  A second pass counts rows into cells: a value inside a bracket is a
+    cell of its own, all rows between two brackets share one.  The cells of a
+    group, in order, give the exact ranks.  Should a rank lie outside its
+    bracket, the brackets are widened and the rows counted again."""
+    spark = df.sparkSession
+    one = not groups
+    rows = df.where(F.col(value_col).isNotNull()).select(*groups, F.col(value_col).cast("double").alias("__v"))
+    if one:
+        groups, rows = [_ONE_GROUP], rows.withColumn(_ONE_GROUP, F.lit(0))
+    margin = 2.0 / ACCURACY
+    while True:
+        edges = sorted({min(max(p + side * margin, 0.0), 1.0) for p in probs for side in (-1, 1)})
+        bounds = rows.groupBy(*groups).agg(
+            F.approx_percentile("__v", F.array(*[F.lit(e) for e in edges]), ACCURACY).alias("__b"), F.min("__v").alias("__min"), F.max("__v").alias("__max")
+        )
+        held = bounds.limit(BRACKET_GROUPS + 1).collect()
+        if len(held) > BRACKET_GROUPS:
+            return None
+        table = []
+        for r in held:
+            at = dict(zip(edges, r["__b"]))
+            ends = [
+                (r["__min"] if p <= margin else at[max(p - margin, 0.0)], r["__max"] if p >= 1 - margin else at[min(p + margin, 1.0)]) for p in sorted(probs)
+            ]
+            table.append((*[r[g] for g in groups], [lo for lo, _ in ends], [hi for _, hi in ends]))
+        types = {f.name: f.dataType for f in rows.schema}
+        schema = T.StructType(
+            [*[T.StructField(f"__g_{g}", types[g]) for g in groups], *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("__lo", "__hi")]]
+        )
+        brackets = F.broadcast(spark.createDataFrame(table, schema))
+        same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in groups])
+        v = F.col("__v")
+        inside = F.exists(F.arrays_zip("__lo", "__hi"), lambda b: (b["__lo"] <= v) & (v <= b["__hi"]))
+        cells = (
+            rows.join(brackets, same)
+            .select(*groups, "__v", F.when(inside, v).otherwise(F.lit(None)).alias("__in"), F.size(F.filter("__hi", lambda b: b < v)).alias("__gap"))
+            .groupBy(*groups, "__gap", "__in")
+            .agg(F.count(F.lit(1)).alias("n"), F.max("__v").alias("__at"))
+        )
+        order = Window.partitionBy(*groups).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = cells.withColumn("cum_n", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn(
+            "tot_n", F.sum("n").over(Window.partitionBy(*groups))
+        )
+        aggs = [F.max("tot_n").alias("n")]
+        for i, p in enumerate(probs):
+            h = (F.col("tot_n") - 1) * F.lit(float(p))
+            lo = F.floor(h)
+            for side, rank in (("lo", lo), ("hi", F.least(lo + 1, F.col("tot_n") - 1))):
+                cell = F.max(F.when(F.col("cum_n") <= rank, F.struct("cum_n", "__in")))
+                aggs.append(cell["__in"].alias(f"{side}{i}"))
+            aggs.append(F.max(h - lo).alias(f"fr{i}"))
+        found = ranked.groupBy(*groups).agg(*aggs).collect()
+        if all(r[f"{side}{i}"] is not None for r in found for i in range(len(probs)) for side in ("lo", "hi")):
+            break
+        margin *= 8
+    out = []
+    for r in found:
+        values = [r[f"lo{i}"] + r[f"fr{i}"] * (r[f"hi{i}"] - r[f"lo{i}"]) for i in range(len(probs))]
+        out.append((*([] if one else [r[g] for g in groups]), r["n"], *values))
+    if one and not out:
+        out.append((0, *[None] * len(probs)))
+    kinds = [] if one else [T.StructField(g, types[g]) for g in groups]
+    return spark.createDataFrame(out, T.StructType([*kinds, T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in names]]))
+
+
 def exact_quantiles(
     df: DataFrame,
     value_col: str,
@@ -108,11 +187,14 @@ def exact_quantiles(
     bounded: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas ``quantile``, DuckDB
-    ``quantile_cont``) per group, computed from distinct-value counts.
+    ``quantile_cont``) per group.
 
     Returns one row per group with one column per probability (``names`` or
-    ``q<idx>``) plus ``n`` (non-null count).  Memory per task is bounded by the
-    bucket size, not by the number of distinct values in a group.
+    ``q<idx>``) plus ``n`` (non-null count).  Rows are not shuffled: they are
+    counted into the few cells of ``_bracketed`` before the shuffle.  More than
+    ``BRACKET_GROUPS`` groups, or given ``counts`` (one row per group and
+    value), go through prefix sums of the distinct values instead; there a
+    task holds a bucket, not the values of a group.
 
     ``bounded=True`` is for columns whose distinct values are few by nature
     (day counts, flags, coordinates of a fixed set of places): Spark's exact
@@ -125,6 +207,10 @@ def exact_quantiles(
         aggs = [F.count(v).alias("n")] + [F.percentile(v, F.lit(float(p))).alias(n) for p, n in zip(probs, names)]
         base = df.where(F.col(value_col).isNotNull())
         return base.groupBy(*group_cols).agg(*aggs) if group_cols else base.agg(*aggs)
+    if counts is None:
+        found = _bracketed(df, value_col, probs, list(group_cols), names)
+        if found is not None:
+            return found
     vc = counts if counts is not None else value_counts(df, value_col, group_cols)
     ps = prefix_sums(vc, value_col, ["n"], group_cols)
     aggs = [F.max("tot_n").alias("n")]

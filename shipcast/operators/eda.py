@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from shipcast.functions.rounding import dround
 
-from shipcast.functions.prefix import exact_quantiles, value_counts
+from shipcast.functions.comoments import co_moments
+from shipcast.functions.prefix import exact_quantiles
 
 # Categorical dimensions of the rate tables, in report order
 # (the reference's Order Country maps to order_city on the test tables).
@@ -86,7 +87,6 @@ def _long_numeric(orders: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def describe_numeric(orders: DataFrame, fields: Sequence[str] = NUMERIC_FIELDS) -> DataFrame:
     long = _long_numeric(orders, fields)
-    vc = value_counts(long, "value", ["field"])
     basic = long.groupBy("field").agg(
         F.count(F.lit(1)).alias("count"),
         F.avg("value").alias("mean"),
@@ -94,7 +94,7 @@ def describe_numeric(orders: DataFrame, fields: Sequence[str] = NUMERIC_FIELDS)
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["field"], names=["q1", "median", "q3"], counts=vc)
+    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["field"], names=["q1", "median", "q3"])
     return basic.join(qs.drop("n"), "field").select(
         "field",
         "count",
@@ -108,9 +108,8 @@ def histogram(orders: DataFrame, fields: Sequence[str] = NUMERIC_FIELDS, bins: i
     Values are first rounded to 9 dp so a bin edge never depends on the last
     bit of a floating-point aggregate."""
     long = _long_numeric(orders, fields).withColumn("value", dround("value", 9))
-    vc = value_counts(long, "value", ["field"])
-    qs = exact_quantiles(long, "value", [0.001, 0.999], ["field"], names=["qlo", "qhi"], counts=vc)
-    mm = vc.groupBy("field").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
+    qs = exact_quantiles(long, "value", [0.001, 0.999], ["field"], names=["qlo", "qhi"])
+    mm = long.groupBy("field").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
     rng = qs.join(mm, "field").select(
         "field",
         F.when(F.col("qlo") == F.col("qhi"), F.col("vmin")).otherwise(F.col("qlo")).alias("lo0"),
@@ -127,10 +126,9 @@ def histogram(orders: DataFrame, fields: Sequence[str] = NUMERIC_FIELDS, bins: i
     clipped = F.least(F.greatest(F.col("value"), F.col("lo")), F.col("hi"))
     b = F.least(F.floor((clipped - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     counted = (
-        vc.join(rng, "field")
-        .select("field", b.cast("int").alias("bin"), "n")
-        .groupBy("field", "bin")
-        .agg(F.sum("n").alias("count"))
+        long.join(F.broadcast(rng), "field")  # one row per field
+        .groupBy("field", b.cast("int").alias("bin"))
+        .agg(F.count(F.lit(1)).alias("count"))
     )
     grid = rng.select("field", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
@@ -145,15 +143,14 @@ def histogram(orders: DataFrame, fields: Sequence[str] = NUMERIC_FIELDS, bins: i
 
 def boxplot(orders: DataFrame, fields: Sequence[str] = NUMERIC_FIELDS) -> DataFrame:
     long = _long_numeric(orders, fields)
-    vc = value_counts(long, "value", ["field"])
-    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["field"], names=["q1", "median", "q3"], counts=vc)
+    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["field"], names=["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
     fences = qs.select("field", "q1", "median", "q3", (F.col("q1") - 1.5 * iqr).alias("flo"), (F.col("q3") + 1.5 * iqr).alias("fhi"))
     inside = (F.col("value") >= F.col("flo")) & (F.col("value") <= F.col("fhi"))
-    agg = vc.join(fences, "field").groupBy("field", "q1", "median", "q3", "flo", "fhi").agg(
+    agg = long.join(F.broadcast(fences), "field").groupBy("field", "q1", "median", "q3", "flo", "fhi").agg(  # one row per field
         F.min(F.when(inside, F.col("value"))).alias("imin"),
         F.max(F.when(inside, F.col("value"))).alias("imax"),
-        F.sum(F.when(~inside, F.col("n")).otherwise(0)).alias("n_outliers"),
+        F.count_if(~inside).alias("n_outliers"),
     )
     return agg.select(
         "field",
@@ -237,33 +234,18 @@ def transit_distribution(orders: DataFrame) -> DataFrame:
     )
 
 
-CORR_CHUNK = 15  # pairs per aggregate: keeps each buffer small enough for code generation
-
-
 def correlation_matrix(orders: DataFrame, fields: Sequence[str] = CORRELATION_FIELDS) -> DataFrame:
-    """All Pearson pairs (pairwise complete), long form, both triangles.
-
-    The p(p+1)/2 coefficients are computed in chunks of ``CORR_CHUNK`` pairs:
-    one global aggregate per chunk (partial aggregation, code-generated) whose
-    single row is stacked to long form; the chunks are unioned (no join)."""
+    """All Pearson pairs (pairwise complete), long form, both triangles, from
+    one pass of co-moments; null where a column does not vary."""
     fields = [f for f in fields if f in orders.columns]
-    proj = orders.select(*[F.col(f).cast("double").alias(f) for f in fields])
     pairs = [(a, b) for i, a in enumerate(fields) for b in fields[i:]]
-    parts = []
-    for start in range(0, len(pairs), CORR_CHUNK):
-        chunk = pairs[start:start + CORR_CHUNK]
-        wide = proj.agg(*[F.corr(a, b).alias(f"c{j}") for j, (a, b) in enumerate(chunk)])
-        entries = []
-        for j, (a, b) in enumerate(chunk):
-            entries.append(f"'{a}', '{b}', c{j}")
-            if a != b:
-                entries.append(f"'{b}', '{a}', c{j}")
-        parts.append(wide.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) AS (var_a, var_b, corr)"))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    c = F.col("corr")
-    return both.select("var_a", "var_b", dround(F.when(~F.isnan(c), c), 4).alias("correlation"))
+    found = co_moments(orders, fields).withColumn("c", F.try_divide(F.col("sp"), F.sqrt("ss_a") * F.sqrt("ss_b")))
+    grid = orders.sparkSession.createDataFrame(pairs, "var_a string, var_b string")
+    c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c")))
+    both = grid.join(found, ["var_a", "var_b"], "left").select(
+        F.inline(F.array_distinct(F.array(F.struct("var_a", "var_b", "c"), F.struct(F.col("var_b").alias("var_a"), F.col("var_a").alias("var_b"), "c"))))
+    )
+    return both.select("var_a", "var_b", dround(F.when(~F.isnan("c"), c), 4).alias("correlation"))
 
 
 def correlation_top(corr_long: DataFrame, target: str = TARGET, k: int | None = None) -> DataFrame:

@@ -149,8 +149,7 @@ def profile_outliers(df: DataFrame, top: int | None = None) -> DataFrame:
     """All columns with values outside q1 - 1.5 IQR .. q3 + 1.5 IQR per measure column."""
     cols = outlier_columns(df)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-    vc = value_counts(long, "value", ["column"])
-    qs = exact_quantiles(long, "value", [0.25, 0.75], ["column"], names=["q1", "q3"], counts=vc).drop("n")
+    qs = exact_quantiles(long, "value", [0.25, 0.75], ["column"], names=["q1", "q3"]).drop("n")
     n_rows = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     iqr = F.col("q3") - F.col("q1")
     out = (
