@@ -9,7 +9,8 @@ split, screen and evaluation semantics are.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
+    GBTClassificationModel,
     LogisticRegression,
     RandomForestClassifier,
 )
@@ -32,12 +33,12 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GeneralizedLinearRegression
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shipcast.functions.prefix import exact_quantiles
+from shipcast.functions.prefix import exact_quantiles, prefix_sums
 from shipcast.functions.rounding import dround
 from shipcast.operators import metrics as M
 from shipcast.operators.cleaning import bucket_apply, bucket_fit, filter_cancelled
@@ -48,10 +49,28 @@ TARGET = "late_delivery_risk"
 SEED = 42
 RARE_MIN = 20
 CV_FOLDS = 4
+FOLD_HASHES = 10_007
 RARE = "__rare__"
 #: A fit reads at most about so many labelled rows, whole orders chosen by hash
 #: (a bound of the fit alone; statistics, scoring and evaluation cover all rows).
 FIT_ROWS = 20_000
+#: Rows of such a fit that one task holds.
+ROWS_A_TASK = 5_000
+#: Boosting: rounds without a gain that end it, the least gain, and the rounds
+#: after which lineage is cut.
+PATIENCE, LEAST_GAIN, CHECKPOINT_ROUNDS = 10, 1e-7, 10
+#: Rounds, shrinkage, depth and least rows of a leaf.
+BOOSTING = {"step": 0.1, "depth": 5, "least": 40}
+CLASSIFIER_ROUNDS, REGRESSOR_ROUNDS = 250, 200
+
+
+@dataclass(frozen=True)
+class Fills:
+    """What stands in for a null: per numeric column its median, per
+    categorical column its most frequent level."""
+
+    medians: dict[str, float]
+    modes: dict[str, str]
 
 
 @dataclass
@@ -61,16 +80,16 @@ class Prepared:
     numeric: list[str]
     categorical: list[str]
     pooled: bool = False     # rare levels already pooled on the training rows
+    fills: Fills | None = None  # of the training rows
 
 
 def model_population(line_features: DataFrame) -> Prepared:
     """Non-cancelled lines, high-cardinality columns bucketed on train rows,
-    group split by order and grouped CV folds on the same order hash."""
-    pop = filter_cancelled(line_features)
-    h = (F.col("order_id") * 7919 + 42) % 10007
-    pop = pop.withColumns({"is_test": split_flag(F.col("order_id")), "fold": ((h / 100).cast("long") % CV_FOLDS).cast("int")})
+    group split by order and stratified CV folds of whole training orders."""
+    pop = filter_cancelled(line_features).withColumn("is_test", split_flag(F.col("order_id")))
     fitted = bucket_fit(pop.where(~F.col("is_test")))
     pop = bucket_apply(pop, fitted)
+    pop = pop.join(order_folds(pop.where(~F.col("is_test"))).select("order_id", "fold"), "order_id", "left")
     feats = select_features(pop.drop("is_test", "fold"))
     assert_no_leakage(feats)
     types = {f.name: f.dataType for f in pop.schema.fields}
@@ -79,6 +98,28 @@ def model_population(line_features: DataFrame) -> Prepared:
     return Prepared(pop, feats, numeric, categorical)
 
 
+def order_folds(train: DataFrame, folds: int = CV_FOLDS) -> DataFrame:
+    """Stratified grouped folds: ``order_id, n_lines, n_late, fold``.
+
+    Orders with equal counts of lines and late lines form a stratum, whose
+    orders are dealt in turn to the folds, so every fold gets as many of a
+    stratum as any other, up to one.  The turn is the place in a hashed order:
+    counted per (stratum, hash) and summed to offsets, so that a window only
+    ever holds the orders of one hash value and a stratum of a third of all
+    orders is spread over ``FOLD_HASHES`` of them."""
+    stratum = ["n_lines", "n_late"]
+    orders = train.groupBy("order_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col(TARGET).cast("long")).alias("n_late"))
+    orders = orders.withColumn("h", (F.col("order_id") * 7919 + 42) % FOLD_HASHES)
+    before = Window.partitionBy(*stratum).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = orders.groupBy(*stratum, "h").agg(F.count(F.lit(1)).alias("n")).select(
+        *stratum, "h", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
+    )
+    place = F.row_number().over(Window.partitionBy(*stratum, "h").orderBy("order_id")) - 1
+    return orders.withColumn("place", place).join(offsets, [*stratum, "h"]).select(
+        "order_id", *stratum, ((F.col("before") + F.col("place")) % folds).cast("int").alias("fold")
+    )
+
+
 def pooled_population(prep: Prepared, materialize=None) -> Prepared:
     """Pool rare levels once (counts from the training rows) and optionally
     materialise the model table, so every fit scans it instead of replaying
@@ -90,7 +131,8 @@ def pooled_population(prep: Prepared, materialize=None) -> Prepared:
     )
     if materialize is not None:
         data = materialize(data)
-    return Prepared(data, prep.features, prep.numeric, prep.categorical, pooled=True)
+    fills = fit_fills(data.where(~F.col("is_test")), prep.numeric, prep.categorical)
+    return Prepared(data, prep.features, prep.numeric, prep.categorical, pooled=True, fills=fills)
 
 
 def _pool(prep: Prepared, df: DataFrame, train: DataFrame, cat) -> DataFrame:
@@ -125,18 +167,57 @@ def train_medians(train: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
     return {r["feature"]: float(r["median"]) for r in rows if r["median"] is not None}
 
 
-def preprocess_stages(numeric: Sequence[str], categorical: Sequence[str], scale: bool, medians: dict[str, float]) -> list:
-    """Median fill (a persisted SQL stage), one-hot levels, optional scaling."""
+def fit_fills(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Fills:
+    """Medians and most frequent levels (ties to the smallest) of the training rows."""
+    modes = {r["column"]: r["reference"] for r in modal_levels(train, categorical).collect()} if categorical else {}
+    return Fills(train_medians(train, numeric), modes)
+
+
+def model_metadata(data: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """``feature, kind, level, n_rows, rank, median`` in long form.
+
+    A level's rank is the number of levels that are more frequent (counted per
+    frequency, summed over the frequencies) plus its place among those of
+    its own, so no window and no cell holds all levels of a feature."""
+    long = data.select(*[F.col(c).cast("string").alias(c) for c in categorical]).unpivot([], list(categorical), "feature", "level")
+    levels = long.where(F.col("level").isNotNull()).groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n_rows"))
+    above = prefix_sums(
+        levels.groupBy("feature", "n_rows").agg(F.count(F.lit(1)).alias("levels")), "n_rows", ["levels"], ["feature"], descending=True
+    ).select("feature", "n_rows", "cum_levels")
+    place = F.row_number().over(Window.partitionBy("feature", "n_rows").orderBy("level"))
+    ranked = levels.withColumn("place", place).join(above, ["feature", "n_rows"]).select(
+        "feature", F.lit("categorical").alias("kind"), "level", "n_rows",
+        (F.col("cum_levels") + F.col("place")).cast("long").alias("rank"), F.lit(None).cast("double").alias("median"),
+    )
+    long = data.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot([], list(numeric), "feature", "value")
+    medians = exact_quantiles(long, "value", [0.5], ["feature"], names=["median"]).select(
+        "feature", F.lit("numeric").alias("kind"), F.lit(None).cast("string").alias("level"), F.col("n").alias("n_rows"),
+        F.lit(None).cast("long").alias("rank"), "median",
+    )
+    return ranked.unionByName(medians)
+
+
+def _sql_text(level: str) -> str:
+    return "'" + level.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def preprocess_stages(numeric: Sequence[str], categorical: Sequence[str], scale: bool, fills: Fills) -> list:
+    """Nulls take the median or the most frequent level (held by a persisted
+    SQL stage), levels become one slot each, numbers are scaled if asked.  A
+    level that the training rows lack leaves all slots of its column zero."""
     stages: list = []
     num_out = [f"__num_{c}" for c in numeric]
-    if numeric:
-        filled = ", ".join(f"coalesce(cast(`{c}` AS double), {medians.get(c, 0.0)!r}D) AS `{o}`" for c, o in zip(numeric, num_out))
-        stages.append(SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"))
+    cat_out = [f"__cat_{c}" for c in categorical]
+    filled = [f"coalesce(cast(`{c}` AS double), {fills.medians.get(c, 0.0)!r}D) AS `{o}`" for c, o in zip(numeric, num_out)]
+    filled += [f"coalesce(cast(`{c}` AS string), {_sql_text(fills.modes.get(c, RARE))}) AS `{o}`" for c, o in zip(categorical, cat_out)]
+    if filled:
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__"))
     idx = [f"__idx_{c}" for c in categorical]
     ohe = [f"__ohe_{c}" for c in categorical]
     if categorical:
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep", stringOrderType="frequencyDesc"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"))
+        # unseen levels share the index after the last level, and that slot is dropped
+        stages.append(StringIndexer(inputCols=cat_out, outputCols=idx, handleInvalid="keep", stringOrderType="frequencyDesc"))
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))
     if scale and numeric:
         stages.append(VectorAssembler(inputCols=num_out, outputCol="__num_vec", handleInvalid="keep"))
         stages.append(StandardScaler(inputCol="__num_vec", outputCol="__num_scaled", withMean=True, withStd=True))
@@ -154,8 +235,8 @@ def feature_slots(model: PipelineModel, numeric: Sequence[str], categorical: Seq
         labels = next(st for st in model.stages if isinstance(st, StringIndexerModel)).labelsArray
         sizes = next(st for st in model.stages if isinstance(st, OneHotEncoderModel)).categorySizes
         for c, names, size in zip(categorical, labels, sizes):
-            names = [*names, "__unknown__"]
-            slots += [(f"{c}={names[k] if k < len(names) else k}", c) for k in range(size)]
+            # the last index, of unseen levels, has no slot
+            slots += [(f"{c}={name}", c) for name in names[: size - 1]]
     return slots
 
 
@@ -172,16 +253,98 @@ def estimator(name: str, n_train: int):
     if name == "Random Forest":
         return RandomForestClassifier(labelCol=TARGET, featuresCol="features", numTrees=200, maxDepth=16, minInstancesPerNode=20,
                                       featureSubsetStrategy="sqrt", seed=SEED, maxMemoryInMB=1024, cacheNodeIds=True), False
-    if name == "Gradient Boosting":
-        return GBTClassifier(labelCol=TARGET, featuresCol="features", maxIter=250, stepSize=0.1, maxDepth=5, minInstancesPerNode=40,
-                             validationIndicatorCol="__is_val", seed=SEED, maxMemoryInMB=1024, cacheNodeIds=True), False
     raise KeyError(name)
 
 
-def _with_validation(train: DataFrame) -> DataFrame:
-    """10% of training orders held out for early stopping (order-grouped)."""
-    h = (F.col("order_id") * 104729 + 7) % 1009
-    return train.withColumn("__is_val", (h % 10) == 0)
+def held_for_validation() -> F.Column:
+    """A tenth of the orders, by hash."""
+    return (F.col("order_id") * 104729 + 7) % 1009 % 10 == 0
+
+
+def kept_rounds(curve: Sequence[float], patience: int = PATIENCE, gain: float = LEAST_GAIN) -> tuple[int, bool]:
+    """Rounds up to the least validation loss, and whether the curve has ended:
+    ``patience`` rounds in a row without a gain end it."""
+    best, at = float("inf"), 1
+    for k, loss in enumerate(curve, 1):
+        if loss < best - gain:
+            best, at = loss, k
+        elif k - at >= patience:
+            return at, True
+    return at, False
+
+
+@dataclass(frozen=True)
+class Loss:
+    """What boosting needs of a loss: the constant it starts from, the steepest
+    descent at a margin, and the loss of a row.  ``label`` and ``margin`` are
+    columns; the start is one aggregate."""
+
+    start: Callable[[F.Column], F.Column]
+    descent: Callable[[F.Column, F.Column], F.Column]
+    of_row: Callable[[F.Column, F.Column], F.Column]
+    model: type
+
+
+def _sign(label: F.Column) -> F.Column:
+    return 2 * label - 1
+
+
+#: margins of the classifier are half log-odds, those of the regressor predictions
+LOGISTIC = Loss(
+    lambda y: 0.5 * F.log((F.sum(y) + 1) / (F.sum(1 - y) + 1)),
+    lambda y, m: 2 * _sign(y) / (1 + F.exp(2 * _sign(y) * m)),
+    lambda y, m: 2 * F.log1p(F.exp(-2 * _sign(y) * m)),
+    GBTClassificationModel,
+)
+SQUARED = Loss(F.avg, lambda y, m: y - m, lambda y, m: (y - m) * (y - m), GBTRegressionModel)
+
+
+def fit_boosted(rows: DataFrame, label: str, loss: Loss, rounds: int, step: float, depth: int, least: int):
+    """Boosted regression trees, kept to the best prefix of rounds.
+
+    ``rows`` has ``features``, the label and ``__is_val``.  From the best
+    constant on, every round fits a tree to the descent of the loss on the
+    rows that are not held, and adds ``step`` times it to the margins of all;
+    the mean loss of the held rows after each round is the validation curve.
+    The margins are a stored column, so a round costs one tree and one pass,
+    and every ``CHECKPOINT_ROUNDS`` the rows are checkpointed to cut their
+    lineage.  Without held rows all rounds are kept."""
+    y, m = F.col(label), F.col("__margin")
+    first = rows.where(~F.col("__is_val")).agg(loss.start(y)).first()[0]
+    rows = rows.select("features", label, "__is_val", F.lit(float(first or 0.0)).alias("__margin")).persist()
+    tree = DecisionTreeRegressor(featuresCol="features", labelCol="__descent", predictionCol="__step", seed=SEED)
+    constant = tree.copy({tree.maxDepth: 0}).fit(rows.select("features", m.alias("__descent")))
+    tree.setParams(maxDepth=depth, minInstancesPerNode=least)
+    trees, curve = [], []
+    while len(trees) < rounds:
+        trees.append(tree.fit(rows.where(~F.col("__is_val")).select("features", loss.descent(y, m).alias("__descent"))))
+        after = trees[-1].transform(rows).withColumn("__margin", m + step * F.col("__step")).drop("__step")
+        after = (after.checkpoint(eager=False) if len(trees) % CHECKPOINT_ROUNDS == 0 else after).persist()
+        held = after.where("__is_val").agg(F.avg(loss.of_row(y, m))).first()[0]
+        after.count()  # all partitions are stored before those of the round before go
+        rows.unpersist()
+        rows = after
+        if held is not None:
+            curve.append(held)
+            if kept_rounds(curve)[1]:
+                break
+    rows.unpersist()
+    keep = kept_rounds(curve)[0] if curve else len(trees)
+    return _ensemble(loss.model, [constant, *trees[:keep]], [1.0] + [step] * keep)
+
+
+def _ensemble(kind: type, trees: list, weights: list[float]):
+    """The trees as one Spark model, which scores, saves and explains itself as any."""
+    gateway = SparkSession.active().sparkContext._gateway
+    held = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    share = gateway.new_array(gateway.jvm.double, len(trees))
+    for i, (t, w) in enumerate(zip(trees, weights)):
+        held[i], share[i] = t._java_obj, w
+    name = f"org.apache.spark.ml.{'classification' if kind is GBTClassificationModel else 'regression'}.{kind.__name__}"
+    model = gateway.jvm
+    for part in name.split("."):
+        model = getattr(model, part)
+    return kind(model(f"boosted-{uuid.uuid4().hex[:12]}", held, share))
 
 
 def fit_sample(train: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
@@ -192,19 +355,38 @@ def fit_sample(train: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
     return train.where(F.pmod(F.xxhash64(F.lit(SEED), "order_id"), F.lit(1_000_000)) < int(1_000_000 * limit / n))
 
 
-def fit(prep: Prepared, name: str, features: Sequence[str] | None = None, train: DataFrame | None = None) -> PipelineModel:
+def fit(
+    prep: Prepared, name: str, features: Sequence[str] | None = None, train: DataFrame | None = None,
+    fills: Fills | None = None, limit: int = FIT_ROWS,
+) -> PipelineModel:
+    """One of ``MODEL_ORDER`` fitted on the training rows (``train`` and its
+    ``fills``, or those of ``prep``), of which a classifier reads whole orders
+    up to about ``limit`` rows."""
     feats = list(features or prep.features)
     assert_no_leakage(feats)
     num = [c for c in feats if c in prep.numeric]
     cat = [c for c in feats if c in prep.categorical]
-    train = train if train is not None else prep.data.where(~F.col("is_test"))
-    medians = train_medians(train, num)
-    train = fit_sample(_pool(prep, train, train, cat)).withColumn(TARGET, F.col(TARGET).cast("double"))
-    n = train.count()
-    est, scale = estimator(name, n)
+    if train is None:
+        train, fills = prep.data.where(~F.col("is_test")), prep.fills
+    pooled = _pool(prep, train, train, cat)
+    fills = fills or fit_fills(pooled, num, cat)
+    sample = fit_sample(pooled, limit).withColumn(TARGET, F.col(TARGET).cast("double"))
+    # few rows: a partition for every ROWS_A_TASK of them keeps the tasks of a round short in number
+    n = sample.count()
+    sample = sample.repartition(max(1, -(-n // ROWS_A_TASK)), "order_id")
     if name == "Gradient Boosting":
-        train = _with_validation(train)
-    return Pipeline(stages=[*preprocess_stages(num, cat, scale, medians), est]).fit(train)
+        before = Pipeline(stages=preprocess_stages(num, cat, False, fills)).fit(sample)
+        rows = before.transform(sample).select("features", TARGET, held_for_validation().alias("__is_val"))
+        return PipelineModel([*before.stages, fit_boosted(rows, TARGET, LOGISTIC, CLASSIFIER_ROUNDS, **BOOSTING)])
+    est, scale = estimator(name, n)
+    return Pipeline(stages=[*preprocess_stages(num, cat, scale, fills), est]).fit(sample)
+
+
+def n_trees(model) -> int | None:
+    """Trees of an ensemble; the constant that boosting starts from is none."""
+    if not hasattr(model, "getNumTrees"):
+        return None
+    return model.getNumTrees - isinstance(model, (GBTClassificationModel, GBTRegressionModel))
 
 
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -225,13 +407,13 @@ def evaluate(prep: Prepared, model: PipelineModel, features: Sequence[str] | Non
     return M.eval_metrics(scored, "p", TARGET)
 
 
-def fold_auc(prep: Prepared, name: str, k: int, features: Sequence[str] | None = None) -> float:
+def fold_auc(prep: Prepared, name: str, k: int, features: Sequence[str] | None = None, fills: Fills | None = None) -> float:
     train_all = prep.data.where(~F.col("is_test"))
     feats = list(features or prep.features)
     cat = [c for c in feats if c in prep.categorical]
     tr = train_all.where(F.col("fold") != k)
     va = _pool(prep, train_all.where(F.col("fold") == k), tr, cat)
-    m = fit(prep, name, feats, train=tr)
+    m = fit(prep, name, feats, train=tr, fills=fills)
     return float(M.roc_auc(M.score_counts(score(m, va), "p", TARGET)).first()["roc_auc"])
 
 
@@ -243,8 +425,13 @@ def cross_validate(prep: Prepared, names: Sequence[str], features: Sequence[str]
 
     spark = prep.data.sparkSession
     tasks = [(n, k) for n in names for k in range(CV_FOLDS)]
+    feats = list(features or prep.features)
+    num, cat = ([c for c in feats if c in kind] for kind in (prep.numeric, prep.categorical))
+    rows = prep.data.where(~F.col("is_test"))
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        aucs = list(pool.map(lambda t: fold_auc(prep, t[0], t[1], features), tasks))
+        # those of a fold's training rows serve every model
+        fills = list(pool.map(lambda k: fit_fills(rows.where(F.col("fold") != k), num, cat) if prep.pooled else None, range(CV_FOLDS)))
+        aucs = list(pool.map(lambda t: fold_auc(prep, t[0], t[1], features, fills[t[1]]), tasks))
     rows = []
     for n in names:
         arr = np.array([a for (m, _), a in zip(tasks, aucs) if m == n])
@@ -254,7 +441,7 @@ def cross_validate(prep: Prepared, names: Sequence[str], features: Sequence[str]
 
 def select_best(metrics: DataFrame) -> DataFrame:
     """Best ROC-AUC, ties to the simpler model (list order)."""
-    return M.model_select(metrics.withColumnRenamed("roc_auc", "roc_auc"), MODEL_ORDER)
+    return M.model_select(metrics, MODEL_ORDER)
 
 
 # ---------------------------------------------------------------- importance
@@ -282,6 +469,11 @@ def permutation_importance(
 ) -> DataFrame:
     """AUC drop when one raw feature is permuted across held-out rows.
 
+    A feature that no tree tests (or whose coefficients are all zero) cannot
+    change a score: its drops are zero and nothing is scored.  Of the others,
+    a row whose partner holds the same value keeps its score; only rows that
+    really change are scored again, and a feature's AUC is counted over both.
+
     Per repeat, rows fall into hash groups of about ``group_rows`` and each takes
     the features of its successor in a hashed order (a window per group, no
     join).  The paired rows are stored once; a feature number is exploded onto
@@ -293,6 +485,7 @@ def permutation_importance(
     base_auc = M.roc_auc(M.score_counts(score(model, test), "p", TARGET)).first()["roc_auc"]
     key = ["order_id", "product_id", "supplier_id", "line_number", "sales", "quantity", "discount_rate"]
     feats = list(prep.features)
+    tested = tested_features(prep, model)
     seeded = test.select(TARGET, *feats, *[F.col(c).alias(f"__k_{c}") for c in key]).withColumn(
         "repeat", F.explode(F.array(*[F.lit(r) for r in range(repeats)]))
     )
@@ -304,23 +497,46 @@ def permutation_importance(
     paired = seeded.withColumn("__g", group).select(
         "repeat", TARGET, *feats, F.coalesce(F.lead(me).over(w), F.first(me).over(whole)).alias("__other")
     )
+    paired = score(model, paired, keep=["repeat", *feats, "__other"]).withColumnRenamed("p", "__p")
     if materialize is not None:
         paired = materialize(paired)
-    variants = paired.withColumn("__f", F.explode(F.sequence(F.lit(0), F.lit(len(feats) - 1))))
+    changed = [F.when(~F.col("__other")[f].eqNullSafe(F.col(f)), F.lit(i)) for i, f in enumerate(feats) if f in tested]
+    variants = paired.withColumn("__f", F.explode(F.array_compact(F.array(*changed)))) if changed else paired.where("false").withColumn("__f", F.lit(0))
+    name = F.element_at(F.array(*[F.lit(f) for f in feats]), F.col("__f") + 1).alias("feature")
     swapped = variants.select(
-        F.element_at(F.array(*[F.lit(f) for f in feats]), F.col("__f") + 1).alias("feature"),
+        name,
         "repeat",
         TARGET,
+        "__p",
         *[F.when(F.col("__f") == i, F.col("__other")[f]).otherwise(F.col(f)).alias(f) for i, f in enumerate(feats)],
     )
-    scored = score(model, swapped, keep=["feature", "repeat"])
-    aucs = M.roc_auc(M.score_counts(scored, "p", TARGET, ["feature", "repeat"]), ["feature", "repeat"])
+    # a feature's scores are all scores, less those of the changed rows, plus their new ones
+    by = ["feature", "repeat", "score"]
+    scored = score(model, swapped, keep=["feature", "repeat", "__p"]).select(
+        "feature", "repeat", F.inline(F.array(*[
+            F.struct(p.alias("score"), F.lit(n).alias("rows"), (F.col(TARGET).cast("long") * n).alias("late")) for p, n in ((F.col("__p"), -1), (F.col("p"), 1))
+        ]))
+    )
+    kept = paired.groupBy("repeat", F.col("__p").alias("score")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(TARGET).cast("long")).alias("late"))
+    kept = kept.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in feats])))
+    counts = kept.select(*by, "rows", "late").unionByName(scored.select(*by, "rows", "late")).groupBy(*by).agg(
+        F.sum("late").alias("pos"), (F.sum("rows") - F.sum("late")).alias("neg")
+    ).where("pos + neg > 0")
+    aucs = M.roc_auc(counts, ["feature", "repeat"])
     drops = aucs.withColumn("drop", F.lit(base_auc) - F.col("roc_auc"))
     return drops.groupBy("feature").agg(
         dround(F.avg("drop"), 6).alias("importance"), dround(F.stddev_pop("drop"), 6).alias("importance_std")
     )
 
 
+def tested_features(prep: Prepared, model: PipelineModel) -> set[str]:
+    """Features that can change a score of the model."""
+    est = model.stages[-1]
+    weights = est.featureImportances if hasattr(est, "featureImportances") else est.coefficients
+    slots = feature_slots(model, prep.numeric, prep.categorical)
+    return {f for (_, f), x in zip(slots, weights.toArray().tolist()) if x}
+
+
 def driver_interpretation(perm: DataFrame, family: DataFrame, k: int | None = None) -> DataFrame:
     """All features ranked (one row each); ``k`` keeps the first."""
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "feature")
@@ -335,17 +551,17 @@ def driver_interpretation(perm: DataFrame, family: DataFrame, k: int | None = No
 
 # ---------------------------------------------------------------- regression
 def train_profit(prep: Prepared) -> DataFrame:
-    train = prep.data.where(~F.col("is_test")).withColumn("profit", F.coalesce("profit", F.lit(0.0)))
-    test = prep.data.where(F.col("is_test")).withColumn("profit", F.coalesce("profit", F.lit(0.0)))
+    """Profit by boosting on all training rows; held-out errors and ``n_trees``."""
+    profit = F.coalesce("profit", F.lit(0.0))
+    train, test = (prep.data.where(side).withColumn("profit", profit) for side in (~F.col("is_test"), F.col("is_test")))
     cat = prep.categorical
-    train = _pool(prep, train, train, cat)
-    test = _pool(prep, test, prep.data.where(~F.col("is_test")), cat)
-    reg = GBTRegressor(labelCol="profit", featuresCol="features", maxIter=200, stepSize=0.1, maxDepth=5, minInstancesPerNode=40,
-                       validationIndicatorCol="__is_val", seed=SEED)
-    stages = preprocess_stages(prep.numeric, cat, False, train_medians(train, prep.numeric))
-    model = Pipeline(stages=[*stages, reg]).fit(_with_validation(fit_sample(train)))
-    pred = model.transform(test).select("profit", F.col("prediction").alias("pred"))
-    return M.regression_metrics(pred, "profit", "pred")
+    pooled = _pool(prep, train, train, cat)
+    fills = prep.fills or fit_fills(pooled, prep.numeric, cat)
+    before = Pipeline(stages=preprocess_stages(prep.numeric, cat, False, fills)).fit(pooled)
+    rows = before.transform(pooled).select("features", "profit", held_for_validation().alias("__is_val"))
+    model = fit_boosted(rows, "profit", SQUARED, REGRESSOR_ROUNDS, **BOOSTING)
+    pred = model.transform(before.transform(_pool(prep, test, train, cat))).select("profit", F.col("prediction").alias("pred"))
+    return M.regression_metrics(pred, "profit", "pred").withColumn("n_trees", F.lit(n_trees(model)))
 
 
 # ---------------------------------------------------------------- inference

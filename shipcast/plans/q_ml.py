@@ -10,17 +10,26 @@ from pyspark.ml import Pipeline
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shipcast.functions.prefix import exact_quantiles
 from shipcast.functions.rounding import dround
 from shipcast.operators import ml as ML
 from shipcast.operators import stats as S
-from shipcast.operators.decision import not_cancelled
+from shipcast.operators.cleaning import HIGH_CARDINALITY_TOP_N, filter_cancelled
+from shipcast.operators.decision import not_cancelled, split_flag
 from shipcast.plans.registry import query
-from shipcast.plans.sql_base import with_base
-from shipcast.sources.adapter import line_features, orders_frame
+from shipcast.plans.sql_base import features_sql, with_base
+from shipcast.sources.adapter import line_features, lines, orders_frame
 
 #: what tells one order line from another
 LINE_KEY = ["order_id", "product_id", "supplier_id", "line_number", "sales", "quantity", "discount_rate"]
+# Features of the test tables' model population.
+META_CATEGORICAL = [
+    "shipping_mode", "payment_type", "market", "order_region", "order_city", "customer_segment", "department_name", "category_name",
+]
+META_NUMERIC = [
+    "quantity", "sales", "discount_rate", "discount", "order_item_total", "product_price", "latitude", "longitude", "order_year",
+    "order_month", "order_dayofweek", "order_quarter", "order_is_weekend", "month_sin", "month_cos", "dow_sin", "dow_cos",
+    "daily_order_volume", "discount_depth", "unit_value", "log_product_price", "log_order_value", "distance_km",
+]
 _LOCK = threading.RLock()
 _PREP: dict = {}
 _MODELS: dict = {}
@@ -84,7 +93,8 @@ def _eval(spark, sf_dir, name, variant="full"):
             df = ML.evaluate(
                 prep, model(spark, sf_dir, name, variant), feats, materialize=lambda d: materialized(spark, tag, sf_dir, lambda: d)
             ).select(
-                F.lit(name).alias("model"), F.lit(variant).alias("variant"), "*"
+                F.lit(name).alias("model"), F.lit(variant).alias("variant"), "*",
+                F.lit(ML.n_trees(model(spark, sf_dir, name, variant).stages[-1])).cast("int").alias("n_trees"),
             )
             _EVALS[key] = (df.schema, df.collect())
         schema, rows = _EVALS[key]
@@ -95,7 +105,7 @@ def _eval(spark, sf_dir, name, variant="full"):
 def q_preprocess(spark, sf_dir):
     prep = prepared(spark, sf_dir)
     train = prep.data.where(~F.col("is_test"))
-    stages = ML.preprocess_stages(prep.numeric, prep.categorical, True, ML.train_medians(train, prep.numeric))
+    stages = ML.preprocess_stages(prep.numeric, prep.categorical, True, prep.fills)
     slots = ML.feature_slots(Pipeline(stages=stages).fit(train), prep.numeric, prep.categorical)
     return spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(slots)], "slot int, slot_name string, feature string")
 
@@ -141,6 +151,19 @@ def q_export_model_comparison(spark, sf_dir):
     return _comparison(spark, sf_dir)
 
 
+FOLDS_SQL = with_base(
+    "SELECT order_id, n_lines, n_late, CAST((row_number() OVER (PARTITION BY n_lines, n_late ORDER BY (order_id * 7919 + 42) % 10007, order_id) - 1) % 4 "
+    "AS INTEGER) AS fold FROM (SELECT order_id, count(*) AS n_lines, CAST(sum(late_delivery_risk) AS BIGINT) AS n_late FROM lines "
+    "WHERE delivery_status <> 'Shipping canceled' AND NOT (((order_id * 7919 + 42) % 10007) % 100 < 20) GROUP BY order_id)"
+)
+
+
+@query("cv_folds", FOLDS_SQL)
+def q_cv_folds(spark, sf_dir):
+    """The fold of every training order."""
+    return ML.order_folds(filter_cancelled(lines(spark, sf_dir)).where(~split_flag(F.col("order_id"))))
+
+
 @query("cross_validate")
 def q_cross_validate(spark, sf_dir):
     return ML.cross_validate(prepared(spark, sf_dir), ML.MODEL_ORDER)
@@ -296,25 +319,48 @@ def q_vif_covariance(spark, sf_dir):
     return ML.covariance_table(frame, cols).withColumn("covariance", dround("covariance", 6))
 
 
-@query("model_metadata")
+def _metadata_sql() -> str:
+    """Model population as text: bucketed and pooled by the training rows."""
+    from shipcast.plans.q_quality import _MODEL_POP
+
+    train = "NOT (((order_id * 7919 + 42) % 10007) % 100 < 20)"
+    ctes, parts = [features_sql("lines", "lf"), _MODEL_POP, "fpop AS (SELECT * FROM lf WHERE delivery_status <> 'Shipping canceled')"], []
+    for c in META_CATEGORICAL:
+        level = f"CAST({c} AS VARCHAR)"
+        if c in HIGH_CARDINALITY_TOP_N:
+            ctes.append(
+                f"top_{c} AS (SELECT level FROM (SELECT {level} AS level, count(*) AS n FROM fpop WHERE {train} AND {c} IS NOT NULL GROUP BY 1) "
+                f"ORDER BY n DESC, level LIMIT {HIGH_CARDINALITY_TOP_N[c]})"
+            )
+            level = f"CASE WHEN {level} IN (SELECT level FROM top_{c}) THEN {level} ELSE 'Other' END"
+        ctes.append(f"b_{c} AS (SELECT order_id, {level} AS level FROM fpop)")
+        ctes.append(
+            f"p_{c} AS (SELECT CASE WHEN level IS NULL OR level IN (SELECT level FROM b_{c} WHERE {train} GROUP BY level HAVING count(*) >= 20) "
+            f"THEN level ELSE '__rare__' END AS level FROM b_{c})"
+        )
+        parts.append(
+            f"SELECT '{c}' AS feature, 'categorical' AS kind, level, count(*) AS n_rows, "
+            f"row_number() OVER (ORDER BY count(*) DESC, level) AS rank, CAST(NULL AS DOUBLE) AS median FROM p_{c} WHERE level IS NOT NULL GROUP BY level"
+        )
+    for c in META_NUMERIC:
+        parts.append(
+            f"SELECT '{c}', 'numeric', CAST(NULL AS VARCHAR), count({c}), CAST(NULL AS BIGINT), round(median(CAST({c} AS DOUBLE)), 4) FROM fpop"
+        )
+    return with_base(" UNION ALL ".join(parts), ", ".join(ctes))
+
+
+@query("model_metadata", _metadata_sql())
 def q_model_metadata(spark, sf_dir):
+    """One row per level of a categorical feature, ranked from its most
+    frequent one (the default of a request), and one per numeric feature."""
     prep = prepared(spark, sf_dir)
-    pop = prep.data
-    out = []
-    if prep.categorical:
-        long = pop.select(*prep.categorical).unpivot([], prep.categorical, "feature", "level")
-        lv = long.groupBy("feature").agg(F.array_join(F.array_sort(F.collect_set("level")), "|").alias("levels"))
-        modal = ML.modal_levels(pop, prep.categorical).select(F.col("column").alias("feature"), F.col("reference").alias("default"))
-        out.append(lv.join(modal, "feature").select("feature", F.lit("categorical").alias("kind"), "levels", "default", F.lit(None).cast("double").alias("median")))
-    if prep.numeric:
-        long = pop.select(*[F.col(c).cast("double").alias(c) for c in prep.numeric]).unpivot([], prep.numeric, "feature", "value")
-        med = exact_quantiles(long, "value", [0.5], ["feature"], names=["median"]).drop("n")
-        out.append(med.select("feature", F.lit("numeric").alias("kind"), F.lit(None).cast("string").alias("levels"),
-                              F.lit(None).cast("string").alias("default"), dround("median", 4).alias("median")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    return ML.model_metadata(prep.data, prep.numeric, prep.categorical).withColumn("median", dround("median", 4))
+
+
+def request_defaults(spark, sf_dir):
+    """``feature, default, median``: one row per feature."""
+    meta = q_model_metadata(spark, sf_dir)
+    return meta.where("rank = 1 OR kind = 'numeric'").select("feature", "kind", F.col("level").alias("default"), "median")
 
 
 # ------------------------------------------------------------- what-if
@@ -342,7 +388,7 @@ def q_whatif_fill(spark, sf_dir):
             )
         ),
     )
-    defaults = q_model_metadata(spark, sf_dir)
+    defaults = request_defaults(spark, sf_dir)
     return whatif_fill(req, defaults, prep.numeric, prep.categorical)
 
 
@@ -381,7 +427,7 @@ def q_whatif_delta(spark, sf_dir):
     best = model(spark, sf_dir, _best_name(spark, sf_dir))
     test = prep.data.where(F.col("is_test")).withColumn("request_id", F.concat_ws("|", *LINE_KEY))
     asked = test.dropDuplicates(["request_id"])
-    defaults = q_model_metadata(spark, sf_dir)
+    defaults = request_defaults(spark, sf_dir)
     prof = D.mode_profile(orders_frame(spark, sf_dir))
 
     def decide(new_value):
