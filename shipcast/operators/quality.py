@@ -15,7 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shipcast.functions.prefix import exact_quantiles, value_counts
+from shipcast.functions.prefix import exact_quantiles
 from shipcast.functions.rounding import dround
 
 # Column roles on the canonical line table.
@@ -88,7 +88,7 @@ def column_roles(df: DataFrame) -> DataFrame:
 
 def profile_columns(df: DataFrame) -> DataFrame:
     """dtype kind, missing, missing % (2 dp), distinct non-null values, an
-    example (smallest text, <= 60 chars, string columns) and the numeric min."""
+    example (smallest text, string columns) and the numeric min."""
     cols = df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
     base = df.agg(
@@ -96,24 +96,22 @@ def profile_columns(df: DataFrame) -> DataFrame:
         *[F.count(c).alias(f"nn_{c}") for c in cols],
         *[F.min(c).cast("double").alias(f"mn_{c}") for c in cols if is_numeric(types[c])],
     )
-    # distinct counts: numeric columns compared as doubles (no text
-    # conversion), the rest as text; one grouping per family
-    num = [c for c in cols if is_numeric(types[c])]
-    txt = [c for c in cols if c not in num]
-    parts = []
-    if num:
-        ln = df.select(*[F.col(c).cast("double").alias(c) for c in num]).unpivot([], num, "column", "value")
-        parts.append(
-            ln.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.lit(None).cast("string").alias("min_text"))
+    # distinct counts: one grouping per family of columns; whole numbers stay
+    # whole, since doubles merge those beyond 2^53
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    families: dict[str, list[str]] = {}
+    for c in cols:
+        family = "long" if isinstance(types[c], whole) else "double" if is_numeric(types[c]) else "string"
+        families.setdefault(family, []).append(c)
+    distinct = None
+    for family, members in families.items():
+        long = df.select(*[F.col(c).cast(family).alias(c) for c in members]).unpivot([], members, "column", "value")
+        text = F.min("value") if family == "string" else F.lit(None).cast("string")
+        found = (
+            long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("column").agg(F.count(F.lit(1)).alias("unique"), text.alias("min_text"))
         )
-    if txt:
-        lt = df.select(*[F.col(c).cast("string").alias(c) for c in txt]).unpivot([], txt, "column", "value")
-        parts.append(
-            lt.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.min("value").alias("min_text"))
-        )
-    distinct = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        distinct = found if distinct is None else distinct.unionByName(found)
     kinds = {c: kind(types[c]) for c in cols}
     stack = base.selectExpr(
         "__n",
@@ -153,13 +151,9 @@ def profile_outliers(df: DataFrame, top: int | None = None) -> DataFrame:
     n_rows = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     iqr = F.col("q3") - F.col("q1")
     out = (
-        vc.join(qs.where(iqr > 0), "column")
+        long.join(F.broadcast(qs.where(iqr > 0)), "column")  # one row per column
         .groupBy("column")
-        .agg(
-            F.sum(
-                F.when((F.col("value") < F.col("q1") - 1.5 * iqr) | (F.col("value") > F.col("q3") + 1.5 * iqr), F.col("n")).otherwise(0)
-            ).alias("count")
-        )
+        .agg(F.count_if((F.col("value") < F.col("q1") - 1.5 * iqr) | (F.col("value") > F.col("q3") + 1.5 * iqr)).alias("count"))
         .where(F.col("count") > 0)
     )
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("count"), "column"))  # one row per column

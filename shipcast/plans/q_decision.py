@@ -6,6 +6,8 @@ score = train late rate by (mode, market), mode average for empty cells.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from shipcast.functions.prefix import exact_quantiles
@@ -429,6 +431,10 @@ def _median_value_col(rows):
 
 
 def _break_even_sql(a: D.Assumptions) -> str:
+    return with_base(_break_even_body(a), BASE_CTE)
+
+
+def _break_even_body(a: D.Assumptions) -> str:
     fr = lambda col: "CASE " + col + " " + " ".join(f"WHEN '{m}' THEN {_f(a.freight_cost[m])}" for m in MODES) + " ELSE 0.0::DOUBLE END"
     pen = f"({_f(a.late_penalty_fixed)} + {_f(a.late_penalty_rate)} * mv.v)"
     h, s = _f(a.holding_rate_per_day), _f(a.speed_value_per_day)
@@ -440,7 +446,7 @@ def _break_even_sql(a: D.Assumptions) -> str:
     be = f"(CASE WHEN {pen} <> 0 THEN p_to + {gap} / {pen} END)"
     verdict = f"CASE WHEN {be} IS NULL THEN 'not_computable' WHEN {be} > 1 THEN 'never' WHEN {be} < 0 THEN 'always' ELSE 'threshold' END"
     ladder = ", ".join(f"('{f}', '{t}', {i})" for i, (f, t) in enumerate(D.LADDER))
-    return with_base(
+    return (
         f"SELECT from_mode, to_mode, CAST(step AS BIGINT) AS step, round(p_from, 4) AS observed_p_from, round(p_to, 4) AS observed_p_to, "
         f"round({fr('to_mode')} - {fr('from_mode')}, 2) AS incremental_freight, round({be}, 4) AS break_even_p, "
         f"round({tot('from_mode', 'p_from', 't_from')}, 2) AS cost_from, round({tot('to_mode', 'p_to', 't_to')}, 2) AS cost_to, "
@@ -449,8 +455,7 @@ def _break_even_sql(a: D.Assumptions) -> str:
         f"FROM (VALUES {ladder}) lad(from_mode, to_mode, step) "
         "JOIN (SELECT mode AS fm, late_rate AS p_from, mean_transit AS t_from FROM prof) a ON a.fm = lad.from_mode "
         "JOIN (SELECT mode AS tm, late_rate AS p_to, mean_transit AS t_to FROM prof) b ON b.tm = lad.to_mode, "
-        "(SELECT median(value) AS v FROM drows) mv",
-        BASE_CTE,
+        "(SELECT median(value) AS v FROM drows) mv"
     )
 
 
@@ -460,6 +465,26 @@ def q_break_even(spark, sf_dir):
     return D.break_even(prof, _median_value_col(rows), DEFAULT)
 
 
+@query(
+    "scenario_break_even",
+    with_base(
+        " UNION ALL ".join(
+            f"SELECT '{sid}' AS scenario_id, x.*, round(mv.v, 5) AS median_order_value FROM ({_break_even_body(a)}) x CROSS JOIN mv" for sid, a, *_ in SCENARIO_SET
+        ),
+        BASE_CTE + ", mv AS (SELECT median(value) AS v FROM drows)",
+    ),
+)
+def q_scenario_break_even(spark, sf_dir):
+    """The upgrade ladder of every scenario at the median order value."""
+    _, rows, prof = _rows(spark, sf_dir)
+    held = spark.createDataFrame(prof.collect(), prof.schema)  # a row per mode, read once for all scenarios
+    value = F.lit(exact_quantiles(rows, "value", [0.5], names=["q"]).first()["q"])
+    parts = [
+        D.break_even(held, value, a).select(F.lit(sid).alias("scenario_id"), "*", dround(value, 5).alias("median_order_value")) for sid, a, *_ in SCENARIO_SET
+    ]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
 @query(
     "promise_redesign",
     with_base(

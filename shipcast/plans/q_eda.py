@@ -203,6 +203,34 @@ def q_segment_top(spark, sf_dir):
     return eda.segment_top(eda.rate_table(orders_frame(spark, sf_dir)))
 
 
+# Dimensions and lengths of the segment charts.
+SEGMENT_CHARTS = {"shipping_mode": 10, "market": 10, "order_region": 12, "category_name": 12}
+
+
+@query(
+    "segment_charts",
+    with_base(
+        "SELECT ranked_by, dimension, level, orders, late_rate, avg_profit, rank FROM ("
+        + _union(
+            [
+                f"SELECT '{by}' AS ranked_by, *, CAST(row_number() OVER (PARTITION BY dimension ORDER BY {by} DESC, orders DESC, level) AS BIGINT) AS rank "
+                "FROM rates WHERE orders >= 200"
+                for by in ("late_rate", "orders")
+            ]
+        )
+        + ") WHERE "
+        + " OR ".join(f"(dimension = '{d}' AND rank <= {n})" for d, n in SEGMENT_CHARTS.items()),
+        RATE_CTE,
+    ),
+)
+def q_segment_charts(spark, sf_dir):
+    """The first levels of every charted dimension, by late rate and by orders."""
+    rates = eda.rate_table(orders_frame(spark, sf_dir), list(SEGMENT_CHARTS))
+    shown = F.create_map(*[F.lit(x) for pair in SEGMENT_CHARTS.items() for x in pair])
+    parts = [eda.segment_top(rates, by=by).where(F.col("rank") <= shown[F.col("dimension")]).withColumn("ranked_by", F.lit(by)) for by in ("late_rate", "orders")]
+    return parts[0].unionByName(parts[1]).select("ranked_by", "dimension", "level", "orders", "late_rate", "avg_profit", "rank")
+
+
 @query(
     "riskiest_level",
     with_base(

@@ -364,7 +364,36 @@ def request_defaults(spark, sf_dir):
 
 
 # ------------------------------------------------------------- what-if
-@query("whatif_fill")
+def _whatif_sql() -> str:
+    """Asked fields as given, the others from the model population, then what
+    follows from price, quantity and rate."""
+    meta = _metadata_sql().rsplit("\n", 1)
+    num = {c: f"(SELECT median FROM meta WHERE feature = '{c}')" for c in META_NUMERIC}
+    cat = {c: f"(SELECT level FROM meta WHERE feature = '{c}' AND rank = 1)" for c in META_CATEGORICAL}
+
+    def asked(c: str) -> str:
+        train = "NOT (((order_id * 7919 + 42) % 10007) % 100 < 20)"
+        seen = f"(SELECT CAST({c} AS VARCHAR) FROM fpop WHERE {train} GROUP BY {c} HAVING count(*) >= 20)"
+        return f"CASE WHEN CAST({c} AS VARCHAR) IN {seen} THEN CAST({c} AS VARCHAR) ELSE '__rare__' END"
+
+    num |= {"quantity": "quantity", "product_price": "product_price"}
+    rate = f"coalesce({num['discount_rate']}, 0)"
+    total = "(product_price * quantity - product_price * quantity * rate)"
+    num |= {
+        "sales": "product_price * quantity", "discount": "product_price * quantity * rate", "order_item_total": total,
+        "unit_value": "coalesce(product_price * quantity / nullif(quantity, 0), 0)", "discount_depth": "rate",
+        "log_product_price": "ln(1 + greatest(product_price, 0))", "log_order_value": f"ln(1 + greatest({total}, 0))",
+    }
+    cat |= {c: asked(c) for c in ("shipping_mode", "market")}
+    key = "concat_ws('|', " + ", ".join(LINE_KEY) + ")"
+    cols = [f"round(CAST({e} AS DOUBLE), 4) AS {c}" for c, e in num.items()] + [f"{e} AS {c}" for c, e in cat.items()]
+    return (
+        f"{meta[0]}, meta AS ({meta[1]}) SELECT {key} AS request_id, {', '.join(cols)} FROM (SELECT *, {rate} AS rate FROM fpop) "
+        "WHERE ((order_id * 7919 + 42) % 10007) % 100 < 20"
+    )
+
+
+@query("whatif_fill", _whatif_sql())
 def q_whatif_fill(spark, sf_dir):
     """Requests from every held-out line: mode, market, quantity and price as
     text, plus an unknown key and an unparsable number (both ignored)."""
@@ -389,7 +418,8 @@ def q_whatif_fill(spark, sf_dir):
         ),
     )
     defaults = request_defaults(spark, sf_dir)
-    return whatif_fill(req, defaults, prep.numeric, prep.categorical)
+    filled = whatif_fill(req, defaults, prep.numeric, prep.categorical)
+    return filled.select("request_id", *[dround(c, 4).alias(c) for c in prep.numeric], *prep.categorical)
 
 
 def _score_modes(best, rows):
@@ -474,6 +504,39 @@ def q_sink_results(spark, sf_dir):
     return spark.read.schema(table.schema).parquet(paths["unit_value"])
 
 
+_NESTED = "CASE WHEN quantity = 10 THEN NULL ELSE round(sales / quantity, 6) END"
+
+
+@query(
+    "sink_results_nested",
+    with_base(
+        f"SELECT fmt, order_id, line_number, product_id, supplier_id, {_NESTED} AS in_struct, {_NESTED} AS in_array, {_NESTED} AS in_map, "
+        "round(sales, 4) AS next_to_it FROM lines, (VALUES ('parquet'), ('json')) f(fmt)"
+    ),
+)
+def q_sink_results_nested(spark, sf_dir):
+    """Non-finite doubles inside a struct, an array of structs and a map,
+    written as Parquet and as JSON and read back from both."""
+    from shipcast.session import checkpoint_dir
+    from shipcast.sources.sinks import sink_results
+
+    bad = F.when(F.col("quantity") == 10, F.lit(float("nan"))).otherwise(dround(F.col("sales") / F.col("quantity"), 6))
+    key = ["order_id", "line_number", "product_id", "supplier_id"]
+    one = F.struct(bad.alias("unit"), dround("sales", 4).alias("sales"))
+    table = lines(spark, sf_dir).select(
+        *key, one.alias("one"), F.array(one, one).alias("many"), F.create_map(F.lit("unit"), -bad, F.lit("again"), bad).alias("named")
+    )
+    base, out = f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}", None
+    for fmt in ("parquet", "json"):
+        path = sink_results({fmt: table}, base, fmt)[fmt]
+        back = spark.read.schema(table.schema).format(fmt).load(path).select(
+            F.lit(fmt).alias("fmt"), *key, F.col("one.unit").alias("in_struct"), F.col("many")[1]["unit"].alias("in_array"),
+            F.col("named")["again"].alias("in_map"), F.col("one.sales").alias("next_to_it"),
+        )
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
 @query("sink_model")
 def q_sink_model(spark, sf_dir):
     """The fitted logistic pipeline saved, loaded and scored again over the

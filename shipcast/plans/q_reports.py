@@ -8,6 +8,7 @@ from shipcast.functions.rounding import dround
 from shipcast.operators import decision as D
 from shipcast.operators import eda
 from shipcast.operators import metrics as M
+from shipcast.operators import reporting as R
 from shipcast.operators import stats as S
 from shipcast.operators.cleaning import filter_cancelled
 from shipcast.plans import q_decision as QD
@@ -203,45 +204,41 @@ def q_export_eda(spark, sf_dir):
         "SELECT 'policy', 'best_avg_cost', printf('%.3f', avg_cost) FROM cmp WHERE rank = 1 UNION ALL "
         "SELECT 'policy', 'best_policy', policy FROM cmp WHERE rank = 1 UNION ALL "
         "SELECT 'policy', 'best_saving_pct', CAST(saving_pct AS VARCHAR) FROM cmp WHERE rank = 1 UNION ALL "
-        "SELECT 'drivers', 'material_factor_' || CAST(rank AS VARCHAR), factor FROM fam WHERE significant AND effect_size >= 0.10",
+        "SELECT 'drivers', 'material_factor_' || CAST(rank AS VARCHAR), factor FROM fam WHERE significant AND effect_size >= 0.10 UNION ALL "
+        "SELECT 'recommendation', 'align_second_class_promise', printf('%.0f points, %d orders', 100 * round(l_sec - l_std, 4), o_sec) FROM pw "
+        "WHERE abs(t_sec - t_std) < 0.05 UNION ALL "
+        "SELECT 'recommendation', 'adopt_best_policy', printf('%s: %.3f to %.3f an order, late rate %.1f to %.1f %%', b.policy, a.avg_cost, b.avg_cost, "
+        "100 * a.expected_late_rate, 100 * b.expected_late_rate) FROM cmp a, cmp b WHERE a.letter = 'A' AND b.rank = 1 AND b.saving_pct > 0 UNION ALL "
+        "SELECT 'recommendation', 'review_commitment_of_worst_mode', printf('%s: %.1f %% late', arg_max(level, (late_rate, level)), max(late_rate)) "
+        "FROM rates WHERE dimension = 'shipping_mode'",
         QS.ALL_CTE + ", " + QE.RATE_CTE + ", " + QD.BASE_CTE + ", " + QD.costed_cte([QD._scen("default", QD.DEFAULT)]) + ", " + QD.choices_cte() + ", " + QD.SUMMARY_CTE,
     ),
 )
 def q_executive_summary(spark, sf_dir):
+    return R.summary(_findings(spark, sf_dir))
+
+
+def _findings(spark, sf_dir, **more):
     o = orders_frame(spark, sf_dir)
-    fam = S.test_family(o)
-    rates = eda.rate_table(o)
     _, rows, prof = QD._rows(spark, sf_dir)
-    cmp = D.policy_compare(D.evaluate(rows, prof, [D.scenario_struct("default", QD.DEFAULT)]))
-    single = F.col("policy").startswith("single_mode:")
-    by_rate = F.struct("late_rate", "level")
-    modes = rates.where(F.col("dimension") == "shipping_mode").agg(F.max_by("level", by_rate).alias("worst"), F.min_by("level", by_rate).alias("best"))
-    head = o.agg(F.count(F.lit(1)).alias("n"), dround(100 * F.avg("late_delivery_risk"), 2).alias("r"))
-    fh = fam.agg(F.max("n_tests").alias("t"), F.max("n_significant").alias("s"), F.max("n_material").alias("m"))
-    parts = [
-        head.select(F.lit("headline").alias("section"), F.lit("n_orders").alias("item"), F.col("n").cast("string").alias("value")),
-        head.select(F.lit("headline"), F.lit("late_rate_pct"), F.col("r").cast("string")),
-        fh.select(F.lit("headline"), F.lit("n_tests"), F.col("t").cast("string")),
-        fh.select(F.lit("headline"), F.lit("n_significant"), F.col("s").cast("string")),
-        fh.select(F.lit("headline"), F.lit("n_material"), F.col("m").cast("string")),
-        eda.riskiest_level(rates).where(F.col("item").startswith("worst_") & (F.col("item") != "worst_mode")).select(
-            F.lit("worst_level"), "item", "level"
-        ),
-        modes.select(F.lit("mode"), F.lit("worst_mode"), "worst"),
-        modes.select(F.lit("mode"), F.lit("best_mode"), "best"),
-        cmp.where(single).select(F.lit("policy"), F.lit("baseline_policy"), "policy"),
-        cmp.where(single).select(F.lit("policy"), F.lit("baseline_avg_cost"), F.format_string("%.3f", "avg_cost")),
-        cmp.where(F.col("rank") == 1).select(F.lit("policy"), F.lit("best_avg_cost"), F.format_string("%.3f", "avg_cost")),
-        cmp.where(F.col("rank") == 1).select(F.lit("policy"), F.lit("best_policy"), "policy"),
-        cmp.where(F.col("rank") == 1).select(F.lit("policy"), F.lit("best_saving_pct"), F.col("saving_pct").cast("string")),
-        fam.where(F.col("significant") & (F.col("effect_size") >= S.MATERIAL)).select(
-            F.lit("drivers"), F.concat(F.lit("material_factor_"), F.col("rank").cast("string")), "factor"
-        ),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return R.findings(
+        o,
+        rates=eda.rate_table(o, ["shipping_mode", *R.WORST_LEVELS]),
+        family=S.test_family(o),
+        policies=D.policy_compare(D.evaluate(rows, prof, [D.scenario_struct("default", QD.DEFAULT)])),
+        promise=D.promise_redesign(prof),
+        **more,
+    )
+
+
+@query("executive_summary_model")
+def q_executive_summary_model(spark, sf_dir):
+    """The summary with what the models add: the permutation drivers and what
+    is left to predict without the shipping mode."""
+    from shipcast.plans import q_ml
+
+    perm = q_ml.q_permutation_importance(spark, sf_dir)
+    return R.summary(_findings(spark, sf_dir, importance=perm, ablation=q_ml.q_ablation(spark, sf_dir)))
 
 
 @query(
