@@ -218,7 +218,7 @@ def nearest(
     ``every``, against all other rows; nearness is the inner product.
 
     The index is fitted on at most ``max_sample`` vectors and holds every
-    usable row.  Vectors whose length is not the most frequent one take no
+    usable row; a query whose partitions hold too few rows asks further ones.  Vectors whose length is not the most frequent one take no
     part.  Ties go to the smaller vec_id.  With fewer than k other rows all
     are returned; an empty table gives no rows.
     """
@@ -240,13 +240,10 @@ def nearest(
             if not len(pdf):
                 continue
             x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            order = np.argsort(-router.logits(unit(x)), axis=1, kind="stable")[:, : router.probes]
-            yield pd.DataFrame(
-                {"vec_id": pdf["vec_id"], "v": [r.tobytes() for r in x], "parts": order.astype(np.int32).tolist()}
-            )
+            home = router.logits(unit(x)).argmax(axis=1)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": [r.tobytes() for r in x], "part": home.astype(np.int32)})
 
-    placed = staged(spark, table.mapInPandas(place, "vec_id long, v binary, parts array<int>"), "placed")
-    held = placed.select(F.col("parts")[0].alias("part"), "vec_id", "v")
+    held = staged(spark, table.mapInPandas(place, "vec_id long, v binary, part int"), "placed")
     count = {r["part"]: r["count"] for r in held.groupBy("part").count().collect()}  # at most max_parts rows
     bundle_of = _bundles(count)
     sizes: dict[int, int] = {}
@@ -255,17 +252,36 @@ def nearest(
     of = F.create_map(*[F.lit(x) for pair in sorted(bundle_of.items()) for x in pair])
     # a bundle above one block (a hot partition) is split by id
     blocks = F.create_map(*[F.lit(x) for p, c in sorted(sizes.items()) for x in (p, -(-c // BLOCK))])
-    queries = placed.where(F.col("vec_id") % every == 0)
-    groups = max(1, -(-queries.count() // QUERY_BLOCK))
+    rows_of = np.zeros(max(1, len(router.b2)), np.int64)
+    for p, c in count.items():
+        rows_of[p] = c
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The most probable partitions, and more until they hold k + 1 rows."""
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            order = np.argsort(-router.logits(unit(_as_matrix(pdf["v"], dim))), axis=1, kind="stable")
+            enough = 1 + (np.cumsum(rows_of[order], axis=1) <= k).sum(axis=1)
+            parts = [row[: max(router.probes, n)].tolist() for row, n in zip(order.astype(np.int32), enough)]
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "parts": parts})
+
+    asked = held.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInPandas(ask, "vec_id long, v binary, parts array<int>")
+    reached = F.array_distinct(F.filter(F.transform("parts", lambda p: F.element_at(of, p)), lambda x: x.isNotNull()))
+    queries = staged(spark, asked.withColumn("bundle", F.explode(reached)), "asked")
+    # a bundle's rows meet the queries that reach it, QUERY_BLOCK at a time: their copies follow those queries alone
+    asking = {r["bundle"]: -(-r["count"] // QUERY_BLOCK) for r in queries.groupBy("bundle").count().collect()}  # at most max_parts rows
+    if not asking:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    groups = F.create_map(*[F.lit(x) for pair in sorted(asking.items()) for x in pair])
     left = (
         held.withColumn("bundle", F.element_at(of, F.col("part")))
+        .where(F.col("bundle").isin(sorted(asking)))
         .withColumn("b", F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("bundle"))).cast("int"))
-        .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        .withColumn("g", F.explode(F.sequence(F.lit(0), F.element_at(groups, F.col("bundle")) - 1)))
     )
-    reached = F.array_distinct(F.filter(F.transform("parts", lambda p: F.element_at(of, p)), lambda x: x.isNotNull()))
     right = (
-        queries.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
-        .withColumn("bundle", F.explode(reached))
+        queries.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.element_at(groups, F.col("bundle"))).cast("int"))
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("bundle")) - 1)))
     )
     width = max(count) + 1
