@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -101,7 +103,16 @@ def matches(folded: str, automaton) -> dict[int, float]:
             elif weight > best.get(start, 0):
                 best[start] = weight
     if spared:
-        best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
+        # a place is spared if, of the exceptions that begin up to it, the one that reaches furthest goes beyond it
+        spared.sort()
+        begins = [a for a, _ in spared]
+        reach = list(accumulate((b for _, b in spared), max))
+
+        def kept(s: int) -> bool:
+            i = bisect_right(begins, s)
+            return i == 0 or reach[i - 1] <= s
+
+        best = {s: w for s, w in best.items() if kept(s)}
     return best
 
 
