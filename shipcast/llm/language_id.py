@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shipcast.llm.common import bounded_sample, ship_package
+from shipcast.llm.common import ship_package
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -24,6 +24,8 @@ WIDTHS = (2, 3, 4)
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: windows handled at once
 CHUNK = 128
+#: text bytes cut into windows at once, in whole windows
+CHUNK_BYTES = 2048 * WINDOW
 
 
 @dataclass
@@ -76,6 +78,25 @@ def text_windows(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tup
     return np.where(inside, FOLD[data[np.minimum(at, max(len(data) - 1, 0))]], 0), owner
 
 
+def window_chunks(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``text_windows`` of about ``CHUNK_BYTES`` at a time: several short texts,
+    or a stretch of a long one (whose stretches end with a whole window)."""
+    at = 0
+    while at < len(starts):
+        to = at + max(1, int(np.searchsorted(np.cumsum(stops[at:] - starts[at:]), CHUNK_BYTES, "right")))
+        if to - at > 1 or stops[at] - starts[at] <= CHUNK_BYTES:
+            windows, owner = text_windows(data, starts[at:to], stops[at:to])
+            yield windows, owner + at
+        else:
+            cuts = np.append(np.arange(starts[at], stops[at], CHUNK_BYTES), stops[at])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b - a < WINDOW:  # the last window moves back, as in a text of its own
+                    a = b - WINDOW
+                windows, owner = text_windows(data, np.array([a]), np.array([b]))
+                yield windows, owner + at
+        at = to
+
+
 def train(windows: np.ndarray, target: np.ndarray, labels: list[str], filters: int = 12, epochs: int = 12) -> ByteConvNet:
     """Adam on cross-entropy; a max-pooled filter passes its gradient to the
     one place it came from, so a step updates few table rows."""
@@ -122,17 +143,22 @@ def train(windows: np.ndarray, target: np.ndarray, labels: list[str], filters: i
     return ByteConvNet(labels, params[:3], params[3], params[4], params[5])
 
 
-def fit_language_model(labelled: DataFrame, max_rows: int = 4000, max_bytes: int = 4096) -> ByteConvNet | None:
+def fit_language_model(labelled: DataFrame, rows_per_label: int = 1000, max_bytes: int = 4096) -> ByteConvNet | None:
     """Train on ``doc_id, text, lang`` rows with a non-null label and text.
 
-    The sample is bounded by ``max_rows`` documents and ``max_bytes`` of each
-    (a fit bound only; predictions read whole texts).  None without labels.
+    The sample is bounded by ``rows_per_label`` documents of every label, by
+    hash, and ``max_bytes`` of each (a fit bound only; predictions read whole
+    texts), so a rare label is learned as soon as it occurs.  None without labels.
     """
-    usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    ids = bounded_sample(usable, "doc_id", max_rows)
+    usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull())
+    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
+    ids = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows_per_label)
     rows = (
         usable.select("doc_id", "lang", F.substring("text", 1, max_bytes).alias("text"))
-        .join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # at most max_rows ids
+        .join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")  # rows_per_label ids a label
+        .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id", "text")))
+        .where(F.col("r") <= rows_per_label)  # of an id that repeats, too
+        .drop("r")
         .collect()
     )
     if not rows:
@@ -144,7 +170,7 @@ def fit_language_model(labelled: DataFrame, max_rows: int = 4000, max_bytes: int
     starts = stops - [len(b) for b in raw]
     windows, owner = text_windows(np.frombuffer(b"".join(raw), np.uint8), starts, stops)
     rng = np.random.default_rng(5)
-    keep = np.sort(rng.permutation(len(windows))[: 4 * max_rows // 2])
+    keep = np.sort(rng.permutation(len(windows))[: 2 * max(4000, rows_per_label * len(labels))])
     target = np.array([labels.index(r.lang) for r in rows])[owner[keep]]
     windows = windows[keep]
     # short texts are as important as long ones: half of the rows are cut short
@@ -181,17 +207,14 @@ def identify_language(docs: DataFrame, model: ByteConvNet | None) -> DataFrame:
                 live = np.flatnonzero(plain)
                 if model and len(live):
                     data = np.frombuffer(b"".join(raw), np.uint8)
-                    step = 64
-                    for a in range(0, len(live), step):
-                        some = live[a : a + step]
-                        windows, owner = text_windows(data, starts[some], stops[some])
-                        p = model.probabilities(windows, tables)
-                        mean = np.zeros((len(some), p.shape[1]))
-                        np.add.at(mean, owner, p)
-                        mean /= np.bincount(owner, minlength=len(some))[:, None]
-                        best = mean.argmax(1)
-                        label[some] = np.array(model.labels, object)[best]
-                        score[some] = mean[np.arange(len(some)), best]
+                    mean, count = np.zeros((len(live), len(model.labels))), np.zeros(len(live))
+                    for windows, owner in window_chunks(data, starts[live], stops[live]):
+                        np.add.at(mean, owner, model.probabilities(windows, tables))
+                        count += np.bincount(owner, minlength=len(live))
+                    mean /= count[:, None]
+                    best = mean.argmax(1)
+                    label[live] = np.array(model.labels, object)[best]
+                    score[live] = mean[np.arange(len(live)), best]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1))],
                     ["doc_id", "lang_pred", "score"],
