@@ -102,14 +102,20 @@ def spans_of(kind: str, matches: str, gaps: str, tails: str, keep) -> Column:
     m, g, t = F.col(matches), F.col(gaps), F.col(tails)
     order = F.lit(KINDS.index(kind))
 
-    def total(lengths: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-
-    sizes = F.transform(m, lambda x: F.length(x))
-    kept = F.filter(F.transform(m, lambda x, i: F.struct(x.alias("v"), i.alias("i"))), lambda s: keep(s["v"]))
+    # where every match starts, summed up along the text
+    pieces = F.zip_with(F.slice(g, F.lit(1), F.size(m)), m, lambda gap, x: F.struct(gap.alias("gap"), F.length(x).alias("size")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(
+        pieces,
+        none,
+        lambda a, x: F.struct((a["at"] + x["gap"] + x["size"]).alias("at"), F.array_append(a["starts"], a["at"] + x["gap"]).alias("starts")),
+        lambda a: a["starts"],
+    )
+    placed = F.zip_with(starts, F.transform(m, lambda x, i: F.struct(x.alias("v"), i.alias("i"))), lambda at, s: F.struct(at.alias("at"), s["v"].alias("v"), s["i"].alias("i")))
+    kept = F.filter(placed, lambda s: keep(s["v"]))
 
     def span(s: Column) -> Column:
-        start = total(g, s["i"] + 1) + total(sizes, s["i"])
+        start = s["at"]
         return F.struct(
             start.alias("start"),
             order.alias("kind"),
@@ -119,7 +125,37 @@ def spans_of(kind: str, matches: str, gaps: str, tails: str, keep) -> Column:
             F.left(F.element_at(t, s["i"] + 2), F.lit(TAIL)).alias("next"),
         )
 
-    return F.coalesce(F.transform(kept, span), F.array().cast("array<struct<start:int,kind:int,stop:int,v:string,tail:string,next:string>>"))
+    return F.coalesce(F.transform(kept, span), F.array().cast(f"array<{SPAN}>"))
+
+
+SPAN = "struct<start:int,kind:int,stop:int,v:string,tail:string,next:string>"
+
+
+def apart(base: Column, loose: Column) -> Column:
+    """Spans of ``loose`` that overlap none of ``base``: one walk over both by
+    start.  Spans of either list do not overlap each other, so a base span can
+    only reach into the span right before it, or into those that start before
+    its end."""
+
+    def marked(spans: Column, late: int) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(late).alias("late"), s.alias("s")))
+
+    def step(a: Column, e: Column) -> Column:
+        span, late, last = e["s"], e["late"] == 1, a["last"]
+        met = F.coalesce(last["stop"] > span["start"], F.lit(False))
+        return F.struct(
+            F.when(late, a["reach"]).otherwise(F.greatest(a["reach"], span["stop"])).alias("reach"),
+            F.when(late, F.when(span["start"] >= a["reach"], span)).otherwise(F.when(~met, last)).alias("last"),
+            F.when(late & last.isNotNull(), F.array_append(a["out"], last)).otherwise(a["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("reach"), F.lit(None).cast(SPAN).alias("last"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.aggregate(
+        F.array_sort(F.concat(marked(base, 0), marked(loose, 1))),
+        start,
+        step,
+        lambda a: F.when(a["last"].isNotNull(), F.array_append(a["out"], a["last"])).otherwise(a["out"]),
+    )
 
 
 def votes(kind: str, value: Column, tail: Column) -> dict[str, Column]:
@@ -201,7 +237,8 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, threshold: float =
     """One row per row of ``doc_id, text``: ``doc_id``, ``base`` and ``added``
     arrays of (start, kind, stop) with code-point offsets, end exclusive.
 
-    Null text is empty.  Very long texts take one linear scan per pattern.
+    Null text is empty.  Very long texts take one linear scan per pattern and
+    one walk over their spans.
     Repeated rows each get a row; other columns are ignored; an empty table
     gives no rows.  Rows never leave their partition: only counts by kind and
     vote pattern (a few hundred at most) are gathered.
@@ -240,14 +277,9 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, threshold: float =
         return out
 
     plain = lambda a: F.transform(a, lambda s: F.struct(s["start"], s["kind"], s["stop"]))
-    fresh = F.filter(
-        F.col("loose"),
-        lambda c: (score(c) >= threshold)
-        & ~F.exists(
-            F.col("base"),
-            lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["stop"]) & (c["start"] < b["stop"]),
-        ),
-    )
+    of_kind = lambda spans, k: F.filter(spans, lambda s: s["kind"] == k)
+    beside = F.concat(*[apart(of_kind("base", k), of_kind("loose", k)) for k in range(len(KINDS))])
+    fresh = F.filter(beside, lambda c: score(c) >= threshold)
     return placed.select(
         "doc_id", F.array_sort(plain(F.col("base"))).alias("base"), F.array_sort(plain(fresh)).alias("added")
     )
