@@ -27,9 +27,9 @@ from shipcast.llm.common import ship_package, staged
 
 #: pieces that one packing task is meant to hold
 BLOCK = 16_384
-#: bytes of one generation of a worker's word cache (two generations live), what
+#: bytes of one generation of a task's word cache (two generations live), what
 #: an entry takes beside its letters and ids, and the longest chunk kept
-CACHE_BYTES, ENTRY_BYTES, LONGEST_KEPT = 24 << 20, 150, 256
+CACHE_BYTES, ENTRY_BYTES, LONGEST_KEPT = 16 << 20, 200, 256
 
 
 def _byte_letters() -> list[str]:
@@ -46,7 +46,7 @@ class WordCache(dict):
     What the tokenizer makes of a text depends on its blank-separated chunks
     alone.  A miss is encoded once; the entries of the generation before stay
     at hand, so frequent words are kept.  The bytes are counted as entries are
-    added, and long chunks are not kept.
+    added, long chunks are not kept, and ``release`` empties it.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,6 +58,10 @@ class WordCache(dict):
         self.old: dict[str, bytes] = {}
         self.size = 0
 
+    def release(self) -> None:
+        self.clear()
+        self.old, self.size = {}, 0
+
     def __missing__(self, chunk: str) -> bytes:
         found = self.old.get(chunk)
         if found is None:
@@ -97,7 +101,7 @@ _CACHES: dict[str, WordCache] = {}
 
 
 def _cache(path: str) -> WordCache:
-    """One per worker process, kept between tasks."""
+    """One per worker process: the tokenizer stays, the words go with the task."""
     if path not in _CACHES:
         _CACHES[path] = WordCache(path)
     return _CACHES[path]
@@ -125,6 +129,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
             frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
+        cache.release()
 
     return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
 
