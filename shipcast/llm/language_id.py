@@ -24,6 +24,8 @@ WIDTHS = (2, 3, 4)
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: windows handled at once
 CHUNK = 128
+#: values of the hash that draws the sample
+HASHES = 1 << 30
 #: text bytes cut into windows at once, in whole windows
 CHUNK_BYTES = 2048 * WINDOW
 
@@ -151,14 +153,25 @@ def fit_language_model(labelled: DataFrame, rows_per_label: int = 1000, max_byte
     texts), so a rare label is learned as soon as it occurs.  None without labels.
     """
     usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows_per_label)
+    usable = usable.select("doc_id", "lang", "text", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(HASHES)).alias("h"))
+    # of a frequent label only a share reaches the ranking: three times what is wanted, or its first hash
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()  # one row a label
+    if not counts:
+        return None
+    share = {r["lang"]: max(r["least"] + 1, int(min(1.0, 3 * rows_per_label / r["n"]) * HASHES)) for r in counts}
+    below = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair])
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "key")
+    chosen = (
+        usable.where(F.col("h") < F.element_at(below, F.col("lang")))
+        .select("doc_id", "lang", "h", F.xxhash64("text").alias("key"))
+        .withColumn("r", F.row_number().over(first))
+        .where(F.col("r") <= rows_per_label)
+    )
     rows = (
-        usable.select("doc_id", "lang", F.substring("text", 1, max_bytes).alias("text"))
-        .join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")  # rows_per_label ids a label
-        .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id", "text")))
-        .where(F.col("r") <= rows_per_label)  # of an id that repeats, too
-        .drop("r")
+        usable.select("doc_id", "lang", F.xxhash64("text").alias("key"), F.substring("text", 1, max_bytes).alias("text"))
+        .join(F.broadcast(chosen.select("doc_id", "lang", "key").distinct()), ["doc_id", "lang", "key"], "left_semi")  # rows_per_label a label
+        .dropDuplicates(["doc_id", "lang", "key"])
+        .select("doc_id", "lang", "text")
         .collect()
     )
     if not rows:
