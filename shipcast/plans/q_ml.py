@@ -207,10 +207,11 @@ def q_permutation_importance(spark, sf_dir):
     """Written once per session (it scores every feature x repeat variant)."""
     from shipcast.sources.materialize import materialized
 
+    best = model(spark, sf_dir, _best_name(spark, sf_dir))
     return materialized(
         spark, "perm_importance", sf_dir,
         lambda: ML.permutation_importance(
-            prepared(spark, sf_dir), model(spark, sf_dir, _best_name(spark, sf_dir)),
+            prepared(spark, sf_dir), best,
             materialize=lambda df: materialized(spark, "perm_pairs", sf_dir, lambda: df),
         ),
     )

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shipcast.session import checkpoint_dir
 
-_LOCK = threading.RLock()
+_LOCK = threading.Lock()
+_LOCKS: dict[str, threading.RLock] = {}
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
@@ -28,10 +29,15 @@ def _key(spark: SparkSession, name: str, source: str) -> str:
 
 
 def materialized(spark: SparkSession, name: str, source: str, build) -> DataFrame:
-    """Return ``build()`` written once to the shared folder and read back."""
+    """Return ``build()`` written once to the shared folder and read back.
+
+    Each table has a lock of its own: a build may need other tables, also from
+    threads that it starts."""
     base = checkpoint_dir(spark)
     path = os.path.join(base, _key(spark, name, source))
     with _LOCK:
+        own = _LOCKS.setdefault(path, threading.RLock())
+    with own:
         if (name, source) not in _WRITTEN or _WRITTEN[(name, source)] != path:
             build().write.mode("overwrite").parquet(path)
             _WRITTEN[(name, source)] = path

@@ -113,3 +113,19 @@ def test_sweep_parameter_and_presets():
     b = D.with_parameter(base, "speed_value_per_day", 0)
     assert b.speed_value_per_day == 0.0
     assert len(D.sweep_scenarios(base)) == sum(len(v) for v in D.SWEEPS.values())
+
+
+def test_tables_that_threads_of_a_build_need(spark):
+    """A build may wait for threads that store tables of their own."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from shipcast.sources.materialize import materialized
+
+    def part(k):
+        return materialized(spark, f"part-{k}", "here", lambda: spark.range(k)).count()
+
+    def build():
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            return spark.range(sum(f.result(timeout=60) for f in [pool.submit(part, k) for k in (3, 4)]))
+
+    assert materialized(spark, "whole", "here", build).count() == 7
