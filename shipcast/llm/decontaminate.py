@@ -8,6 +8,9 @@ functions only.
 4. Candidates are compared word by word in the few texts that have one;
    occurrences, covered words and items follow.
 
+Proximity matches go the same way: the shifted lists are widened by the slop
+before they are intersected, and all words of the phrase are compared.
+
 Benchmark phrases are looked up from a broadcast table of at most
 ``PHRASES_AT_ONCE`` rows; a larger benchmark is taken in several blocks, each
 against all documents.
@@ -111,8 +114,10 @@ def find_phrases(
     Returns ``(documents, occurrences, members)``: one ``doc_id, text_key,
     n_words`` row per input row; distinct ``doc_id, text_key, start, size,
     phrase, exact`` rows; and the items of each phrase.  With ``slop`` > 0,
-    occurrences also holds proximity matches (``exact = false``): the two
-    rarest terms up to ``slop`` words nearer or farther than in the phrase.
+    occurrences also holds proximity matches (``exact = false``): starts, none
+    below 0, at which every word of the phrase stands at most ``slop`` words
+    from its place, unless the phrase itself starts at most ``slop`` words
+    from there.  Equal words of a phrase may be met by one word of the text.
     """
     table, members = phrases(items.select("item_id", "text"), length)
     table = staged(spark, table, "phrases")
@@ -137,18 +142,15 @@ def find_phrases(
     both = staged(
         spark, lists.groupBy(*key).agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select(*key), "starts"
     )
-    occurrences = _exact(spark, docs, both, table).withColumn("exact", F.lit(True))
+    occurrences = _compared(spark, docs, both, table).withColumn("exact", F.lit(True))
     if slop:
-        one, two = (lists.where(F.col("part") == k).select(*key) for k in (1, 2))
-        near = one.alias("o").join(
-            two.alias("t"),
-            F.col("o.doc_id").eqNullSafe(F.col("t.doc_id"))
-            & (F.col("o.text_key") == F.col("t.text_key"))
-            & (F.col("o.pid") == F.col("t.pid"))
-            & (F.abs(F.col("o.start") - F.col("t.start")) <= slop),
-        ).select(*[F.col(f"o.{c}").alias(c) for c in key])
-        near = near.join(small_side(table.select("pid", "phrase", F.size("words").alias("size")), PHRASES_AT_ONCE), "pid")
-        near = near.select("doc_id", "text_key", "start", "size", "phrase").distinct().exceptAll(occurrences.drop("exact"))
+        # every start that leaves a term within the slop; both lists must name it
+        wide = lists.withColumn("start", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop))).where("start >= 0")
+        wide = wide.groupBy(*key).agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select(*key)
+        near = _compared(spark, docs, staged(spark, wide, "near-starts"), table, slop).alias("n")
+        whole = occurrences.alias("o")
+        same = F.col("n.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("n.text_key") == F.col("o.text_key")) & (F.col("n.phrase") == F.col("o.phrase"))
+        near = near.join(whole, same & (F.abs(F.col("n.start") - F.col("o.start")) <= slop), "left_anti")
         occurrences = occurrences.unionByName(near.withColumn("exact", F.lit(False)))
     return documents, occurrences, members
 
@@ -190,7 +192,20 @@ def _postings(docs: DataFrame, table: DataFrame, with_documents: bool) -> DataFr
     )
 
 
-def _exact(spark: SparkSession, docs: DataFrame, starts: DataFrame, table: DataFrame) -> DataFrame:
+def _stands(words: Column, found: Column, slop: int) -> Column:
+    """Whether a phrase stands in ``words`` at a start: word by word in place,
+    or each of its words at most ``slop`` from its place."""
+    if not slop:
+        return (found["start"] >= 0) & (F.slice(words, F.greatest(found["start"], F.lit(0)) + 1, F.size(found["words"])) == found["words"])
+
+    def within(j: Column) -> Column:
+        low = F.greatest(found["start"] + j - slop, F.lit(0))
+        return F.array_contains(F.slice(words, low + 1, found["start"] + j + slop + 1 - low), F.get(found["words"], j))
+
+    return F.forall(F.sequence(F.lit(0), F.size(found["words"]) - 1), within)
+
+
+def _compared(spark: SparkSession, docs: DataFrame, starts: DataFrame, table: DataFrame, slop: int = 0) -> DataFrame:
     """Starts at which the whole phrase stands, compared in the texts that
     have a start left."""
     wanted = (
@@ -206,10 +221,7 @@ def _exact(spark: SparkSession, docs: DataFrame, starts: DataFrame, table: DataF
     words = F.filter(F.transform(raw_words(F.col("text")), small_letters), lambda w: w != "")
     # the one-row explode keeps the words a computed column: they are split once
     rows = rows.select("doc_id", "text_key", "wanted", F.explode(F.array(words)).alias("ws"))
-    right = F.filter(
-        "wanted",
-        lambda c: (c["start"] >= 0) & (F.slice(F.col("ws"), F.greatest(c["start"], F.lit(0)) + 1, F.size(c["words"])) == c["words"]),
-    )
+    right = F.filter("wanted", lambda c: _stands(F.col("ws"), c, slop))
     found = rows.select("doc_id", "text_key", F.explode(right).alias("c"))
     return staged(
         spark,
@@ -220,15 +232,27 @@ def _exact(spark: SparkSession, docs: DataFrame, starts: DataFrame, table: DataF
     )
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
+def _items(occurrences: DataFrame, members: DataFrame, name: str) -> DataFrame:
+    """The items, sorted, that each document's occurrences belong to."""
+    key = ["doc_id", "text_key"]
+    return (
+        occurrences.select(*key, "phrase").distinct()
+        .join(members, "phrase")
+        .groupBy(*key)
+        .agg(F.sort_array(F.collect_set("item")).alias(name))
+    )
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, length: int = 10, slop: int = 0) -> DataFrame:
     """One row per row of ``doc_id, text``: ``doc_id, text_key, n_words, n_hit,
-    n_items, item_ids, contaminated``.
+    n_items, item_ids, contaminated``; with ``slop`` > 0 also ``near_ids``, the
+    items that have a proximity match (see ``find_phrases``) in the text.
 
     A null text has no words; a null doc_id is kept; repeated rows each get
     a row; other columns are ignored.  An empty benchmark hits nothing.
     """
-    documents, occurrences, members = find_phrases(spark, docs.select("doc_id", "text"), items, length)
-    occurrences = occurrences.where("exact").drop("exact")
+    documents, all_occurrences, members = find_phrases(spark, docs.select("doc_id", "text"), items, length, slop)
+    occurrences = all_occurrences.where("exact").drop("exact")
     key = ["doc_id", "text_key"]
     order = W.partitionBy(*key).orderBy("start", "stop")
     runs = occurrences.select(*key, "start", (F.col("start") + F.col("size")).alias("stop")).distinct()
@@ -239,18 +263,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, length
         .groupBy(*key)
         .agg(F.sum("new").alias("n_hit"))
     )
-    named = (
-        occurrences.select(*key, "phrase").distinct()
-        .join(members, "phrase")
-        .groupBy(*key)
-        .agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    )
+    named = _items(occurrences, members, "item_ids")
     hit = covered.join(named, key)
     marked = documents.alias("d").join(
         hit.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key")), "left"
     )
-    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return marked.select(
+    none = F.array().cast("array<string>")
+    ids = F.coalesce("item_ids", none)
+    out = marked.select(
         F.col("d.doc_id").alias("doc_id"),
         F.col("d.text_key").alias("text_key"),
         "n_words",
@@ -259,3 +279,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, length
         ids.alias("item_ids"),
         F.col("n_hit").isNotNull().alias("contaminated"),
     )
+    if not slop:
+        return out
+    near = _items(all_occurrences.where(~F.col("exact")), members, "near_ids").alias("n")
+    same = F.col("o.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("o.text_key") == F.col("n.text_key"))
+    return out.alias("o").join(near, same, "left").select("o.*", F.coalesce("n.near_ids", none).alias("near_ids"))
