@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shipcast.llm.common import ship_package, staged, text_key
+from shipcast.llm.common import giving_back, ship_package, staged, text_key
 
 #: a repeated run is deleted if it has at least so many characters
 MIN_CHARS = 20
@@ -82,7 +82,7 @@ def minimal_runs(lines: DataFrame, min_chars: int) -> DataFrame:
     return (
         lines.groupBy(*KEY)
         .agg(F.sort_array(F.collect_list(F.struct("i", "chars"))).alias("places"))
-        .mapInPandas(run, "doc_id long, text_key long, start int, size int")
+        .mapInPandas(giving_back(run), "doc_id long, text_key long, start int, size int")
     )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from shipcast.llm import hashing
-from shipcast.llm.common import ship_package, staged, text_key
+from shipcast.llm.common import giving_back, ship_package, staged, text_key
 from shipcast.llm.decontaminate import GAP, small_side
 from shipcast.llm.graph import components
 
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 )
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
-    return keyed.mapInArrow(run, "doc_id long, text_key long, node binary, n int, bands array<long>")
+    return keyed.mapInArrow(giving_back(run), "doc_id long, text_key long, node binary, n int, bands array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -110,7 +110,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                     ["comp", "node", "copies", "chunks", "grams"],
                 )
 
-    return docs.mapInArrow(run, "comp binary, node binary, copies long, chunks int, grams binary").dropDuplicates(["node"])
+    return docs.mapInArrow(giving_back(run), "comp binary, node binary, copies long, chunks int, grams binary").dropDuplicates(["node"])
 
 
 def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -256,7 +256,7 @@ def near_duplicates(
         spark,
         dealt.repartition("comp", "i", "j")
         .sortWithinPartitions("comp", "i", "j", "node")
-        .mapInPandas(_verify(threshold), "node binary, links long, other binary"),
+        .mapInPandas(giving_back(_verify(threshold)), "node binary, links long, other binary"),
         "links",
     )
     classes = components(spark, verified.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipcast.llm.common import ship_package, staged
+from shipcast.llm.common import giving_back, ship_package, staged
 
 #: pieces that one packing task is meant to hold
 BLOCK = 16_384
@@ -126,7 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+    return docs.select("doc_id", "text").mapInPandas(giving_back(cut), PIECES)
 
 
 class Bins:

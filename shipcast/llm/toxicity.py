@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipcast.llm.common import bounded_sample, ship_package, staged
+from shipcast.llm.common import bounded_sample, giving_back, ship_package, staged
 
 #: Letters that look like a Latin letter, and digits and signs
 #: written in place of one.
@@ -154,7 +154,7 @@ def _counted(sample: DataFrame, keys_of) -> DataFrame:
 
     return (
         sample.select("toxic", "text")
-        .mapInArrow(run, "term string, pos long, neg long")
+        .mapInArrow(giving_back(run), "term string, pos long, neg long")
         .groupBy("term")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
@@ -262,7 +262,7 @@ def _sample_features(sample: DataFrame, model: ToxicityModel) -> list[tuple]:
                 [part.column(0), *(pa.array(c, pa.float64()) for c in cols)], ["toxic", "a", "b", "c"]
             )
 
-    rows = sample.select("toxic", "text").mapInArrow(run, "toxic int, a double, b double, c double").collect()
+    rows = sample.select("toxic", "text").mapInArrow(giving_back(run), "toxic int, a double, b double, c double").collect()
     return sorted(tuple(r) for r in rows)  # max_rows rows of four numbers
 
 
@@ -299,7 +299,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, score double, predicted int"
+        giving_back(run), "doc_id long, score double, predicted int"
     )
 
 
@@ -320,4 +320,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) ->
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield part.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
