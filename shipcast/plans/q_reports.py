@@ -256,19 +256,25 @@ def q_executive_summary_model(spark, sf_dir):
 def q_monitoring_baseline(spark, sf_dir):
     o = orders_frame(spark, sf_dir)
     ev = QM.eval_frame(spark, sf_dir)
-    auc = M.roc_auc(M.score_counts(ev, "p_full", "late_delivery_risk")).select("roc_auc").scalar()
+    sums = [a for c in ("late_delivery_risk", "profit") for a in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}"))]
+
+    def mean(c):
+        return dround(F.sum(f"s_{c}") / F.sum(f"n_{c}"), 4)
+
+    def in_rows(one_row, *names):
+        return one_row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])))
+
+    # one scan of the orders: sums per mode, then of the modes
+    by_mode = o.groupBy("shipping_mode").agg(*sums)
+    of_orders = by_mode.agg(
+        mean("late_delivery_risk").alias("late_rate"), F.count("shipping_mode").alias("n_modes"), mean("profit").alias("mean_profit")
+    )
+    features = QL.q_feature_select(spark, sf_dir).where(F.col("variant") == "full").agg(F.count("*").alias("n_features"))
+    auc = M.roc_auc(M.score_counts(ev, "p_full", "late_delivery_risk")).select(dround("roc_auc", 4).alias("roc_auc"))
+    brier = ev.agg(dround(F.avg((F.col("p_full") - F.col("late_delivery_risk")) ** 2), 4).alias("brier"))
     return (
-        o.agg(dround(F.avg("late_delivery_risk"), 4).alias("value")).select(F.lit("late_rate").alias("metric"), "value")
-        .union(
-            QL.q_feature_select(spark, sf_dir).where(F.col("variant") == "full")
-            .agg(F.count("*").cast("double").alias("v")).select(F.lit("n_features"), "v")
-        )
-        .union(o.agg(F.countDistinct("shipping_mode").cast("double").alias("v")).select(F.lit("n_modes"), "v"))
-        .union(o.agg(dround(F.avg("profit"), 4).alias("v")).select(F.lit("mean_profit"), "v"))
-        .union(ev.agg(dround(auc, 4).alias("v")).select(F.lit("roc_auc"), "v"))
-        .union(
-            ev.where(F.col("p_full").isNotNull())
-            .agg(dround(F.avg((F.col("p_full") - F.col("late_delivery_risk")) ** 2), 4).alias("v"))
-            .select(F.lit("brier"), "v")
-        )
+        in_rows(of_orders, "late_rate", "n_modes", "mean_profit")
+        .union(in_rows(features, "n_features"))
+        .union(in_rows(auc, "roc_auc"))
+        .union(in_rows(brier, "brier"))
     )
