@@ -7,9 +7,10 @@
 3. Candidates are counted by kind and vote pattern; expectation-maximisation
    over those few counts estimates each labeler's reliabilities and a
    posterior per pattern.
-4. A logistic span classifier is fitted to the posteriors and scores the
-   candidates as a column expression.  Accepted candidates that overlap no
-   base span of their kind are added.
+4. A logistic span classifier learns the posteriors from what a span and the
+   text around it look like, not from the votes, and scores the candidates as
+   a column expression.  Accepted candidates that overlap no base span of
+   their kind are added.
 """
 
 from __future__ import annotations
@@ -59,6 +60,13 @@ GAZETTEER = {
 }
 TAIL = 24
 LABELERS = ("shape", "gazetteer", "context", "checks", "neighbour")
+#: Probability of a vote against, none and for, on real spans and on others:
+#: where estimation starts, and what is known.  Real spans pass their check
+#: (digit sum, range, count of digits) by definition, so that is not estimated.
+MILD = ((0.2, 0.3, 0.5), (0.5, 0.3, 0.2))
+KNOWN = {"checks": ((0.001, 0.001, 0.998), (0.8, 0.1, 0.1))}
+#: What the span classifier sees: two properties of the value, and ``traits``.
+TRAITS = ("valid", "listed", "marked", "parted", "named", "led", "joined", "closed", "followed")
 
 
 def found(text: Column, pattern: str, screen: str) -> tuple[Column, Column, Column]:
@@ -184,48 +192,75 @@ def votes(kind: str, value: Column, tail: Column) -> dict[str, Column]:
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[int, ...], float]:
+def traits(kind: str, value: Column, tail: Column, after: Column) -> dict[str, Column]:
+    """0 or 1 each: of the value, of the text before it and of that behind it."""
+    cast = votes(kind, value, tail)
+    flags = {
+        "valid": cast["checks"] == 1,
+        "listed": cast["gazetteer"] == 1,
+        "marked": value.rlike(r"^[+(]|@"),
+        "parted": value.rlike(r"[\x20()-]"),
+        "named": tail.rlike(CONTEXT[kind]) | after.rlike(CONTEXT[kind]),
+        "led": tail.rlike(r"[:=(<\[]\x20?$"),
+        "joined": tail.rlike(r"[0-9A-Za-z#$=._-]$"),
+        "closed": after.rlike(r"^(?:$|[\s,;:!?)\]>]|\.(?:\s|$))"),
+        "followed": after.rlike(r"^[\x20.,-]?[0-9]"),
+    }
+    return {name: flag.cast("int") for name, flag in flags.items()}
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], names: tuple[str, ...] = (), rounds: int = 50) -> dict[tuple[int, ...], float]:
     """Posterior that a span is real, per vote pattern: two-class
     expectation-maximisation with a reliability of every labeler and class.
 
-    Input: (votes, count); at most 3 to the number of labelers patterns.
+    Input: (votes, count), at most 3 to the number of labelers patterns, and
+    the labelers' names (none: all reliabilities are estimated).
     """
     total = sum(n for _, n in patterns)
     if not total:
         return {}
     width = len(patterns[0][0])
     prior = 0.6
-    # reliabilities[class][labeler][vote + 1], started from a mild trust in all
-    rel = [[[0.2, 0.3, 0.5] for _ in range(width)], [[0.5, 0.3, 0.2] for _ in range(width)]]
+    start = [KNOWN.get(names[k] if names else "", MILD) for k in range(width)]
+    # reliabilities[class][labeler][vote + 1]
+    rel = [[list(start[k][c]) for k in range(width)] for c in (0, 1)]
     post: dict[tuple[int, ...], float] = {}
+    # pseudo-counts keep prior and classes near their start, so that neither
+    # class swaps its meaning or takes all spans
+    hold = 5 + total / 4
     for _ in range(rounds):
         for pattern, _n in patterns:
             real = math.log(prior) + sum(math.log(rel[0][k][v + 1]) for k, v in enumerate(pattern))
             fake = math.log(1 - prior) + sum(math.log(rel[1][k][v + 1]) for k, v in enumerate(pattern))
             post[pattern] = 1 / (1 + math.exp(max(-50.0, min(50.0, fake - real))))
         weight = sum(n * post[p] for p, n in patterns)
-        prior = min(0.99, max(0.01, (weight + 1) / (total + 2)))
+        prior = (weight + hold * 0.6) / (total + hold)
         for k in range(width):
+            if names and names[k] in KNOWN:
+                continue
             for v in (-1, 0, 1):
                 real = sum(n * post[p] for p, n in patterns if p[k] == v)
                 fake = sum(n * (1 - post[p]) for p, n in patterns if p[k] == v)
-                # smoothed toward the start, so that no class can swap its meaning
-                rel[0][k][v + 1] = (real + 5 * (0.2, 0.3, 0.5)[v + 1]) / (weight + 5)
-                rel[1][k][v + 1] = (fake + 5 * (0.5, 0.3, 0.2)[v + 1]) / (total - weight + 5)
+                rel[0][k][v + 1] = (real + hold * start[k][0][v + 1]) / (weight + hold)
+                rel[1][k][v + 1] = (fake + hold * start[k][1][v + 1]) / (total - weight + hold)
     return post
 
 
-def fit_classifier(post: dict[tuple[int, ...], float], counts: dict[tuple[int, ...], int]) -> list[float]:
-    """Logistic weights (intercept first) of the votes, fitted to posteriors."""
-    if not post:
+def fit_classifier(seen: dict[tuple[int, ...], tuple[int, float]]) -> list[float]:
+    """Logistic weights (intercept first) of the traits, fitted to posteriors.
+
+    Input: per pattern of traits its count and mean posterior; at most 2 to
+    the number of traits patterns.
+    """
+    if not seen:
         return []
-    width = len(next(iter(post)))
-    w, total = [0.0] * (width + 1), sum(counts.values())
+    width = len(next(iter(seen)))
+    w, total = [0.0] * (width + 1), sum(n for n, _ in seen.values())
     for _ in range(400):
         grad = [0.0] + [1e-3 * x for x in w[1:]]
-        for p, n in counts.items():
+        for p, (n, mean) in seen.items():
             z = w[0] + sum(a * b for a, b in zip(w[1:], p))
-            diff = n / total * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - post[p])
+            diff = n / total * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - mean)
             grad[0] += diff
             for k, v in enumerate(p):
                 grad[k + 1] += diff * v
@@ -233,6 +268,19 @@ def fit_classifier(post: dict[tuple[int, ...], float], counts: dict[tuple[int, .
     return w
 
 
+def learn(rows: list[tuple[tuple[int, ...], tuple[int, ...], int]]) -> list[float]:
+    """Weights of one kind's classifier from (votes, traits, count)."""
+    tally: dict[tuple[int, ...], int] = {}
+    for cast, _, n in rows:
+        tally[cast] = tally.get(cast, 0) + n
+    post = estimate(sorted(tally.items()), LABELERS)
+    seen: dict[tuple[int, ...], tuple[int, float]] = {}
+    for cast, look, n in sorted(rows):
+        had, mean = seen.get(look, (0, 0.0))
+        seen[look] = (had + n, (had * mean + n * post[cast]) / (had + n))
+    return fit_classifier(seen)
+
+
 def find_personal_data(spark: SparkSession, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``doc_id, text``: ``doc_id``, ``base`` and ``added``
     arrays of (start, kind, stop) with code-point offsets, end exclusive.
@@ -241,7 +289,8 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, threshold: float =
     one walk over their spans.
     Repeated rows each get a row; other columns are ignored; an empty table
     gives no rows.  Rows never leave their partition: only counts by kind and
-    vote pattern (a few hundred at most) are gathered.
+    pattern of votes and traits (some hundreds; 3^5 x 2^9 a kind at the very
+    most, whatever the table) are gathered.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     columns = []
@@ -257,22 +306,23 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, threshold: float =
         spark, scanned.select("doc_id", F.concat(*base).alias("base"), F.concat(*loose).alias("loose")), "pii-spans"
     )
 
-    candidate = placed.select(F.explode("loose").alias("c")).select("c.kind", "c.v", "c.tail")
+    candidate = placed.select(F.explode("loose").alias("c")).select("c.kind", "c.v", "c.tail", "c.next")
     weights: dict[int, list[float]] = {}
     for k, kind in enumerate(KINDS):
         cast = votes(kind, F.col("v"), F.col("tail"))
-        rows = candidate.where(F.col("kind") == k).groupBy(*[cast[n].alias(n) for n in LABELERS]).count().collect()
-        counts = {tuple(int(r[n]) for n in LABELERS): int(r["count"]) for r in rows}
-        weights[k] = fit_classifier(estimate(sorted(counts.items())), counts)
+        look = traits(kind, F.col("v"), F.col("tail"), F.col("next"))
+        own = candidate.where(F.col("kind") == k).select(*[cast[n].alias(n) for n in LABELERS], *[look[n].alias(n) for n in TRAITS])
+        rows = own.groupBy(*LABELERS, *TRAITS).count().collect()
+        weights[k] = learn([(tuple(r[n] for n in LABELERS), tuple(r[n] for n in TRAITS), r["count"]) for r in rows])
 
     def score(c: Column) -> Column:
         out = F.lit(0.0)
         for k, kind in enumerate(KINDS):
             if weights[k]:
-                cast = votes(kind, c["v"], c["tail"])
+                look = traits(kind, c["v"], c["tail"], c["next"])
                 z = F.lit(weights[k][0])
-                for w, name in zip(weights[k][1:], LABELERS):
-                    z = z + F.lit(w) * cast[name]
+                for w, name in zip(weights[k][1:], TRAITS):
+                    z = z + F.lit(w) * look[name]
                 out = F.when(c["kind"] == k, 1 / (1 + F.exp(-z))).otherwise(out)
         return out
 

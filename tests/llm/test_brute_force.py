@@ -116,6 +116,33 @@ def test_reliabilities_follow_agreement():
     assert post[(1, 1, 1)] > 0.95 and post[(-1, -1, -1)] < 0.05 and post[(1, 1, -1)] > 0.5
 
 
+def test_failed_check_outweighs_a_likely_shape():
+    names = pii.LABELERS
+    # nearly all candidates are real, as in a clean table
+    post = pii.estimate([((1, 1, 0, 1, 0), 900), ((1, 1, 0, -1, 0), 40), ((1, 0, 0, -1, 0), 60)], names)
+    assert post[(1, 1, 0, 1, 0)] > 0.9
+    assert post[(1, 1, 0, -1, 0)] < 0.5 and post[(1, 0, 0, -1, 0)] < 0.5
+
+
+def test_classifier_learns_from_the_surroundings():
+    # same value, voted on by what stands before it; the classifier is given looks alone
+    bare, led = (1, 1, 0, 0, 0, 0, 0, 0, 0), (1, 1, 0, 0, 0, 1, 0, 1, 0)
+    weights = pii.learn([((1, 1, 1, 1, 0), led, 50), ((-1, 0, 0, -1, -1), bare, 50)])
+    score = lambda look: weights[0] + sum(a * b for a, b in zip(weights[1:], look))
+    assert score(led) > 0 > score(bare)
+    assert pii.learn([]) == []
+
+
+def test_added_spans_need_a_passed_check(spark):
+    good, bad = "4111 1111 1111 1111", "4111 1111 1111 1112"
+    rows = [(i, f"pay with card {good} now") for i in range(40)] + [(100 + i, f"number {bad} here") for i in range(5)]
+    rows += [(200, "call (212) 555-0199, or write to joe [at] site [dot] org")]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[i].base) == 1 and not got[i].added for i in range(40))
+    assert all(not got[100 + i].base and not got[100 + i].added for i in range(5))
+    assert {s.kind for s in got[200].added} == {0, 3}
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
