@@ -19,11 +19,19 @@ from shipcast.session import checkpoint_dir
 
 
 _SHIPPED: set[str] = set()
+#: bytes up to which rows go to a Python worker at once (a longer row goes alone)
+BATCH_BYTES = 4 << 20
+#: a key is hot above LEAST_HOT rows and a HOT_KEYS-th of all
+LEAST_HOT, HOT_KEYS = 2_000, 100_000
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, so that
-    executors need no installation of it."""
+    executors need no installation of it, and bound what goes to a worker at
+    once by bytes, unless the session has set its own bound."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -69,6 +77,20 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which holds each non-null ``key`` once
+    and in ``count`` its rows among the ``total`` of ``rows``.
+
+    Hot keys, at most HOT_KEYS of them, are looked up where their rows lie;
+    only the others are shuffled.  Both frames are read twice: store them.
+    """
+    many = max(LEAST_HOT, total // HOT_KEYS)
+    hot, cold = table.where(F.col(count) > many), table.where(F.col(count) <= many)
+    return rows.join(F.broadcast(hot), key).unionByName(
+        rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    )
+
+
 def id_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (null for a null id)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from shipcast.llm import hashing
-from shipcast.llm.common import giving_back, ship_package, staged, text_key
+from shipcast.llm.common import giving_back, join_counted, ship_package, staged, text_key
 from shipcast.llm.decontaminate import GAP, small_side
 from shipcast.llm.graph import components
 
@@ -233,7 +233,9 @@ def near_duplicates(
     )
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("m")).where("m > 1")
-    edges = keyed.join(buckets, "key").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    buckets = staged(spark, buckets, "buckets")
+    pairs = join_counted(keyed, buckets, "key", "m", nodes.count() * bands).where("node != first")
+    edges = pairs.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     candidate = staged(spark, components(spark, edges), "candidates")
     sizes = candidate.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     members = staged(
@@ -262,14 +264,13 @@ def near_duplicates(
     classes = components(spark, verified.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = verified.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "rep", "copies").join(classes, "node", "left").join(counts, "node", "left")
-    known = known.withColumn("root", F.coalesce("root", "node"))
-    names = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    results = known.join(names, "root").select(
-        "node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("root").alias("class_key")
+    known = staged(spark, known.withColumn("root", F.coalesce("root", "node")), "known")
+    names = known.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("m"))
+    results = join_counted(known, staged(spark, names, "classes"), "root", "m", known.count()).select(
+        "node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("root").alias("class_key"), "copies"
     )
     return (
-        with_words.select("doc_id", "text_key", "node")
-        .join(results, "node")
+        join_counted(with_words.select("doc_id", "text_key", "node"), staged(spark, results, "results"), "node", "copies", with_words.count())
         .select("doc_id", "text_key", "class_id", "n_links", "class_key")
         .unionByName(
             signed.where("n = 0").select(
