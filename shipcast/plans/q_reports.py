@@ -78,12 +78,6 @@ SCORED_COLS = [
     "order_region", "customer_segment", "department_name", "category_name", "late_delivery_risk",
 ]
 _P_NAMES = {k: f"p_late__{m.split()[0].lower()}" for m, k in D.KEY_OF.items()}
-_SCORED_SQL_COLS = (
-    ", ".join(f"l.{c}" if c in ("shipping_mode", "market") else c for c in SCORED_COLS)
-    + ", "
-    + ", ".join(f"round(p_{k}, 6) AS {n}" for k, n in _P_NAMES.items())
-    + ", round(p_full, 6) AS p_late_current"
-)
 _SCORED_SQL_COLS = ", ".join(
     [c for c in SCORED_COLS] + [f"round(p_{k}, 6) AS {n}" for k, n in _P_NAMES.items()] + ["round(p_full, 6) AS p_late_current"]
 )
