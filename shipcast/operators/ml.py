@@ -613,7 +613,15 @@ def logit_inference(orders: DataFrame) -> DataFrame:
     frame, cols, _ = design_matrix(orders)
     data = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip").transform(frame)
     glr = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=TARGET, featuresCol="features", regParam=0.0, maxIter=100)
-    labelled = data.withColumn(TARGET, F.col(TARGET).cast("double"))
+    # every iteration reads all rows (up to a hundred times, if a level separates them): stored assembled
+    labelled = data.select("features", F.col(TARGET).cast("double").alias(TARGET)).persist()
+    try:
+        return _logit_table(orders.sparkSession, glr, labelled, cols)
+    finally:
+        labelled.unpersist()
+
+
+def _logit_table(spark: SparkSession, glr: GeneralizedLinearRegression, labelled: DataFrame, cols: Sequence[str]) -> DataFrame:
     none = [None] * (len(cols) + 1)
     try:
         m = glr.fit(labelled)
@@ -625,7 +633,7 @@ def logit_inference(orders: DataFrame) -> DataFrame:
         se, pv = none, none
     s = m.summary
     coefs = list(m.coefficients) + [m.intercept]
-    names = cols + ["(intercept)"]
+    names = [*cols, "(intercept)"]
     rows = []
     for i, n in enumerate(names):
         c = float(coefs[i])
@@ -639,7 +647,6 @@ def logit_inference(orders: DataFrame) -> DataFrame:
     k = len(cols) + 1
     dev, null_dev = float(s.deviance), float(s.nullDeviance)
     fit_row = (round(float(s.aic), 3), round(dev + k * np.log(n_obs), 3), round(1 - dev / null_dev, 4) if null_dev else None, round(-dev / 2, 3), int(n_obs))
-    spark = orders.sparkSession
     coef_df = spark.createDataFrame(rows, "variable string, coef double, std_err double, p_value double, odds_ratio double, ci_low double, ci_high double")
     return coef_df.withColumns(
         {"aic": F.lit(fit_row[0]), "bic": F.lit(fit_row[1]), "pseudo_r2": F.lit(fit_row[2]), "log_likelihood": F.lit(fit_row[3]), "n_obs": F.lit(fit_row[4])}
