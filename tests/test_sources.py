@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from shipcast.functions.columns import match_columns, select_requested
 from shipcast.operators import decision as D
@@ -129,3 +130,18 @@ def test_tables_that_threads_of_a_build_need(spark):
             return spark.range(sum(f.result(timeout=60) for f in [pool.submit(part, k) for k in (3, 4)]))
 
     assert materialized(spark, "whole", "here", build).count() == 7
+
+
+def test_lines_of_an_order_lie_together(spark):
+    """Part joins the narrow items, orders come last: without broadcasts no
+    order's lines are spread by part key, and nothing wide is shuffled by it."""
+    from shipcast.sources.adapter import canonical_lines
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = canonical_lines(spark, "/root/testdata/sf0.001").select("order_id", F.spark_partition_id().alias("at"))
+        spread = found.groupBy("order_id").agg(F.countDistinct("at").alias("n")).agg(F.max("n"), F.sum("n"), F.countDistinct("order_id")).first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert spread[0] == 1 and spread[1] == spread[2] > 1000
