@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from shipcast.operators import leakage as LK
 from shipcast.operators.cleaning import filter_cancelled
+from shipcast.operators.features import engineer_features
 from shipcast.plans.registry import query
 from shipcast.plans.sql_base import features_sql, with_base
-from shipcast.sources.adapter import LINE_SCHEMA, line_features
+from shipcast.sources.adapter import LINE_SCHEMA, lines
 
 ENGINEERED = list(LK.ENGINEERED_REASON)
 ALL_COLS = [c for c, _ in LINE_SCHEMA] + ENGINEERED
@@ -21,7 +22,8 @@ FLAGS_CTE = LFEAT_CTE + ", cflags AS (SELECT " + ", ".join(f"(count({c}) = 0 OR
 
 
 def _pop(spark, sf_dir):
-    return filter_cancelled(line_features(spark, sf_dir))
+    """Read in one pass, so its features are computed there and not stored."""
+    return filter_cancelled(engineer_features(lines(spark, sf_dir)))
 
 
 def _feat_sql() -> str:
