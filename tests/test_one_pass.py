@@ -45,6 +45,25 @@ def test_bracketed_quantiles(spark, monkeypatch, accuracy):
     assert (none.n, none.q0) == (0, None)
 
 
+@pytest.mark.parametrize("accuracy", [1_000, 20])
+def test_quantiles_of_columns_side_by_side(spark, monkeypatch, accuracy):
+    """As of one column each; rows are never multiplied by the columns."""
+    monkeypatch.setattr(prefix, "COLUMN_ACCURACY", accuracy)
+    rng = random.Random(accuracy)
+    rows = [(rng.gauss(0, 1), rng.choice([1, 2, 2, 2, 7, None]), None, float(i) if i < 2 else None) for i in range(3001)]
+    frame = spark.createDataFrame(rows, "a double, b int, c double, d double").repartition(5)
+    names = [f"p{i}" for i in range(len(PROBS))]
+    got = {r.column: r for r in prefix.column_quantiles(frame, ["a", "b", "c", "d"], PROBS, names).collect()}
+    assert set(got) == {"a", "b", "d"}
+    for k, c in enumerate("abcd"):
+        values = [r[k] for r in rows if r[k] is not None]
+        if values:
+            assert got[c].n == len(values)
+            assert [got[c][x] for x in names] == pytest.approx(np.quantile(values, PROBS).tolist())
+    assert prefix.column_quantiles(frame.where("false"), ["a", "b"], [0.5], ["m"]).count() == 0
+    assert prefix.column_quantiles(frame, [], [0.5], ["m"]).count() == 0
+
+
 def test_too_many_groups_go_through_prefix_sums(spark, monkeypatch):
     monkeypatch.setattr(prefix, "BRACKET_GROUPS", 3)
     frame = spark.range(100).select((F.col("id") % 5).alias("g"), F.col("id").cast("double").alias("v"))
