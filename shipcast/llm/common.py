@@ -5,20 +5,16 @@ from __future__ import annotations
 import ctypes
 import functools
 import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipcast.session import checkpoint_dir
+from shipcast.session import checkpoint_dir, ship_code
 
 
-_SHIPPED: set[str] = set()
 #: bytes up to which rows go to a Python worker at once (a longer row goes alone)
 BATCH_BYTES = 4 << 20
 #: a key is hot above LEAST_HOT rows and a HOT_KEYS-th of all
@@ -32,16 +28,7 @@ def ship_package(spark: SparkSession) -> None:
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(setting, None) is None:
         spark.conf.set(setting, str(BATCH_BYTES))
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="shipcast-"), f"{root.name}.zip")  # served by Spark from the driver
-    with zipfile.ZipFile(target, "w") as out:
-        for source in sorted(root.rglob("*.py")):
-            out.write(source, source.relative_to(root.parent).as_posix())
-    sc.addPyFile(target)
-    _SHIPPED.add(sc.applicationId)
+    ship_code(spark)
 
 
 def give_back() -> None:
