@@ -45,6 +45,20 @@ def test_a_round_grows_the_tree_of_spark(frame, before):
         assert own.trees[1].predict(r.features) == pytest.approx(r.prediction)
 
 
+def test_cuts_are_those_of_spark_beyond_the_rows_they_are_taken_from(spark):
+    rng = np.random.default_rng(5)
+    x, z = rng.normal(size=13_000), np.maximum(rng.normal(size=13_000), 0)
+    rows = [(i, float(a), float(b), f"c{i % 5}", "d", float(np.sin(3 * a) + b)) for i, (a, b) in enumerate(zip(x, z))]
+    frame = spark.createDataFrame(rows, "order_id int, x double, z double, c string, d string, y double").repartition(3, "order_id").persist()
+    before = Pipeline(stages=ML.preprocess_stages(NUM, CAT, False, ML.fit_fills(frame, NUM, CAT))).fit(frame)
+    own = fitted(frame, before, 1, F.lit(False)).trees[1]
+    mean = frame.agg(F.avg("y")).first()[0]
+    rows = before.transform(frame).withColumn("off", F.col("y") - mean)
+    theirs = DecisionTreeRegressor(labelCol="off", maxDepth=5, minInstancesPerNode=40, seed=42).fit(rows)
+    cuts = [[float(p.rsplit(" ", 1)[1][:-1]) for p in t.toDebugString.splitlines() if " <= " in p] for t in (own, theirs)]
+    assert len(cuts[0]) > 20 and cuts[0] == pytest.approx(cuts[1])
+
+
 def test_a_round_is_a_job_a_level(spark, frame, before):
     sc = spark.sparkContext
     sc.setJobGroup("rounds", "rounds")
