@@ -36,6 +36,25 @@ def test_a_fit_reads_its_rows_once(spark, name):
     assert seen.value <= 2 * 2400
 
 
+@pytest.mark.parametrize("dealt", [ML.ROWS_A_TASK, 1_000_000])
+@pytest.mark.parametrize("name", ["Decision Tree", "Gradient Boosting"])
+def test_a_fit_takes_all_training_rows(spark, monkeypatch, name, dealt):
+    """More than the 20,000 that were once drawn, kept in tasks or read where they are stored."""
+    monkeypatch.setattr(ML, "CLASSIFIER_ROUNDS", 1)
+    monkeypatch.setattr(ML, "DEALT_ROWS", dealt, raising=False)
+    at = F.col("id")
+    rows = spark.range(30_000).select(
+        at.alias("order_id"), (at % 3).cast("double").alias("quantity"), F.concat(F.lit("m"), at % 4).alias("shipping_mode"),
+        (at % 4 == 0).cast("int").alias(ML.TARGET), (at % 10 == 0).alias("is_test"),
+    )
+    fills = ML.Fills({"quantity": 1.0}, {"shipping_mode": "m0"})
+    prep = ML.Prepared(rows, ["quantity", "shipping_mode"], ["quantity"], ["shipping_mode"], pooled=True, fills=fills)
+    last = ML.fit(prep, name).stages[-1]
+    held = rows.where(~F.col("is_test") & ML.held_for_validation()).count() if name == "Gradient Boosting" else 0
+    tree = last._java_obj if name == "Decision Tree" else last._java_obj.trees()[0]
+    assert tree.rootNode().impurityStats().rawCount() == 27_000 - held
+
+
 def test_a_boosted_model_names_its_label(spark, monkeypatch):
     monkeypatch.setattr(ML, "CLASSIFIER_ROUNDS", 2)
     rows = _lines(spark)
