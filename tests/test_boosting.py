@@ -91,3 +91,25 @@ def test_columns_that_vary_late_are_not_constant(spark):
     )
     assert constant_columns(rows, rows.columns) == ["one", "none", "single"]
     assert constant_columns(rows, []) == []
+
+
+def test_only_the_last_checkpoint_is_kept(spark, monkeypatch, frame, before):
+    """And none once the model is there."""
+    files = spark._jvm.org.apache.hadoop.fs
+    root = files.Path(spark.sparkContext.getCheckpointDir())
+    disk = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def held():
+        return sum(1 for s in disk.listStatus(root) if s.getPath().getName().startswith("rdd-"))
+
+    at_first, most, level = held(), [0], B._level
+
+    def watched(*args):
+        out = level(*args)
+        most.append(held() - at_first)
+        return out
+
+    monkeypatch.setattr(B, "CHECKPOINT_ROUNDS", 2)
+    monkeypatch.setattr(B, "_level", watched)
+    fitted(frame, before, 9, F.lit(False))
+    assert max(most) in (1, 2) and held() == at_first
